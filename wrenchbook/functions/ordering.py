@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 SEGMENT = "_segment"
 
 
-def with_segment(df: DataFrame, moment: str, grain: str = "day") -> DataFrame:
-    return df.withColumn(SEGMENT, F.date_trunc(grain, F.col(moment)).cast("timestamp_ntz"))
+def by_time(moment: str, grain: str = "day") -> Column:
+    """Calendar segments of a timestamp."""
+    return F.date_trunc(grain, F.col(moment)).cast("timestamp_ntz")
+
+
+def by_number(position: str, width: int = 1_000_000) -> Column:
+    """Segments of equal width of a number, such as an arrival sequence."""
+    return F.floor(F.col(position) / F.lit(width))
 
 
 def _inside(keys: Sequence[str], order: Sequence[str], descending: bool = False):
@@ -28,11 +34,11 @@ def _inside(keys: Sequence[str], order: Sequence[str], descending: bool = False)
 
 
 def _neighbour(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str, grain: str, back: bool
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str, segment: Column, back: bool
 ) -> DataFrame:
     picked = F.struct(*values)
     position = F.struct(*order)
-    cut = with_segment(df, order[0], grain)
+    cut = df.withColumn(SEGMENT, segment)
     # The row next to the cut: the last one of an earlier segment, or the first one of a later segment.
     edge = F.max_by(picked, position) if back else F.min_by(picked, position)
     across = Window.partitionBy(*keys).orderBy(F.col(SEGMENT) if back else F.col(SEGMENT).desc())
@@ -48,20 +54,20 @@ def _neighbour(
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str = "previous", grain: str = "day"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], segment: Column, name: str = "previous"
 ) -> DataFrame:
     """Adds a struct of ``values`` from the row before, NULL on the first row of a key.
 
-    ``order`` starts with a timestamp and must be unique within a key.
+    ``order`` must be unique within a key, and ``segment`` must not decrease along it.
     """
-    return _neighbour(df, keys, order, values, name, grain, back=True)
+    return _neighbour(df, keys, order, values, name, segment, back=True)
 
 
 def with_next(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str = "next", grain: str = "day"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], segment: Column, name: str = "next"
 ) -> DataFrame:
     """Adds a struct of ``values`` from the row after, NULL on the last row of a key."""
-    return _neighbour(df, keys, order, values, name, grain, back=False)
+    return _neighbour(df, keys, order, values, name, segment, back=False)
 
 
 def with_running_sum(

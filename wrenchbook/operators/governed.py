@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -140,20 +140,35 @@ class _Names:
         return _AGGREGATES[m.function](value).alias(m.alias)
 
 
-def run_spec(spec: Spec, views: Mapping[str, DataFrame], scope: DataFrame) -> DataFrame:
+ViewSource = Callable[[set[str]], DataFrame]
+
+
+def _used_columns(spec: Spec, joined: bool) -> set[str]:
+    fields = [*spec.select, *spec.group_by, *(c.field for c in spec.where)]
+    for m in spec.measures:
+        fields += [f for f in (m.field, *(c.field for c in m.where)) if f is not None]
+    used = {f.name for f in fields if f.joined == joined} | {"tenant_id", "project_id"}
+    if spec.join is not None:
+        used |= {pair[1 if joined else 0] for pair in catalog.join_path(spec.view, spec.join).keys}
+    return used
+
+
+def run_spec(spec: Spec, views: Mapping[str, ViewSource], scope: DataFrame) -> DataFrame:
     """Checks a spec against the catalog and builds its DataFrame over scoped views.
 
-    Every view is cut to the caller's projects first; the limit never exceeds
-    the row cap. Nothing is parsed: a spec can only name catalog entries.
+    ``views`` gives for each view a function from the needed columns to its
+    DataFrame. Every view is cut to the caller's projects first; the limit never
+    exceeds the row cap. Nothing is parsed: a spec can only name catalog entries.
     """
     names = _Names(spec)
-    source = scope_projects(views[spec.view], scope).alias("l")
+    source = scope_projects(views[spec.view](_used_columns(spec, joined=False)), scope).alias("l")
     if spec.join is not None:
         path = catalog.join_path(spec.view, spec.join)
         condition = F.lit(True)
         for left, right in path.keys:
             condition = condition & (F.col(f"l.{left}") == F.col(f"r.{right}"))
-        source = source.join(scope_projects(views[spec.join], scope).alias("r"), condition, path.how)
+        right = scope_projects(views[spec.join](_used_columns(spec, joined=True)), scope).alias("r")
+        source = source.join(right, condition, path.how)
     for c in spec.where:
         source = source.filter(names.condition(c))
     if spec.measures or spec.group_by:
