@@ -453,7 +453,8 @@ FROM {documents}
 """
 
 BINDINGS["document_version"] = """
-SELECT lang AS tenant_id, 'd' || doc_id AS id, source AS document_key, CAST(1 + doc_id AS INT) AS version
+SELECT lang AS tenant_id, 'd' || doc_id AS id, source AS document_key, CAST(1 + doc_id AS INT) AS version, source AS title,
+       CASE WHEN n_chars > 2000 THEN 'ACTIVE' ELSE 'PENDING' END AS status
 FROM {documents}
 """
 
@@ -467,6 +468,22 @@ SELECT lang AS tenant_id, 'd' || doc_id AS document_id, 'c' || doc_id || '-1' AS
 FROM {documents} WHERE n_chars > 500
 """
 
+BINDINGS["stored_chunk"] = """
+SELECT lang AS tenant_id, 'd' || doc_id AS document_id, 'c' || doc_id || '-0' AS id, CAST(0 AS INT) AS ordinal, 'ACTIVE' AS status
+FROM {documents}
+UNION ALL
+SELECT lang AS tenant_id, 'd' || doc_id AS document_id, 'c' || doc_id || '-1' AS id, CAST(1 AS INT) AS ordinal,
+       CASE WHEN n_chars > 3000 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status
+FROM {documents} WHERE n_chars > 500
+"""
+
+# Markdown around each document: a title, a dropped preface and two sections.
+BINDINGS["markdown"] = """
+SELECT lang AS tenant_id, 'd' || doc_id AS document_key, '# Policy ' || doc_id || chr(10) || 'preface' || chr(10) || '##  Rules of ' || source || ' '
+       || chr(10) || chr(10) || text || chr(10) || '### Scope' || chr(10) || lang || chr(10) || chr(10) || '## Empty' || chr(10) || ' ' AS markdown
+FROM {documents}
+"""
+
 BINDINGS["section"] = """
 SELECT lang AS tenant_id, 'd' || lpad(CAST(doc_id AS STRING), 12, '0') AS document_key, source AS title,
        0 AS section_index, source AS section, text AS text
