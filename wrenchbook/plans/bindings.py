@@ -276,6 +276,21 @@ SELECT 'j' || o_orderkey AS job_id,
 FROM {orders}
 """
 
+# Model answers as JSON text, one finding per line, some of them malformed.
+BINDINGS["model_payload"] = """
+SELECT 'j' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS job_id,
+       'chunk-' || (l_partkey % 40) AS chunk_id,
+       '{{"verdict":"' || CASE WHEN l_suppkey % 29 = 0 THEN 'GOOD' ELSE 'PASS' END || '","confidence":'
+       || CASE WHEN l_suppkey % 31 = 0 THEN '1.5' ELSE '0.75' END || CASE WHEN l_suppkey % 37 = 0 THEN ',"note":"x"' ELSE '' END
+       || ',"findings":[{{"rule_code":"' || CASE WHEN l_suppkey % 23 = 0 THEN 'policy' WHEN l_suppkey % 19 = 0 THEN 'POLICY_X' ELSE 'POLICY_A' END
+       || '","severity":"' || CASE WHEN l_suppkey % 17 = 0 THEN 'CRITICAL' ELSE 'LOW' END
+       || '","label":"FAIL","evidence":"' || CASE WHEN l_suppkey % 13 = 0 THEN ' ' ELSE 'seen by ' || l_returnflag END
+       || '","policy_chunk_id":null' || CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE ',"recommendation":"Repair"' END || ',"confidence":0.5}}'
+       || CASE WHEN l_suppkey % 7 = 0 THEN ',{{"rule_code":"POLICY_A","severity":"LOW","label":"PASS","evidence":"e","policy_chunk_id":null,"recommendation":"r","confidence":1}}' ELSE '' END
+       || ']}}' AS payload
+FROM {lineitem}
+"""
+
 BINDINGS["policy_hit"] = """
 SELECT 'j' || l_orderkey AS job_id, 'c' || (l_partkey % 40) AS chunk_id,
        'k' || (l_partkey % 8) AS document_key, CAST(1 + l_suppkey % 4 AS INT) AS document_version
@@ -374,7 +389,7 @@ SELECT 'e' || o.o_orderkey AS event_id, w.tenant_id AS tenant_id, 'WORK_ORDER' A
          || ',"status":"' || CASE WHEN o.o_orderkey % 41 = 0 THEN 'CLOSED' ELSE w.status END
          || '","title":"' || w.title || '","extra":{{"list":[{{"'
          || CASE WHEN o.o_orderkey % 29 = 0 THEN 'Photo_URL' WHEN o.o_orderkey % 43 = 0 THEN ' token ' ELSE 'note' END
-         || '":"a \\\\"secret\\\\": b"}}]}},"inspection_round":' || CASE WHEN o.o_orderkey % 47 = 0 THEN 0 ELSE 1 END || '}}' AS payload,
+         || '":"a ' || chr(92) || '"secret' || chr(92) || '": b"}}]}},"inspection_round":' || CASE WHEN o.o_orderkey % 47 = 0 THEN 0 ELSE 1 END || '}}' AS payload,
        CASE WHEN o.o_orderkey % 6 = 0 THEN 'PUBLISHED' ELSE 'PENDING' END AS status,
        w.created_at AS occurred_at, w.created_at + INTERVAL '1' DAY * CAST(o.o_orderkey % 9 AS INT) AS available_at,
        CAST(o.o_orderkey % 4 AS INT) AS attempts
