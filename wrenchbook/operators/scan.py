@@ -68,9 +68,13 @@ def scan(docs: DataFrame, patterns: Sequence[tuple[str, str]] = DEFAULT_PATTERNS
 
 def scan_summary(docs: DataFrame, hits: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Number of texts, hits and failing texts; the scan fails when there is any hit."""
-    scanned = docs.agg(F.count("*").alias("texts"))
-    totals = hits.groupBy(*key).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count("*").alias("failing_texts")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    texts = docs.select(one.alias("texts"), zero.alias("hits"), zero.alias("failing_texts"))
+    failing = hits.groupBy(*key).agg(F.count("*").alias("hits")).select(
+        zero.alias("texts"), "hits", one.alias("failing_texts")
+    )
+    return (
+        texts.unionByName(failing)
+        .agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("texts", "hits", "failing_texts")])
+        .withColumn("passed", F.col("hits") == 0)
     )
-    # Both sides are single rows.
-    return scanned.join(F.broadcast(totals), F.lit(True)).withColumn("passed", F.col("hits") == 0)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wrenchbook.plans.bindings import Tables, with_bindings
 
-FAMILIES = ("evaluation",)
+FAMILIES = ("orders", "analytics", "knowledge", "retrieval", "quality", "commands", "evaluation", "streams")
 
 
 @dataclass(frozen=True)

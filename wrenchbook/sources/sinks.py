@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 BATCH = "batch_id"
@@ -37,7 +38,7 @@ def append_batch(df: DataFrame, path: str, batch: int) -> None:
 
 def earlier_batches(df: DataFrame, path: str, batch: int) -> DataFrame:
     """Rows of all batches before this one."""
-    schema = df.schema.add(BATCH, "long")
+    schema = T.StructType([*df.schema.fields, T.StructField(BATCH, T.LongType())])
     try:
         stored = df.sparkSession.read.schema(schema).parquet(path)
     except AnalysisException as error:
