@@ -72,7 +72,7 @@ def sections(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
         return pd.DataFrame({"title": [title for title, _ in parsed], "sections": found})
 
     return (
-        docs.withColumn("_parsed", parse(F.col(markdown)))
+        docs.withColumn("_parsed", parse.asNondeterministic()(F.col(markdown)))
         .select("*", F.col("_parsed.title").alias("parsed_title"), F.posexplode("_parsed.sections").alias("section_index", "_s"))
         .select("*", "_s.section", "_s.text")
         .drop("_parsed", "_s", markdown)
@@ -96,7 +96,9 @@ def chunk(
     def windows(text: pd.Series) -> pd.Series:
         return text.map(lambda t: list(window_texts(t or "", size, overlap, min_break, marks)))
 
-    pieces = section_rows.withColumn("_windows", windows(F.col("text"))).drop("text")
+    # Without the mark Spark repeats the function in a filter that it infers from the explode.
+    once = windows.asNondeterministic()
+    pieces = section_rows.withColumn("_windows", once(F.col("text"))).drop("text")
     return (
         pieces.select("*", F.posexplode("_windows").alias("chunk_index", "text"))
         .drop("_windows")

@@ -65,7 +65,8 @@ def bm25_index(chunks: DataFrame, tokenize: Tokenizer = search_tokens, vocabular
         *place, F.size("_tokens").alias("length"), F.explode(_term_counts(F.col("_tokens"))).alias("_p")
     ).select(*place, "length", "_p.term", "_p.tf")
     if vocabulary is not None:
-        postings = postings.join(vocabulary.select("tenant_id", "term"), ["tenant_id", "term"], "left_semi")
+        # Both the term figures and the scores read these postings; by chunk, scores add up in place.
+        postings = postings.join(vocabulary.select("tenant_id", "term"), ["tenant_id", "term"], "left_semi").repartition("chunk_id")
     terms = (
         postings.groupBy("tenant_id", "term")
         .agg(F.count("*").alias("df"))
@@ -93,7 +94,7 @@ def _rank(scored: DataFrame, k: int, best: Column) -> DataFrame:
 
 
 def bm25_topk(
-    terms: DataFrame, index: Bm25Index, k: int = CANDIDATES, pad: bool = True
+    terms: DataFrame, index: Bm25Index, k: int = CANDIDATES, pad: bool = True, broadcast_terms: int = 500_000
 ) -> DataFrame:
     """Best ``k`` chunks per query by BM25+, ties by document key, ordinal and chunk id.
 
@@ -102,28 +103,35 @@ def bm25_topk(
     term is known. Matches come from an equi join; ``pad`` fills short results
     with the first chunks of the tenant at the floor score, as the dense formula
     would, and needs no comparison of queries with the whole corpus.
+
+    The query terms are counted first: up to ``broadcast_terms`` rows of them
+    are broadcast and the postings stay in place, else both sides are shuffled
+    by (tenant, term). Postings that are partitioned by chunk are summed without
+    a further shuffle, and each task keeps at most ``k`` rows per query.
     """
     weighted = terms.join(index.terms, ["tenant_id", "term"]).select(
         "query_id", "tenant_id", "term", "mean_length", (F.col("times") * F.col("idf")).alias("weight")
     )
     floors = weighted.groupBy("query_id", "tenant_id").agg(F.sum(F.col("weight") * DELTA).alias("floor"))
+    small = terms.count() <= broadcast_terms
+    probe = F.broadcast(weighted) if small else weighted.hint("merge")
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     gain = F.col("weight") * (F.col("tf") * (K1 + 1) / (norm + F.col("tf")))
     place = ["query_id", "tenant_id", "document_key", "ordinal", "chunk_id"]
-    gains = weighted.join(index.postings, ["tenant_id", "term"]).select(*place, gain.alias("gain"))
-    if pad:
-        # A head chunk without a matching term gains nothing; one that matches is merged by the sum.
-        gains = gains.unionByName(
-            floors.select("query_id", "tenant_id").join(index.heads, "tenant_id").select(*place, F.lit(0.0).alias("gain"))
-        )
-    scored = (
-        gains.groupBy(*place)
-        .agg(F.sum("gain").alias("gain"))
-        .join(floors, ["query_id", "tenant_id"])
-        .withColumn("score", F.round(F.col("gain") + F.col("floor"), SCORE_DIGITS))
-        .drop("gain", "floor")
+    matched = (
+        index.postings.join(probe, ["tenant_id", "term"])
+        .groupBy(*place)
+        .agg(F.sum(gain).alias("gain"))
+        .join(F.broadcast(floors) if small else floors, ["query_id", "tenant_id"])
+        .select(*place, F.round(F.col("gain") + F.col("floor"), SCORE_DIGITS).alias("score"))
     )
-    return _rank(scored.filter("score > 0"), k, F.col("score").desc())
+    ranked = _rank(matched.filter("score > 0"), k, F.col("score").desc())
+    if not pad:
+        return ranked
+    # Of equal chunks the matched one has the higher score.
+    heads = floors.join(index.heads, "tenant_id").select(*place, F.round("floor", SCORE_DIGITS).alias("score"))
+    both = ranked.drop("rank").unionByName(heads.filter("score > 0")).groupBy(*place).agg(F.max("score").alias("score"))
+    return _rank(both, k, F.col("score").desc())
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, pad: bool = True, tokenize: Tokenizer = search_tokens) -> DataFrame:

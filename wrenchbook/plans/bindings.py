@@ -17,6 +17,9 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows are expensive to work on.
+SPREAD_TABLES = ("documents", "pages", "conversations", "lineitem", "events", "orders", "embeddings")
+
 # The instant at which time-dependent operators look at the order tables.
 AS_OF = "1998-06-15 00:00:00"
 # The same for the tables that derive from events.
@@ -678,11 +681,21 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in BASE_TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+                self._cache[name] = self._spread(name, self.spark.read.parquet(f"{self.directory}/{name}.parquet"))
             else:
                 self._cache[name] = self.sql(BINDINGS[name])
         return self._cache[name]
 
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """Deals out a table of fewer files than cores, which one task would read otherwise.
+
+        A table of many files is left as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in SPREAD_TABLES or len(df.inputFiles()) >= cores:
+            return df
+        return df.repartition(cores)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self[name] for name in inputs_of(text)})
 

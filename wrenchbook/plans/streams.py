@@ -67,8 +67,13 @@ def replay_stream(t: Tables) -> DataFrame:
        FROM {request} WINDOW w AS (PARTITION BY tenant_id, operation, key ORDER BY arrived_at, request_id)""",
 )
 def request_stream(t: Tables) -> DataFrame:
-    requests = _event_stream(t, "request").withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).withWatermark("arrived_at", "1 day")
-    return _run(t, state.classify_stream(requests, days_kept=60), "requests")
+    folder = scratch_path(t.spark, "requests")
+    runs.start_classification(
+        _event_stream(t, "request"), f"{folder}/outcomes", f"{folder}/checkpoint", days_kept=60
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/outcomes").select(
+        "tenant_id", "operation", "key", "request_id", F.col("outcome").cast("string").alias("outcome")
+    )
 
 
 @query("job_stream", "J6")

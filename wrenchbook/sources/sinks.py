@@ -27,13 +27,13 @@ def read_or_empty(df: DataFrame, path: str) -> DataFrame:
         return df.limit(0)
 
 
-def append_batch(df: DataFrame, path: str, batch: int) -> None:
+def append_batch(df: DataFrame, path: str, batch: int, partition_by: Sequence[str] = ()) -> None:
     """Writes one micro-batch into a folder of its own.
 
     A batch that runs again after a failure replaces its own folder and nothing
     else, so that every row is stored once.
     """
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={batch}")
 
 
 def earlier_batches(df: DataFrame, path: str, batch: int) -> DataFrame:

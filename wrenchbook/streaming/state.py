@@ -1,4 +1,4 @@
-"""Stateful streams: order replay, request classification and job lifecycles.
+"""Stateful streams: order replay and job lifecycles.
 
 Each function takes a streaming DataFrame and keeps one small state row per key.
 The rows of a key arrive in chunks within a micro-batch; bound the micro-batch
@@ -31,7 +31,9 @@ def _moment(micros: int | None) -> datetime | None:
 
 
 def _sorted(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
+    parts = list(chunks)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
 def replay_stream(events: DataFrame) -> DataFrame:
@@ -70,43 +72,6 @@ def replay_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def classify_stream(requests: DataFrame, days_kept: int = 1) -> DataFrame:
-    """EXECUTE, REPLAY or CONFLICT per request, with a state that expires.
-
-    A key is forgotten when the watermark has passed its first request by
-    ``days_kept`` days; set the watermark on ``arrived_at`` before the call.
-    """
-    kept = timedelta(days=days_kept)
-    columns = ["tenant_id", "operation", "key", "request_id", "outcome"]
-
-    def classify(key, chunks, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first_hash = state.get[0] if state.exists else None
-        out, fresh = [], not state.exists
-        oldest = None
-        for row in _sorted(chunks, ["arrived_at", "request_id"]).itertuples(index=False):
-            if fresh:
-                first_hash, fresh, oldest, outcome = row.request_hash, False, row.arrived_at, "EXECUTE"
-            else:
-                outcome = "REPLAY" if row.request_hash == first_hash else "CONFLICT"
-            out.append((*key, row.request_id, outcome))
-        state.update((first_hash,))
-        if oldest is not None:
-            expiry = (_micros(oldest) + kept // _MICRO) // 1000
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    return requests.groupBy("tenant_id", "operation", "key").applyInPandasWithState(
-        classify,
-        "tenant_id string, operation string, key string, request_id bigint, outcome string",
-        "request_hash string",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 class JobFold:
     """One inspection job between its claims, outcomes and lease ends."""
 
