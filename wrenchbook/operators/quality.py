@@ -108,15 +108,26 @@ def with_attachment_counts(jobs: DataFrame, attachments: DataFrame) -> DataFrame
     )
 
 
-def evaluate_rules(inputs: DataFrame) -> DataFrame:
-    """Four findings per job in fixed order, from columns of the job row alone."""
-    findings = F.array(
+def _rules() -> tuple[Column, ...]:
+    return (
         rule_summary(F.col("completion_summary")),
         rule_range(F.col("created_at"), F.col("completed_at")),
         rule_sla(F.col("completed_at"), F.col("due_at")),
         rule_attachment(F.col("attachment_count"), F.col("present_count")),
     )
-    return inputs.select("job_id", F.posexplode(findings).alias("ordinal", "_f")).select(
+
+
+def any_rule_fails() -> Column:
+    """Whether a job fails a rule, from its own row."""
+    failed = F.lit(False)
+    for rule in _rules():
+        failed = failed | (rule["label"] == "FAIL")
+    return failed
+
+
+def evaluate_rules(inputs: DataFrame) -> DataFrame:
+    """Four findings per job in fixed order, from columns of the job row alone."""
+    return inputs.select("job_id", F.posexplode(F.array(*_rules())).alias("ordinal", "_f")).select(
         "job_id", "ordinal", "_f.*", F.lit(None).cast("string").alias("policy_chunk_id")
     )
 
@@ -142,6 +153,19 @@ def _is_text(value: Column) -> Column:
     return F.coalesce(~is_blank(value) & (F.length(value) <= MAX_FINDING_TEXT), F.lit(False))
 
 
+_RAW_OUTPUT = "verdict string, confidence string, findings array<map<string,string>>"
+
+
+def _finding_of(raw: Column) -> Column:
+    """A finding struct from the map of one JSON object."""
+    return F.struct(
+        *[
+            F.try_element_at(raw, F.lit(f.name)).try_cast(f.dataType).alias(f.name)
+            for f in schemas.MODEL_FINDING.fields
+        ]
+    )
+
+
 def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
     """Parses model answers (job_id, payload); adds ``output`` and ``error_code``.
 
@@ -151,33 +175,34 @@ def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
     """
     finding_keys = F.array(*[F.lit(n) for n in sorted(schemas.MODEL_FINDING.names)])
     output_keys = F.array(*[F.lit(n) for n in sorted(schemas.MODEL_OUTPUT.names)])
-    raw_findings = F.from_json("payload", "findings array<map<string,string>>")["findings"]
+    # A finding is read as a map first: its keys must be exactly the known ones.
     parsed = (
-        outputs.withColumn("output", F.from_json("payload", schemas.MODEL_OUTPUT))
+        outputs.withColumn("_raw", F.from_json("payload", _RAW_OUTPUT))
         .withColumn("_keys", F.sort_array(F.json_object_keys("payload")))
-        .withColumn("_finding_keys", F.transform(raw_findings, lambda m: F.sort_array(F.map_keys(m))))
+        .withColumn("_findings", F.transform("_raw.findings", _finding_of))
+        .withColumn("_confidence", F.col("_raw.confidence").try_cast("double"))
     )
-    findings = F.col("output.findings")
+    findings, verdict, confidence = F.col("_findings"), F.col("_raw.verdict"), F.col("_confidence")
     codes = F.transform(findings, lambda f: f["rule_code"])
 
     def well_formed(f: Column) -> Column:
         return (
-            F.coalesce(f["rule_code"].rlike(RULE_CODE), F.lit(False))
-            & _is_one_of(f["severity"], schemas.SEVERITIES)
+            _is_one_of(f["severity"], schemas.SEVERITIES)
             & _is_one_of(f["label"], schemas.VERDICTS)
+            & _is_share(f["confidence"])
+            & F.coalesce(f["rule_code"].rlike(RULE_CODE), F.lit(False))
             & _is_text(f["evidence"])
             & _is_text(f["recommendation"])
             & (f["policy_chunk_id"].isNull() | f["policy_chunk_id"].rlike(UUID_TEXT))
-            & _is_share(f["confidence"])
         )
 
     shape = (
         F.col("_keys").eqNullSafe(output_keys)
+        & _is_one_of(verdict, schemas.VERDICTS)
+        & _is_share(confidence)
         & findings.isNotNull()
-        & F.forall("_finding_keys", lambda keys: keys == finding_keys)
-        & _is_one_of(F.col("output.verdict"), schemas.VERDICTS)
-        & _is_share(F.col("output.confidence"))
         & (F.size(findings) <= MAX_FINDINGS)
+        & F.forall("_raw.findings", lambda raw: F.sort_array(F.map_keys(raw)) == finding_keys)
         & F.forall(findings, well_formed)
         & (F.size(F.array_distinct(codes)) == F.size(findings))
     )
@@ -187,12 +212,18 @@ def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
         .select("job_id", F.lit(True).alias("_unknown"))
         .distinct()
     )
-    valid = F.coalesce(shape, F.lit(False)) & F.col("_unknown").isNull()
     return (
-        parsed.join(unknown, "job_id", "left")
-        .withColumn("error_code", F.when(~valid, OUTPUT_INVALID))
-        .withColumn("output", F.when(valid, F.col("output")))
-        .drop("_keys", "_finding_keys", "_unknown")
+        parsed.withColumn("_shape", F.coalesce(shape, F.lit(False)))
+        .join(unknown, "job_id", "left")
+        .withColumn("error_code", F.when(~(F.col("_shape") & F.col("_unknown").isNull()), OUTPUT_INVALID))
+        .withColumn(
+            "output",
+            F.when(
+                F.col("error_code").isNull(),
+                F.struct(verdict.alias("verdict"), confidence.alias("confidence"), findings.alias("findings")),
+            ),
+        )
+        .drop("_raw", "_keys", "_findings", "_confidence", "_shape", "_unknown")
     )
 
 
@@ -256,30 +287,38 @@ def inspect(inputs: DataFrame, outputs: DataFrame, model_findings: DataFrame, re
 
     A job without a present attachment ends as SKIP with confidence 1 and asks
     no model, even when rules failed; its rule findings are kept. Other jobs
-    wait until their model output is there.
+    wait until their model output is there. The rules read the job row alone;
+    model findings are summed up once per job.
     """
-    rules = evaluate_rules(inputs)
-    skipped = inputs.filter(F.col("present_count") == 0).select("job_id")
-    asked = inputs.filter(F.col("present_count") > 0).select("job_id").join(outputs, "job_id")
-    grounded = ground_findings(
-        model_findings.join(asked.select("job_id"), "job_id", "left_semi"),
-        retrieved,
+    jobs = inputs.select("job_id", (F.col("present_count") > 0).alias("_asks"), any_rule_fails().alias("_rule_fails"))
+    asked = jobs.filter("_asks").select("job_id")
+    grounded = ground_findings(model_findings.join(asked, "job_id", "left_semi"), retrieved)
+    per_job = grounded.groupBy("job_id").agg(
+        F.bool_or("ungrounded").alias("_changed"),
+        F.max(F.try_element_at(literal_map(_WEIGHT), F.col("label"))).alias("_label"),
     )
-    model = ground_verdicts(asked, grounded)
-    rule_fails = rules.groupBy("job_id").agg(F.bool_or(F.col("label") == "FAIL").alias("_rule_fails"))
-    labels = (
-        rules.join(asked.select("job_id"), "job_id", "left_semi").select("job_id", "label")
-        .unionByName(grounded.select("job_id", "label"))
-        .unionByName(model.select("job_id", F.col("verdict").alias("label")))
+    fails = F.col("_label") == _WEIGHT["FAIL"]
+    model_verdict = (
+        F.when(~F.coalesce("_changed", F.lit(False)), F.col("verdict"))
+        .when(fails, "FAIL")
+        .when(F.col("verdict") == "SKIP", "SKIP")
+        .otherwise("UNCERTAIN")
     )
-    judged = (
-        verdicts(labels)
-        .join(model.select("job_id", F.col("confidence").alias("_model")), "job_id")
-        .join(rule_fails, "job_id")
-        .select("job_id", "verdict", F.when(F.col("_rule_fails"), 1.0).otherwise(F.col("_model")).alias("confidence"))
+    weight = F.greatest(
+        F.when(F.col("_rule_fails"), _WEIGHT["FAIL"]), F.col("_label"), F.try_element_at(literal_map(_WEIGHT), model_verdict)
+    )
+    named = F.create_map(*[F.lit(x) for pair in _BY_WEIGHT.items() for x in pair])
+    results = (
+        jobs.join(outputs.select("job_id", "verdict", "confidence"), "job_id", "left")
+        .filter(~F.col("_asks") | F.col("verdict").isNotNull())
+        .join(per_job, "job_id", "left")
+        .select(
+            "job_id",
+            F.when(~F.col("_asks"), "SKIP").otherwise(F.try_element_at(named, weight)).alias("verdict"),
+            F.when(~F.col("_asks") | F.col("_rule_fails"), 1.0).otherwise(F.round("confidence", 4)).alias("confidence"),
+        )
     )
-    results = judged.unionByName(skipped.select("job_id", F.lit("SKIP").alias("verdict"), F.lit(1.0).alias("confidence")))
-    return Inspection(results.withColumn("confidence", F.round("confidence", 4)), _numbered(rules, grounded))
+    return Inspection(results, _numbered(evaluate_rules(inputs), grounded))
 
 
 def _numbered(rules: DataFrame, grounded: DataFrame) -> DataFrame:
