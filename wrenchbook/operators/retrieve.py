@@ -185,7 +185,7 @@ def vector_topk(
     k: int = CANDIDATES,
     max_distance: float = MAX_DISTANCE,
     broadcast_bytes: int = 64 << 20,
-    salts: int = 32,
+    salts: int | None = None,
     block_rows: int = 2048,
 ) -> DataFrame:
     """Exact best ``k`` vectors per query within a cosine distance, ties by key, ordinal and id.
@@ -194,7 +194,8 @@ def vector_topk(
     and keeps at most ``k`` rows per query, so no pair list is ever built. Small
     query tables (their size is counted first) are broadcast and the corpus does
     not move. Larger ones are copied to every salt, and each corpus block joins
-    one salt, which spreads a large tenant over ``salts`` tasks.
+    one salt, which spreads a large tenant over ``salts`` tasks (as many as
+    there are shuffle partitions, when not given).
     """
     asked = _pack(queries, ["query_id"], block_rows).select("tenant_id", F.col("matrix").alias("q"), F.col("ids").alias("q_ids"))
     corpus = _pack(vectors, ["document_key", "ordinal", "chunk_id"], block_rows)
@@ -203,6 +204,7 @@ def vector_topk(
     if rows * 8 * (width[0] if width else 0) <= broadcast_bytes:
         pairs = corpus.join(F.broadcast(asked), "tenant_id")
     else:
+        salts = salts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         salted = corpus.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.lit(salts)).cast("int"))
         copies = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         pairs = salted.join(copies, ["tenant_id", "salt"])
