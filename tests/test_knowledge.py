@@ -44,7 +44,7 @@ def test_sections(spark):
 
 
 def pieces(text):
-    return list(ingest.window_texts(text, 500, 50, 200, "。！？；"))
+    return ingest.window_texts(text, 500, 50, 200, "。！？；")
 
 
 def test_chunk_windows():

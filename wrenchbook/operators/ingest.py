@@ -41,25 +41,25 @@ def markdown_sections(markdown: str) -> tuple[str, list[tuple[str, str]]]:
     return (titles[max(titles)] if titles else ""), sections
 
 
-def window_texts(text: str, size: int, overlap: int, min_break: int, marks: str) -> Iterator[str]:
+def window_bounds(length: int, breaks: Sequence[int], size: int, overlap: int, min_break: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the windows over a text; ``breaks`` are the positions after its break marks."""
+    start = end = 0
+    while end < length:
+        start, end = max(end - overlap, 0), max(end - overlap, 0) + size
+        if end >= length:
+            end = length
+        elif (nearest := bisect_right(breaks, end)) and breaks[nearest - 1] > start + min_break:
+            end = breaks[nearest - 1]
+        yield start, end
+
+
+def window_texts(text: str, size: int, overlap: int, min_break: int, marks: str) -> list[str]:
     """Overlapping windows that prefer to end after the last break mark; short text stays as it is."""
     if len(text) <= size:
-        yield text
-        return
-    after_mark = [m.end() for m in re.finditer(f"[{re.escape(marks)}]", text)] if marks else []
-    start = 0
-    while True:
-        end = min(start + size, len(text))
-        if end < len(text):
-            at = bisect_right(after_mark, end) - 1
-            if at >= 0 and after_mark[at] > start + min_break:
-                end = after_mark[at]
-        piece = text[start:end].strip()
-        if piece:
-            yield piece
-        if end == len(text):
-            return
-        start = max(start + 1, end - overlap)
+        return [text]
+    breaks = [m.end() for m in re.finditer(f"[{re.escape(marks)}]", text)] if marks else []
+    stripped = (text[a:b].strip() for a, b in window_bounds(len(text), breaks, size, overlap, min_break))
+    return [piece for piece in stripped if piece]
 
 
 def sections(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
@@ -91,10 +91,12 @@ def chunk(
     The input has document_key, section_index and text; the text column is
     replaced by the text of the chunk.
     """
+    if not 0 <= overlap <= min_break < size:
+        raise ValueError("0 <= overlap <= min_break < size must hold")
 
     @F.pandas_udf("array<string>")
     def windows(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: list(window_texts(t or "", size, overlap, min_break, marks)))
+        return text.map(lambda t: window_texts(t or "", size, overlap, min_break, marks))
 
     # Without the mark Spark repeats the function in a filter that it infers from the explode.
     once = windows.asNondeterministic()

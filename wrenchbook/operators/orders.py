@@ -217,26 +217,39 @@ def answer_requests(messages: DataFrame, orders: DataFrame, scope: DataFrame, pa
     ).select("request_id.message_id", "tenant_id", "request_id.tool", F.col("member_id").alias("work_order_id"), "status")
 
     searches = chosen.filter(F.col("tool") == "search_work_orders")
-    pairs = {
+    slots = {
         "status_filter": "status",
         "priority_filter": "priority",
         "project_filter": "project_name",
         "assignee_filter": "assignee_name",
     }
-    filters = searches.select("tenant_id", *pairs).distinct()
-    condition = F.col("f.tenant_id") == F.col("o.tenant_id")
-    for slot, column in pairs.items():
-        condition = condition & (F.col(f"f.{slot}").isNull() | (F.col(f"f.{slot}") == F.col(f"o.{column}")))
+    used = sum((F.when(F.col(slot).isNotNull(), 1 << at).otherwise(0) for at, slot in enumerate(slots)), F.lit(0))
+    filters = searches.select("tenant_id", *slots).distinct().withColumn("_used", used)
+    # Which slots are filled together: at most sixteen combinations per tenant. An order meets the filters
+    # of each combination by equality of the filled slots, so it never meets a filter that it does not match.
+    combinations = filters.select("tenant_id", "_used").distinct()
+    keyed = visible.join(combinations, "tenant_id").select(
+        "tenant_id", "_used", "status", "priority", "project_name", "assignee_name", "created_at", F.col("id").alias("work_order_id")
+    ).select(
+        "tenant_id", "_used", "work_order_id", "status", "created_at",
+        *[
+            F.when(F.col("_used").bitwiseAND(1 << at) != 0, F.col(column)).alias(slot)
+            for at, (slot, column) in enumerate(slots.items())
+        ],
+    )
+    match = (F.col("f.tenant_id") == F.col("o.tenant_id")) & (F.col("f._used") == F.col("o._used"))
+    for slot in slots:
+        match = match & F.col(f"f.{slot}").eqNullSafe(F.col(f"o.{slot}"))
+    newest = Window.partitionBy("tenant_id", *slots).orderBy(F.col("created_at").desc(), F.col("work_order_id"))
     pages = (
-        visible.alias("o")
-        .join(filters.alias("f"), condition)
-        .select("f.*", F.col("o.id").alias("work_order_id"), "o.status", F.row_number().over(
-            Window.partitionBy("f.tenant_id", *[F.col(f"f.{slot}") for slot in pairs]).orderBy(F.col("o.created_at").desc(), F.col("o.id"))
-        ).alias("position"))
+        keyed.alias("o")
+        .join(filters.alias("f"), match)
+        .select("f.tenant_id", *[f"f.{slot}" for slot in slots], "o.work_order_id", "o.status", "o.created_at")
+        .withColumn("position", F.row_number().over(newest))
         .filter(F.col("position") <= page_size)
     )
     same = F.col("s.tenant_id") == F.col("p.tenant_id")
-    for slot in pairs:
+    for slot in slots:
         same = same & F.col(f"s.{slot}").eqNullSafe(F.col(f"p.{slot}"))
     by_search = searches.alias("s").join(pages.alias("p"), same).select(
         "s.message_id", "s.tenant_id", "s.tool", "p.work_order_id", "p.status"

@@ -297,7 +297,7 @@ FROM {lineitem}
 BINDINGS["policy_hit"] = """
 SELECT 'j' || l_orderkey AS job_id, 'c' || (l_partkey % 40) AS chunk_id,
        'k' || (l_partkey % 8) AS document_key, CAST(1 + l_suppkey % 4 AS INT) AS document_version
-FROM {lineitem} WHERE l_linenumber <= 3
+FROM {lineitem} WHERE l_returnflag <> 'N'
 """
 
 BINDINGS["order_event"] = """
