@@ -236,7 +236,7 @@ def spec_monthly_orders(t: Tables) -> DataFrame:
 
 @query(
     "spec_join_quality", "E2 E6 B2",
-    """SELECT w.project_name, q.verdict, count(*) AS orders, round(avg(q.confidence), 6) AS confidence
+    """SELECT w.project_name, q.verdict, count(*) AS orders, round(avg(q.confidence), 9) AS confidence
        FROM {w_scoped} w LEFT JOIN {q_scoped} q ON q.tenant_id = w.tenant_id AND q.work_order_no = w.work_order_no
        WHERE w.status <> 'CANCELLED' GROUP BY 1, 2 ORDER BY 1, 2 NULLS FIRST LIMIT 200""",
     _SCOPED,
@@ -250,7 +250,7 @@ def spec_join_quality(t: Tables) -> DataFrame:
         measures=(Measure("COUNT", "orders"), Measure("AVG", "confidence", Field("confidence", joined=True))),
         order_by=(("project_name", False), ("verdict", False)),
     )
-    return governed.run_spec(spec, _all_views(t), t["scope"]).withColumn("confidence", F.round("confidence", 6))
+    return governed.run_spec(spec, _all_views(t), t["scope"]).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(

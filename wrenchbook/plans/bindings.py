@@ -670,6 +670,12 @@ def inputs_of(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
+def _naive_times(df: DataFrame) -> DataFrame:
+    """Timestamp literals of the shared dialect carry a zone in Spark; the domain tables have naive times."""
+    zoned = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp"]
+    return df.withColumns({name: df[name].cast("timestamp_ntz") for name in zoned}) if zoned else df
+
+
 class Tables:
     """Lazily built domain tables over one directory of parquet files."""
 
@@ -683,7 +689,7 @@ class Tables:
             if name in BASE_TABLES:
                 self._cache[name] = self._spread(name, self.spark.read.parquet(f"{self.directory}/{name}.parquet"))
             else:
-                self._cache[name] = self.sql(BINDINGS[name])
+                self._cache[name] = _naive_times(self.sql(BINDINGS[name]))
         return self._cache[name]
 
     def _spread(self, name: str, df: DataFrame) -> DataFrame:

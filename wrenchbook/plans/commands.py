@@ -31,7 +31,7 @@ def event_intake(t: Tables) -> DataFrame:
 
 @query(
     "claimable_jobs", "J2",
-    """SELECT tenant_id, id, position FROM (
+    """SELECT tenant_id, id, CAST(position AS INT) AS position FROM (
          SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id ORDER BY priority, created_at, id) AS position FROM {quality_job}
          WHERE retry_count < max_retry_count AND (status = 'PENDING' OR (status = 'RETRY_WAIT' AND next_retry_at <= TIMESTAMP '1998-06-15 00:00:00'))) q
        WHERE position <= 20""",
@@ -42,7 +42,7 @@ def claimable_jobs(t: Tables) -> DataFrame:
 
 @query(
     "claimable_embeddings", "J2",
-    """SELECT tenant_id, id, position FROM (
+    """SELECT tenant_id, id, CAST(position AS INT) AS position FROM (
          SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id ORDER BY coalesce(next_retry_at, created_at), created_at, id) AS position FROM {quality_job}
          WHERE status = 'PENDING' OR (status = 'RETRY_WAIT' AND next_retry_at <= TIMESTAMP '1998-06-15 00:00:00')) q
        WHERE position <= 100""",
@@ -53,7 +53,7 @@ def claimable_embeddings(t: Tables) -> DataFrame:
 
 @query(
     "claimable_events", "J2 A5",
-    """SELECT tenant_id, event_id, position FROM (
+    """SELECT tenant_id, event_id, CAST(position AS INT) AS position FROM (
          SELECT tenant_id, event_id, row_number() OVER (PARTITION BY tenant_id ORDER BY available_at, occurred_at, event_id) AS position FROM {outbox}
          WHERE event_type = 'WORK_ORDER_COMPLETED' AND status = 'PENDING' AND available_at <= TIMESTAMP '1998-06-15 00:00:00') q
        WHERE position <= 50""",

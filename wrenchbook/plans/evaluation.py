@@ -21,8 +21,8 @@ def _cases(t: Tables) -> DataFrame:
 
 
 _PER_CASE = """
-SELECT c.id AS case_id, c.kind, CASE WHEN c.expected_document_ids = '' THEN 0 ELSE 1 END AS expected,
-       CASE WHEN EXISTS (SELECT 1 FROM {eval_citation} e WHERE e.case_id = c.id AND e.document_id = c.expected_document_ids) THEN 1 ELSE 0 END AS hits,
+SELECT c.id AS case_id, c.kind, CAST(CASE WHEN c.expected_document_ids = '' THEN 0 ELSE 1 END AS BIGINT) AS expected,
+       CAST(CASE WHEN EXISTS (SELECT 1 FROM {eval_citation} e WHERE e.case_id = c.id AND e.document_id = c.expected_document_ids) THEN 1 ELSE 0 END AS BIGINT) AS hits,
        (SELECT count(*) FROM {eval_citation} e WHERE e.case_id = c.id) AS citations
 FROM {eval_case} c
 """
@@ -154,7 +154,7 @@ def retrieval_gates(t: Tables) -> DataFrame:
 
 @query(
     "reconciliation", "K8",
-    """SELECT o.tenant_id, o.id AS work_order_id, 1 AS orders, o.version, coalesce(e.n, 0) AS events, coalesce(x.n, 0) AS outbox_rows, coalesce(p.n, 0) AS proposals
+    """SELECT o.tenant_id, o.id AS work_order_id, CAST(1 AS BIGINT) AS orders, o.version, coalesce(e.n, 0) AS events, coalesce(x.n, 0) AS outbox_rows, coalesce(p.n, 0) AS proposals
        FROM {run_order} o
        LEFT JOIN (SELECT work_order_id AS id, count(*) AS n FROM {run_event} GROUP BY 1) e ON e.id = o.id
        LEFT JOIN (SELECT aggregate_id AS id, count(*) AS n FROM {run_outbox} GROUP BY 1) x ON x.id = o.id

@@ -338,7 +338,7 @@ def review_events(t: Tables) -> DataFrame:
 
 @query(
     "pending_callbacks", "J18",
-    """SELECT tenant_id, id, generated_at, position FROM (
+    """SELECT tenant_id, id, generated_at, CAST(position AS INT) AS position FROM (
          SELECT tenant_id, id, generated_at, row_number() OVER (PARTITION BY tenant_id ORDER BY generated_at, id) AS position FROM {quality_result} q
          WHERE NOT EXISTS (SELECT 1 FROM {rectification_case} c WHERE c.tenant_id = q.tenant_id AND c.current_quality_result_id = q.id AND c.status = 'CLOSED')) ranked
        WHERE position <= 20""",

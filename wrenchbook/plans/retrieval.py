@@ -85,7 +85,7 @@ def bm25_postings(t: Tables) -> DataFrame:
     )
 
 
-@query("bm25_search", "H3", "SELECT query_id, document_key, ordinal, chunk_id, score, rank FROM {bm25}", _SEARCH)
+@query("bm25_search", "H3", "SELECT query_id, document_key, ordinal, chunk_id, score, CAST(rank AS INT) AS rank FROM {bm25}", _SEARCH)
 def bm25_search(t: Tables) -> DataFrame:
     return retrieve.bm25_search(t["benchmark_query"], corpus(t)).select(
         "query_id", "document_key", "ordinal", "chunk_id", "score", "rank"
@@ -94,7 +94,7 @@ def bm25_search(t: Tables) -> DataFrame:
 
 _EXACT = """
 SELECT query_id, tenant_id, document_key, ordinal, chunk_id, distance,
-       row_number() OVER (PARTITION BY query_id ORDER BY distance, document_key, ordinal, chunk_id) AS rank
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, document_key, ordinal, chunk_id) AS INT) AS rank
 FROM (
   SELECT q.query_id, c.tenant_id, c.document_key, c.ordinal, c.chunk_id,
          round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS distance
@@ -135,9 +135,9 @@ def vector_lsh_recall(t: Tables) -> DataFrame:
 
 _LISTS = {
     "by_length": """SELECT lang AS query_id, 'd' || doc_id AS chunk_id, source AS document_key, CAST(doc_id AS INT) AS ordinal,
-                           row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM {documents} QUALIFY rank <= 50""",
+                           CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM {documents} QUALIFY rank <= 50""",
     "by_age": """SELECT lang AS query_id, 'd' || doc_id AS chunk_id, source AS document_key, CAST(doc_id AS INT) AS ordinal,
-                        row_number() OVER (PARTITION BY lang ORDER BY quality DESC, l.doc_id) AS rank
+                        CAST(row_number() OVER (PARTITION BY lang ORDER BY quality DESC, l.doc_id) AS INT) AS rank
                  FROM {documents} JOIN {labels} l USING (doc_id) QUALIFY rank <= 50""",
 }
 
@@ -145,7 +145,7 @@ _LISTS = {
 @query(
     "rank_fusion", "H5",
     """SELECT query_id, document_key, ordinal, chunk_id, bm25_rank, vector_rank, rrf_score,
-              row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, document_key, ordinal, chunk_id) AS rank
+              CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, document_key, ordinal, chunk_id) AS INT) AS rank
        FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.document_key, b.document_key) AS document_key,
                     coalesce(a.ordinal, b.ordinal) AS ordinal, coalesce(a.chunk_id, b.chunk_id) AS chunk_id,
                     a.rank AS bm25_rank, b.rank AS vector_rank,
@@ -197,7 +197,7 @@ def cited_hits(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "policy_citations", "H5 H7",
-    """SELECT b.query_id, b.rank, b.document_key AS document_id, c.title, c.section, c.text AS quote
+    """SELECT b.query_id, CAST(b.rank AS INT) AS rank, b.document_key AS document_id, c.title, c.section, c.text AS quote
        FROM {bm25} b JOIN {chunks} c ON c.chunk_key = b.chunk_id WHERE b.rank <= 5""",
     _SEARCH,
 )
