@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchbook.llm import jaccard_join, quality_ratio
+from wrenchbook.llm import jaccard_join, quality_ratio, suffix_dedup
 from wrenchbook.llm.shared import table
 
 
@@ -21,8 +21,20 @@ def near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, directory, "documents"))
 
 
+def repeated_strings(spark: SparkSession, directory: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, directory, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_jaccard_join": near_duplicates, "op7_quality_ratio": quality}
+    return {
+        "op3_jaccard_join": near_duplicates,
+        "op4_suffix_dedup": repeated_strings,
+        "op7_quality_ratio": quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,6 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_C = np.uint64(0x165667B19E3779F9)
 
-#: A table of words in a Python worker starts anew beyond this many entries.
-WORD_TABLE_LIMIT = 1_000_000
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: a cut of the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
@@ -64,42 +58,13 @@ def windows_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-class WordTable(dict):
-    """Numbers words in the order of their first sight and keeps a 64-bit hash of each."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return number
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def shorten(self) -> None:
-        """Forgets all numbers when there are too many."""
-        if len(self) > WORD_TABLE_LIMIT:
-            self.clear()
-            self.hashes = array("Q")
-
-    def table(self) -> np.ndarray:
-        """The hashes by number."""
-        return np.array(self.hashes, np.uint64)
-
-    def hashed(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of words."""
-        self.shorten()
-        numbers = self.numbers(words)
-        return self.table()[numbers]
-
-
-def split_at(flat: np.ndarray, lengths: Iterable[int]) -> list[np.ndarray]:
-    """Cuts a flat array into pieces of the given lengths."""
-    ends = np.cumsum(np.fromiter(lengths, np.int64))
-    return np.split(flat, ends[:-1]) if len(ends) else []
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes of text, so that work arrays stay small."""
+    for batch in batches:
+        bytes_each = max(batch.column(column).nbytes // max(len(batch), 1), 1)
+        rows = max(size // bytes_each, 1)
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
