@@ -42,7 +42,7 @@ LENGTH = 100
 #: Bytes that the name of a sampled suffix covers: three levels of triples.
 NAMED = 27
 #: Text of a chunk, and positions that are worked on at once.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 PIECE = 1 << 18
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -129,7 +129,7 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
 def _parts(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     order = np.argsort(bucket, kind="stable")
     used, starts = np.unique(bucket[order], return_index=True)
-    return used, np.split(order, starts[1:])
+    return used, np.split(order, starts[1:]) if len(used) else []
 
 
 def _sampled_names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _unpacked(packed: pa.Table) -> Chunk:
     return Chunk(row["chunk"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["missing"], bool), np.frombuffer(row["offsets"], np.int64), data)
 
 
-def _spans_table(chunk: np.ndarray, bucket: int | None, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[str, pa.Array]:
+def _spans_table(chunk: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[str, pa.Array]:
     """Per chunk the rows of documents and their marked bytes, packed."""
     used, parts = _parts(chunk)
     spans = [np.stack([row[p], low[p], high[p]]).astype(np.int64).tobytes() for p in parts]
@@ -222,7 +222,7 @@ def _candidates(packed: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
             first.append(at)
     del seen
     again, first = np.array(again, np.int64), np.array(first, np.int64)
-    own = _spans_table(np.full(len(again), chunk.number), None, row[again], low[again] - chunk.offsets[row[again]], high[again] - chunk.offsets[row[again]])
+    own = _spans_table(np.full(len(again), chunk.number), row[again], low[again] - chunk.offsets[row[again]], high[again] - chunk.offsets[row[again]])
     records = np.zeros(len(first), _RECORD)
     records["no_id"], records["id"], records["chunk"] = chunk.missing[row[first]], chunk.ids[row[first]], chunk.number
     records["row"], records["low"] = row[first], low[first] - chunk.offsets[row[first]]
@@ -300,7 +300,7 @@ def _judged(bucket: pa.Table) -> pa.Table:
     after = np.concatenate([later[1:] & ~fresh[1:], [False]])
     first, last = np.flatnonzero(later & ~before), np.flatnonzero(later & ~after)
     who = record[owner[first]]
-    out = _spans_table(who["chunk"], None, who["row"], who["low"] + nth[first], who["low"] + nth[last] + LENGTH)
+    out = _spans_table(who["chunk"], who["row"], who["low"] + nth[first], who["low"] + nth[last] + LENGTH)
     return pa.table(out)
 
 
@@ -344,13 +344,15 @@ def _cut(packed: pa.Table, spans: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (maximal runs of removed bytes) and the ``kept`` bytes of every row."""
+    # Buckets of names are small; those of texts must fit into a worker with all their strings.
     buckets = 2 * partitions(docs.sparkSession)
+    text_buckets = 4 * buckets
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = plain.mapInArrow(lambda b: _sampled_names(b, buckets), "bucket int, chunk long, names binary")
     repeated = names.groupBy("bucket").applyInArrow(_repeated_names, "chunk long, names binary")
     texts = plain.mapInArrow(_packed_texts, "chunk long, ids binary, missing binary, offsets binary, text binary")
     candidates = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
-        lambda left, right: _candidates(left, right, buckets), "bucket long, records binary, chunk long, spans binary"
+        lambda left, right: _candidates(left, right, text_buckets), "bucket long, records binary, chunk long, spans binary"
     )
     spans = candidates.groupBy("bucket").applyInArrow(_judged, "chunk long, spans binary")
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(
