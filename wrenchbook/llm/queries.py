@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchbook.llm import jaccard_join, quality_ratio, suffix_dedup
+from wrenchbook.llm import jaccard_join, lattice_score, piece_codec, quality_ratio, suffix_dedup
 from wrenchbook.llm.shared import table
 
 
@@ -29,11 +29,26 @@ def repeated_strings(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def pieces(spark: SparkSession, directory: str) -> DataFrame:
+    encoded = piece_codec.encode(table(spark, directory, "documents"))
+    ids = F.array_join(F.transform("pieces", lambda p: p.cast("string")), ",")
+    # Decoding reads nothing but the pieces.
+    return piece_codec.decode(encoded).select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+def probabilities(spark: SparkSession, directory: str) -> DataFrame:
+    return lattice_score.score(table(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_jaccard_join": near_duplicates,
         "op4_suffix_dedup": repeated_strings,
         "op7_quality_ratio": quality,
+        "op8_piece_codec": pieces,
+        "op10_lattice_score": probabilities,
     }
 
 
