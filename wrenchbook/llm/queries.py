@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchbook.llm import jaccard_join, lattice_score, piece_codec, quality_ratio, suffix_dedup
+from wrenchbook.llm import credential_links, jaccard_join, lattice_score, piece_codec, quality_ratio, suffix_dedup
 from wrenchbook.llm.shared import table
 
 
@@ -29,6 +29,15 @@ def repeated_strings(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def secrets(spark: SparkSession, directory: str) -> DataFrame:
+    found = credential_links.scan(table(spark, directory, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(credential_links.joined(base), 256).alias("base_sha256"), credential_links.joined(F.concat(base, "linked")).alias("spans"),
+    )
+
+
 def pieces(spark: SparkSession, directory: str) -> DataFrame:
     encoded = piece_codec.encode(table(spark, directory, "documents"))
     ids = F.array_join(F.transform("pieces", lambda p: p.cast("string")), ",")
@@ -44,6 +53,7 @@ def probabilities(spark: SparkSession, directory: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_credential_links": secrets,
         "op3_jaccard_join": near_duplicates,
         "op4_suffix_dedup": repeated_strings,
         "op7_quality_ratio": quality,
