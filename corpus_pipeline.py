@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wrenchbook.llm import jaccard_join, quality_ratio
+from wrenchbook.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality_ratio
 from wrenchbook.llm.shared import stored, table
 
 
@@ -13,12 +14,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_ratio.keep(docs, quality_ratio.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the line chunks that stand in an earlier place; documents that lose all their words go."""
+    cut = line_dedup.deduplicate(docs)
+    left = cut.where((F.col("removed_chunks") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
     return jaccard_join.keep_first(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates)]
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as piece numbers, with what these are decoded to as the text."""
+    return piece_codec.decode(piece_codec.encode(docs, carry=True).drop("text"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", no_benchmark),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
 #: Hash buckets, alignments and segmentations are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchbook.llm import credential_links, jaccard_join, lattice_score, line_dedup, piece_codec, quality_ratio, reply_trees, suffix_dedup, warc_index
+from wrenchbook.llm import credential_links, decontaminate, jaccard_join, lattice_score, line_dedup, piece_codec, quality_ratio, reply_trees, suffix_dedup, warc_index
 from wrenchbook.llm.shared import table
 
 
@@ -69,6 +69,10 @@ def pieces(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def leaks(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def probabilities(spark: SparkSession, directory: str) -> DataFrame:
     return lattice_score.score(table(spark, directory, "documents"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc_index": captures,
         "op7_quality_ratio": quality,
         "op8_piece_codec": pieces,
+        "op9_decontaminate": leaks,
         "op10_lattice_score": probabilities,
     }
 

@@ -84,10 +84,11 @@ def slabs(offsets: np.ndarray, size: int = SLAB) -> Iterator[tuple[int, int]]:
 
 
 class WordHasher:
-    """Splits at ASCII white space and hashes; one per task."""
+    """Splits at ASCII white space, and at other separators if told, and hashes; one per task."""
 
-    def __init__(self, cases: tuple[str, ...] = ("lower",)) -> None:
+    def __init__(self, cases: tuple[str, ...] = ("lower",), separators: bytes = b"") -> None:
         exact, lower, self.inside = _tables()
+        self.inside[list(separators)] = False
         self.tables = [{"exact": exact, "lower": lower}[case] for case in cases]
         self.powers = _Powers()
 
