@@ -28,7 +28,7 @@ from wrenchbook.llm.lattice import MARK, MODEL, SPACE, Lattice, Vocabulary, by_l
 from wrenchbook.llm.shared import slices
 
 #: A task forgets its segmented words beyond this number.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -49,9 +49,14 @@ class Encoder:
         # The last entry is the score of no piece; a byte is worse than any piece.
         self.scores = np.append(vocabulary.scores, -np.inf)
         self.byte_score = (float(usual.min()) if len(usual) else 0.0) - 1.0
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
-    def _segment(self, words: list[str], length: int) -> None:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _segment(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces per word and all pieces of words of one length."""
         n, rows = len(words), np.arange(len(words))
         edges = self.lattice.edges(words, length)
         loose = self.byte_score * utf8_lengths(words, length)
@@ -72,24 +77,50 @@ class Encoder:
         while (at > 0).any():
             steps.append((np.where(at > 0, piece_of[rows, at], -2), at.copy()))
             at = at - size_of[rows, at]
-        ids, places = np.stack([s[0] for s in steps[::-1]], 1), np.stack([s[1] for s in steps[::-1]], 1)
+        ids = np.stack([s[0] for s in steps[::-1]], 1)
+        used = ids != -2
+        sizes, flat = used.sum(1), ids[used]
+        if (flat == -1).any():
+            return self._with_bytes(words, ids, np.stack([s[1] for s in steps[::-1]], 1))
+        return sizes, flat
+
+    def _with_bytes(self, words: list[str], ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces per word and all pieces, where some characters are spelled in bytes."""
+        out: list[list[int]] = []
         for word, own, ends in zip(words, ids.tolist(), places.tolist()):
-            out: list[int] = []
-            for piece, end in zip(own, ends):
-                if piece >= 0:
-                    out.append(piece)
-                elif piece == -1:
-                    out += [self.byte_ids[b] for b in word[end - 1].replace(MARK, SPACE).encode()]
-            self.known[word] = tuple(out)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+            spelled = ([self.byte_ids[b] for b in word[end - 1].replace(MARK, SPACE).encode()] if piece == -1 else [piece] for piece, end in zip(own, ends) if piece != -2)
+            out.append(list(chain.from_iterable(spelled)))
+        return np.array([len(o) for o in out]), np.fromiter(chain.from_iterable(out), np.int64)
+
+    def _learn(self, new: set[str]) -> None:
+        sizes, flats = [self.sizes], [self.flat]
+        for length, words in by_length(new):
+            own, flat = self._segment(words, length)
+            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+            sizes.append(own)
+            flats.append(flat.astype(np.int32))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flats)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces of the texts, and how many each text has."""
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+            self._forget()
         split = [words_of(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.known)
-        for length, words in by_length(new):
-            self._segment(words, length)
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32) for words in split]
+        if new:
+            self._learn(new)
+        counts = np.array([len(words) for words in split], np.int64)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
+        sizes = self.sizes[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return _gathered(self.flat, self.starts[number], sizes), np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with the given starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def piece_bytes(vocabulary: Vocabulary) -> list[bytes]:
@@ -100,11 +131,6 @@ def piece_bytes(vocabulary: Vocabulary) -> list[bytes]:
     return plain
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *[len(a) for a in arrays]])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
-
-
 def encode(docs: DataFrame, model: str = MODEL, carry: bool = False) -> DataFrame:
     """``doc_id`` and ``pieces``, the piece numbers of every text; with ``carry`` behind all columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -113,9 +139,10 @@ def encode(docs: DataFrame, model: str = MODEL, carry: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in slices(batches):
-            pieces = encoder([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(pieces)], ["row", "pieces"])
+        for batch in slices(batches, size=1 << 20):
+            pieces, counts = encoder([t or "" for t in batch.column("text").to_pylist()])
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(ends, pa.array(pieces, pa.int32()))], ["row", "pieces"])
 
     return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, pieces array<int>").select("row.*", "pieces")
 
@@ -127,10 +154,18 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     plain = encoded.select(F.struct(*kept).alias("row"), "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            pieces = batch.column("pieces").to_pylist()
-            texts = [b"".join(map(table.__getitem__, own or ()))[1:] for own in pieces]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "decoded"])
+        sizes = np.array([len(p) for p in shared.value], np.int64)
+        letters, starts = np.frombuffer(b"".join(shared.value), np.uint8), np.cumsum(sizes) - sizes
+        for batch in slices(batches, "pieces", 1 << 20):
+            lists = batch.column("pieces").cast(pa.large_list(pa.int32()))
+            counts = lists.value_lengths().fill_null(0).to_numpy()
+            pieces = lists.drop_null().flatten().to_numpy()
+            whole = _gathered(letters, starts[pieces], sizes[pieces])
+            # Where each text starts: with the space that was put in front.
+            ends = np.concatenate([[0], np.cumsum(sizes[pieces])])[np.concatenate([[0], np.cumsum(counts)])]
+            whole = np.delete(whole, ends[:-1][counts > 0])
+            ends = ends - np.concatenate([[0], np.cumsum(counts > 0)])
+            texts = pa.Array.from_buffers(pa.large_string(), len(batch), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts.cast(pa.string())], ["row", "decoded"])
 
     return plain.mapInArrow(run, f"row {plain.schema['row'].dataType.simpleString()}, decoded string").select("row.*", F.col("decoded").alias("text"))
