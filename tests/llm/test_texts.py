@@ -57,7 +57,7 @@ def test_suffixes(docs, nothing):
             if body[i : i + 100] in seen:
                 covered[i : i + 100] = b"\1" * 100
             seen.add(body[i : i + 100])
-        runs = [(m.start(), m.end()) for m in re.finditer(rb"\1+", bytes(covered))]
+        runs = [(m.start(), m.end()) for m in re.finditer(rb"\x01+", bytes(covered))]
         expected.append((doc, len(body), runs, bytes(b for b, c in zip(body, covered) if not c)))
     got = [(r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["removed"]], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)

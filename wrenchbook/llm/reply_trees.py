@@ -4,7 +4,7 @@ A tree's nodes know their parent. Iterative self-joins double the reach of every
 its ancestors until all links have passed the root, and add up scores on the way; after k rounds
 trees of depth 2^k are done. The leaves of a tree are its branches, ranked by the score of their
 path. The chosen leaves then walk back: each of the stored rounds, the longest first, doubles the
-number of nodes that are known of a path.
+number of nodes that are known of a path. Every round is written, so plans stay small.
 
 A path is one conversation. Every turn stands between control strings of its role, and control
 characters inside texts and roles are escaped by a backslash, so no text can end a turn, and the
@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 from wrenchbook.functions.ordering import by_number, with_previous
 from wrenchbook.llm.shared import stored
 
-#: Rounds after which trees must be done: paths of up to 2^30 nodes.
-MAX_ROUNDS = 30
-
 # The template: what stands before and after a turn of each role.
 TURNS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 _ESCAPED = r"([\\<\[|])"
@@ -68,8 +65,10 @@ def _ancestors(nodes: DataFrame) -> list[DataFrame]:
     first = nodes.alias("n").join(known.alias("k"), _same("n.tree", "k.tree") & (F.col("n.parent") == F.col("k.parent")), "left").select(
         "n.tree", "n.node", F.when(F.col("k.there"), F.col("n.parent")).alias("up"), F.col("n.score").alias("sum"), F.lit(1).cast("long").alias("steps")
     )
-    rounds = [stored(first, "reply-links")]
-    while len(rounds) < MAX_ROUNDS and not rounds[-1].where("up IS NOT NULL").isEmpty():
+    rounds, before = [stored(first, "reply-links")], -1
+    # A tree has nodes of every depth up to its own, so links that do not get fewer are cycles.
+    while (left := rounds[-1].where("up IS NOT NULL").count()) not in (0, before):
+        before = left
         low, high = rounds[-1].alias("low"), rounds[-1].alias("high")
         joined = low.join(high, _same("low.tree", "high.tree") & (F.col("low.up") == F.col("high.node")), "left")
         rounds.append(
@@ -108,7 +107,7 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         above = walked.alias("w").join(up, _same("w.tree", "u.tree") & (F.col("w.node") == F.col("u.node"))).select(
             "w.tree", "w.leaf", "w.length", "w.rank", F.col("u.up").alias("node"), (F.col("w.place") - (1 << number)).alias("place")
         )
-        walked = walked.unionByName(above)
+        walked = stored(walked.unionByName(above), "reply-paths")
     texts = nodes.select("tree", "node", "role", "text").alias("n")
     return walked.alias("w").join(texts, _same("w.tree", "n.tree") & (F.col("w.node") == F.col("n.node"))).select("w.tree", "w.leaf", "w.rank", "w.place", "n.role", "n.text")
 
