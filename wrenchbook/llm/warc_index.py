@@ -86,21 +86,19 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 def _plain(pages: DataFrame) -> DataFrame:
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = with_row_key(pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("payload")), "page_key")
-    return keyed.withColumn("sha", F.sha1("payload"))
+    return keyed.withColumn("sha", F.sha2("payload", 256))
 
 
 def write(pages: DataFrame) -> DataFrame:
     """Writes the archives and tells their lines: ``key``, ``page_key``, ``file``, ``offset``, ``length``."""
     folder = scratch_path(pages.sparkSession, "warc")
     rows = _plain(pages)
-    # One row per payload comes out of each task, however often a payload is repeated. The bytes
-    # are compared below: equal digests of different payloads would not be taken for a revisit.
+    # One row per payload comes out of each task, however often a payload is repeated. Payloads count
+    # as equal by a digest of 256 bits; the archive's own digest is too short for that.
     last = rows.groupBy("sha").agg(F.max(F.struct("page_id", "page_key")).alias("last"), F.count(F.lit(1)).alias("times"))
     shared = last.where("times > 1").select("sha", "last")
-    kept = rows.join(shared.select(F.col("last.page_key").alias("page_key")), "page_key", "left_semi").select("sha", F.col("payload").alias("first_payload"))
-    joined = rows.join(shared, "sha", "left").join(kept, "sha", "left")
-    revisit = (F.length("payload") >= LEAST_SHARED) & (F.col("page_key") != F.col("last.page_key")) & (F.col("payload") == F.col("first_payload"))
-    typed = joined.select(
+    revisit = (F.length("payload") >= LEAST_SHARED) & (F.col("page_key") != F.col("last.page_key"))
+    typed = rows.join(shared, "sha", "left").select(
         "page_key", "page_id", "url", "payload", address_key(F.col("url")).alias("key"), F.coalesce(revisit, F.lit(False)).alias("revisit"),
         F.col("last.page_id").alias("refers_to"),
     )
