@@ -42,7 +42,9 @@ LENGTH = 100
 #: Bytes that the name of a sampled suffix covers: three levels of triples.
 NAMED = 27
 #: Text of a chunk, and positions that are worked on at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Bytes of pieces that are sorted at once; a larger bucket is worked off by ranges of names.
+PASS = 2 << 20
 PIECE = 1 << 18
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -195,7 +197,7 @@ def _spans_table(chunk: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.n
 
 
 # The parts of a record on its way to the bucket of its name, beside its piece of text.
-_RECORD = np.dtype([("no_id", "?"), ("id", "<i8"), ("chunk", "<i8"), ("row", "<i4"), ("low", "<i8"), ("strings", "<i4")])
+_RECORD = np.dtype([("name", "<u8"), ("no_id", "?"), ("id", "<i8"), ("chunk", "<i8"), ("row", "<i4"), ("low", "<i8"), ("strings", "<i4")])
 
 
 def _candidates(packed: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
@@ -224,6 +226,7 @@ def _candidates(packed: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     again, first = np.array(again, np.int64), np.array(first, np.int64)
     own = _spans_table(np.full(len(again), chunk.number), row[again], low[again] - chunk.offsets[row[again]], high[again] - chunk.offsets[row[again]])
     records = np.zeros(len(first), _RECORD)
+    records["name"] = key[hit[first]]
     records["no_id"], records["id"], records["chunk"] = chunk.missing[row[first]], chunk.ids[row[first]], chunk.number
     records["row"], records["low"] = row[first], low[first] - chunk.offsets[row[first]]
     records["strings"] = high[first] - low[first] - LENGTH + 1
@@ -250,8 +253,8 @@ def _equal_neighbours(data: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -
     """Whether the strings at sorted places p and p - 1 have the same bytes."""
     view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     out = np.zeros(len(pairs), bool)
-    for a in range(0, len(pairs), 1 << 16):
-        p = pairs[a : a + (1 << 16)]
+    for a in range(0, len(pairs), 1 << 14):
+        p = pairs[a : a + (1 << 14)]
         out[a : a + len(p)] = (view[starts[p]] == view[starts[p - 1]]).all(1)
     return out
 
@@ -260,28 +263,43 @@ def _judged(bucket: pa.Table) -> pa.Table:
     """Spans of all strings of a bucket that have an equal one before them."""
     if bucket.column("records").null_count:
         return bucket.select(["chunk", "spans"])
-    unpack = zstandard.ZstdDecompressor()
-    records, bodies = [], []
+    unpack, loaded = zstandard.ZstdDecompressor(), []
     for payload in bucket.column("records").to_pylist():
         raw = unpack.decompress(payload)
         n = int.from_bytes(raw[:8], "little")
-        records.append(np.frombuffer(raw, _RECORD, n, 8))
-        bodies.append(raw[8 + n * _RECORD.itemsize :])
-    record = np.concatenate(records)
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    del bodies, records
+        loaded.append((np.frombuffer(raw, _RECORD, n, 8), np.frombuffer(raw, np.uint8, offset=8 + n * _RECORD.itemsize)))
+    passes = max(sum(len(body) for _, body in loaded) // PASS, 1)
+    return pa.concat_tables([_later_strings(*_of_pass(loaded, number, passes)) for number in range(passes)])
+
+
+def _of_pass(loaded: list[tuple[np.ndarray, np.ndarray]], number: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The records with names of one range, and their pieces."""
+    records, bodies = [], []
+    for record, body in loaded:
+        mine = mixed(record["name"]) % np.uint64(passes) == number
+        sizes = record["strings"].astype(np.int64) + LENGTH - 1
+        begin = (np.cumsum(sizes) - sizes)[mine]
+        sizes = sizes[mine]
+        records.append(record[mine])
+        bodies.append(body[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
+    return np.concatenate(records), np.concatenate(bodies)
+
+
+def _later_strings(record: np.ndarray, data: np.ndarray) -> pa.Table:
+    if not len(record):
+        return pa.table({"chunk": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
     sizes = record["strings"].astype(np.int64) + LENGTH - 1
     begin = np.cumsum(sizes) - sizes
     # Strings in the order of the documents; a stable sort by name then keeps this order.
     order = np.lexsort((record["low"], record["row"], record["chunk"], record["id"], record["no_id"]))
     counts = record["strings"][order].astype(np.int64)
-    owner = np.repeat(order, counts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = begin[owner] + nth
+    owner = np.repeat(order.astype(np.int32), counts)
+    nth = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    starts = (begin[owner] + nth).astype(np.int32 if len(data) < 1 << 31 else np.int64)
     names = np.concatenate([prefix_names(data[a : a + PIECE + LENGTH - 1])[1] for a in range(0, max(len(data) - LENGTH + 1, 0), PIECE)])
     key = names[starts]
     del names
-    by_name = np.argsort(key, kind="stable")
+    by_name = np.argsort(key, kind="stable").astype(owner.dtype)
     sorted_starts = starts[by_name]
     same = np.flatnonzero(np.diff(key[by_name]) == 0) + 1
     equal = _equal_neighbours(data, sorted_starts, same)
@@ -346,7 +364,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (maximal runs of removed bytes) and the ``kept`` bytes of every row."""
     # Buckets of names are small; those of texts must fit into a worker with all their strings.
     buckets = 2 * partitions(docs.sparkSession)
-    text_buckets = 4 * buckets
+    text_buckets = 8 * buckets
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = plain.mapInArrow(lambda b: _sampled_names(b, buckets), "bucket int, chunk long, names binary")
     repeated = names.groupBy("bucket").applyInArrow(_repeated_names, "chunk long, names binary")
