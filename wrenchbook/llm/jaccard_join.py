@@ -2,16 +2,18 @@
 
 A document is the set of its distinct five-word shingles. All sets are ordered alike: rare tokens
 first, frequent ones last, by hash within a class. Two sets whose Jaccard similarity reaches the
-threshold share at least K tokens of their prefixes of n - ceil(t n) + K tokens. So a shared rare
-token is found by itself; if all shared ones are frequent, K of them are found as a combination.
+threshold share at least K tokens of their prefixes of n - ceil(t n) + K tokens (or all that they
+share, if these are fewer). So a shared rare token is found by itself; if all shared ones are
+frequent, two of them are found as a combination.
 Documents with very many frequent tokens in the prefix (members of large groups of copies) would
 need too many combinations: they are found by single frequent tokens, which the other documents
 offer to them but not to each other.
 
 Equal sets are one class before anything is indexed. Of the classes that meet under a token, each
-is compared with the group's first one; groups whose members then are in one component need no
-further pair. In the others all pairs between different components are verified. Every comparison
-counts the exact intersection.
+is compared with one of them, which differs from round to round; groups whose members are in one
+component by then need no further pair. After ``ROUNDS`` rounds the pairs between different components
+that are left are verified, if they have a common token that stands early enough in both and enough
+other tokens that are shared at all. Every comparison counts the exact intersection.
 
 Frequency is only used to order tokens, so an inexact class costs time but never a link: tokens
 count as frequent when the tasks that saw them ``LOCAL_COUNT`` times saw them ``FREQUENT`` times
@@ -30,31 +32,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchbook.llm.components import components
-from wrenchbook.llm.shared import MIX_A, MIX_B, mixed, partitions, stored, windows_hash, with_row_key
+from wrenchbook.llm.shared import MIX_A, MIX_B, mixed, partitions, slices, stored, windows_hash, with_row_key
 from wrenchbook.llm.wordhash import WordHasher, runs
 
 SHINGLE = 5
 #: Similarity in hundredths from which documents are linked.
 SIMILAR = 80
-#: Frequent tokens of a combination.
-COMBINED = 2
+#: Tokens by which prefixes are extended, so many that similar sets share in them.
+EXTENDED = 12
 #: From so many frequent tokens in a prefix on, single tokens replace their combinations.
-MANY_FREQUENT = 16
+MANY_FREQUENT = 8
 #: A task reports tokens that it saw in so many different sets.
 LOCAL_COUNT = 4
 #: Reported sightings that make a token frequent.
 FREQUENT = 48
+#: Rounds in which the members of a group are compared with one of them.
+ROUNDS = 3
 #: Size of the bitmap of frequent tokens, and of that of candidate classes, as a power of two.
 FREQUENT_BITS = 26
 CLASS_BITS = 24
 #: Shingles that a task gathers before it counts them, postings before it hands them on.
-FLUSH = 4_000_000
+COUNT_FLUSH = 2_000_000
+INDEX_FLUSH = 1_000_000
 
-_ALONE, _OFFERED, _LARGE = 0, 1, 2
+_ALONE, _COMBINED, _OFFERED, _LARGE = 0, 1, 2, 3
 
 
 def shingle_sets(hasher: WordHasher, column: pa.Array) -> list[np.ndarray]:
@@ -94,7 +99,7 @@ def _describe(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterat
         nothing = {"row_key": pa.nulls(n, pa.int64()), "doc_id": pa.nulls(n, id_type), "n": pa.nulls(n, pa.int32()), "key_a": pa.nulls(n, pa.int64()), "key_b": pa.nulls(n, pa.int64())}
         return pa.RecordBatch.from_pydict({**nothing, "token": tokens[often].view(np.int64), "sets": counts[often]})
 
-    for batch in batches:
+    for batch in slices(batches):
         sets = shingle_sets(hasher, batch.column("text"))
         keys = [_set_key(s) for s in sets]
         for key, tokens in zip(keys, sets):
@@ -109,7 +114,7 @@ def _describe(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterat
                 "token": pa.nulls(len(sets), pa.int64()), "sets": pa.nulls(len(sets), pa.int64()),
             }
         )
-        if held > FLUSH:
+        if held > COUNT_FLUSH:
             yield report()
             gathered, held = [], 0
     if gathered:
@@ -134,29 +139,27 @@ def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and their kinds."""
+def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set, their kinds and places; the upper bits of a kind count the frequent tokens."""
     n = len(tokens)
-    length = min(n, n - -(-SIMILAR * n // 100) + COMBINED)
+    length = min(n, n - -(-SIMILAR * n // 100) + EXTENDED)
     rare = tokens[~frequent][:length]
     often = tokens[frequent][: length - len(rare)]
-    if len(often) < COMBINED:
-        return rare, np.zeros(len(rare), np.uint8)
-    single = mixed(often ^ MIX_B)
-    if len(often) > MANY_FREQUENT:
-        return np.concatenate([rare, single]), np.repeat(np.array([_ALONE, _LARGE], np.uint8), [len(rare), len(often)])
-    a, b = np.triu_indices(len(often), 1)
-    pairs = mixed(often[a] * MIX_A + often[b])
-    return np.concatenate([rare, pairs, single]), np.repeat(np.array([_ALONE, _ALONE, _OFFERED], np.uint8), [len(rare), len(pairs), len(often)])
+    a, b = np.triu_indices(len(often) if len(often) <= MANY_FREQUENT else 0, 1)
+    keys = [rare, mixed(often[a] * MIX_A + often[b]), mixed(often ^ MIX_B)]
+    kinds = np.repeat(np.array([_ALONE, _COMBINED, _OFFERED if len(often) <= MANY_FREQUENT else _LARGE], np.uint8), [len(k) for k in keys])
+    # A combination is found wherever its tokens stand.
+    places = np.concatenate([np.arange(len(rare)), np.zeros(len(a)), len(rare) + np.arange(len(often))])
+    return np.concatenate(keys), kinds | np.uint8(min(len(often), 63) << 2), np.minimum(places, 65535).astype(np.uint16)
 
 
 def _index(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Postings of the task's different sets, packed by bucket of their key."""
     hasher, seen = WordHasher(), set()
-    keys, kinds, rows, held = [], [], [], 0
+    keys, kinds, places, rows, held = [], [], [], [], 0
 
     def packed() -> pa.RecordBatch:
-        key, kind, row = np.concatenate(keys), np.concatenate(kinds), np.concatenate(rows)
+        key, kind, place, row = map(np.concatenate, (keys, kinds, places, rows))
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         used, starts = np.unique(bucket[order], return_index=True)
@@ -166,46 +169,69 @@ def _index(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, buckets: int)
             values = values[order]
             return pa.array([values[a:b].tobytes() for a, b in parts], pa.binary())
 
-        return pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "keys": column(key), "kinds": column(kind), "rows": column(row)})
+        return pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "keys": column(key), "kinds": column(kind), "places": column(place), "rows": column(row)})
 
-    for batch in batches:
+    for batch in slices(batches):
         for row, tokens in zip(batch.column("row_key").to_pylist(), shingle_sets(hasher, batch.column("text"))):
             key = _set_key(tokens)
             if not len(tokens) or key in seen:
                 continue
             seen.add(key)
-            own, kind = _signatures(tokens, _marked(bitmap, _positions(tokens, FREQUENT_BITS)))
+            own, kind, place = _signatures(tokens, _marked(bitmap, _positions(tokens, FREQUENT_BITS)))
             keys.append(own)
             kinds.append(kind)
+            places.append(place)
             rows.append(np.full(len(own), row, np.int64))
             held += len(own)
-        if held > FLUSH:
+        if held > INDEX_FLUSH:
             yield packed()
-            keys, kinds, rows, held = [], [], [], 0
+            keys, kinds, places, rows, held = [], [], [], [], 0
     if held:
         yield packed()
 
 
+_GROUPS = pa.schema([("name", pa.int64()), ("weight", pa.int32()), ("row_key", pa.int64()), ("offered", pa.bool_()), ("often", pa.int32()), ("place", pa.int32())])
+
+
 def _groups(bucket: pa.Table) -> pa.Table:
     """Rows that share a key, each different set of rows once."""
     def whole(name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind)
 
-    keys, kinds, rows = whole("keys", np.uint64), whole("kinds", np.uint8), whole("rows", np.int64)
+    keys, kinds, places, rows = whole("keys", np.uint64), whole("kinds", np.uint8), whole("places", np.uint16), whole("rows", np.int64)
+    if not len(keys):
+        return _GROUPS.empty_table()
     order = np.lexsort((rows, keys))
-    keys, kinds, rows = keys[order], kinds[order], rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    keys, kinds, often, places, rows = keys[order], kinds[order] & 3, kinds[order] >> 2, places[order], rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    # A group of offered tokens alone is nobody's: at least one member must have many frequent ones.
-    wanted = (sizes > 1) & ((kinds[starts] == _ALONE) | (np.maximum.reduceat(kinds, starts) == _LARGE) if len(starts) else False)
-    # Equal member lists have equal sums of hashes; two 64-bit sums name a group.
+    # Offered tokens are for sets of many frequent ones: a group needs one of these.
+    kind = np.maximum.reduceat(kinds, starts)
+    chosen = np.flatnonzero((sizes > 1) & (kind != _OFFERED))
+    # Equal member lists have equal sums of hashes; one of the groups that have them stands for all.
     spread = mixed(rows.view(np.uint64) ^ (kinds.astype(np.uint64) << np.uint64(62)))
-    name = np.add.reduceat(spread, starts) if len(starts) else np.empty(0, np.uint64)
-    chosen = np.flatnonzero(wanted)
-    _, first = np.unique(np.stack([name[chosen], sizes[chosen].astype(np.uint64)], 1), axis=0, return_index=True)
+    name = np.add.reduceat(spread, starts) + kind.astype(np.uint64)
+    names, first, alike, weight = np.unique(name[chosen], return_index=True, return_inverse=True, return_counts=True)
+    weight *= kind[chosen[first]] != _COMBINED
+
+    def members(groups: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in groups]) if len(groups) else np.empty(0, np.int64)
+
+    # The first place of a member under any key of the group.
+    width = sizes[chosen]
+    begin = np.cumsum(width[first]) - width[first]
+    slot = np.repeat(begin[alike] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+    place = np.full(width[first].sum(), 65535, np.int32)
+    np.minimum.at(place, slot, places[members(chosen)])
     chosen = chosen[first]
-    member = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in chosen]) if len(chosen) else np.empty(0, np.int64)
-    return pa.table({"name": np.repeat(name[chosen], sizes[chosen]).view(np.int64), "row_key": rows[member], "offered": kinds[member] == _OFFERED})
+    member = members(chosen)
+    return pa.table(
+        {
+            "name": np.repeat(names, sizes[chosen]).view(np.int64), "weight": np.repeat(weight, sizes[chosen]).astype(np.int32),
+            "row_key": rows[member], "offered": kinds[member] == _OFFERED, "often": often[member].astype(np.int32), "place": place,
+        },
+        schema=_GROUPS,
+    )
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,33 +269,34 @@ class JaccardJoin:
         )
 
     def _member_groups(self) -> DataFrame:
-        """``name``, ``class``, ``n``, ``offered``: classes that meet under a key."""
+        """Classes that meet under a key: ``name`` and ``weight`` (keys of one token) of the group, ``class``, ``n``, ``offered``, ``often``, ``place``."""
         frequent = self.spark.sparkContext.broadcast(_bitmap(self._often.select(F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("position")), FREQUENT_BITS))
         buckets = 4 * partitions(self.spark)
-        packed = self.keyed.select("row_key", "text").mapInArrow(lambda b: _index(b, frequent.value, buckets), "bucket int, keys binary, kinds binary, rows binary")
-        found = packed.groupBy("bucket").applyInArrow(_groups, "name long, row_key long, offered boolean")
+        packed = self.keyed.select("row_key", "text").mapInArrow(lambda b: _index(b, frequent.value, buckets), "bucket int, keys binary, kinds binary, places binary, rows binary")
+        found = packed.groupBy("bucket").applyInArrow(_groups, "name long, weight int, row_key long, offered boolean, often int, place int")
         of_row = self.rows.where("n > 0").join(self.classes, ["key_a", "key_b", "n"]).select("row_key", "class", "n")
-        members = found.join(of_row, "row_key").groupBy("name", "class").agg(F.first("n").alias("n"), F.min("offered").alias("offered"))
-        return stored(members, "jaccard-groups")
+        # Different buckets may have found the same group; its keys add up.
+        named = found.join(of_row, "row_key").groupBy("name", "class").agg(
+            F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("offered").alias("offered"), F.first("often").alias("often"), F.min("place").alias("place"),
+        )
+        return stored(named, "jaccard-groups")
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """The token sets of the classes in column ``class``."""
-        keys = wanted.join(self.classes, "class").select("class", "key_a", "key_b")
-        marks = self.spark.sparkContext.broadcast(_bitmap(keys.select(F.shiftrightunsigned("key_a", 64 - CLASS_BITS).alias("position")), CLASS_BITS))
+        spread = F.shiftrightunsigned(F.xxhash64("class"), 64 - CLASS_BITS)
+        marks = self.spark.sparkContext.broadcast(_bitmap(wanted.select(spread.alias("position")), CLASS_BITS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, seen = WordHasher(), set()
-            for batch in batches:
-                out = []
-                for tokens in shingle_sets(hasher, batch.column("text")):
-                    key = _set_key(tokens)
-                    if len(tokens) and key not in seen and _marked(marks.value, np.array([(key[0] % (1 << 64)) >> (64 - CLASS_BITS)]))[0]:
-                        seen.add(key)
-                        out.append((*key, tokens.tobytes()))
-                yield pa.RecordBatch.from_pydict({"key_a": pa.array([o[0] for o in out], pa.int64()), "key_b": pa.array([o[1] for o in out], pa.int64()), "tokens": pa.array([o[2] for o in out], pa.binary())})
-
-        sets = self.keyed.select("text").mapInArrow(run, "key_a long, key_b long, tokens binary")
-        return stored(sets.join(keys, ["key_a", "key_b"]).groupBy("class").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+            hasher = WordHasher()
+            for batch in slices(batches):
+                batch = batch.filter(pa.array(_marked(marks.value, batch.column("position").to_numpy())))
+                if len(batch):
+                    sets = shingle_sets(hasher, batch.column("text"))
+                    yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+        # A class is named by its first row, and that row alone tells its set.
+        rows = self.keyed.select(F.col("row_key").alias("class"), "text").withColumn("position", spread)
+        return stored(rows.mapInArrow(run, "class long, tokens binary"), "jaccard-sets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("set_a"))
@@ -279,34 +306,57 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Links ``a``, ``b`` between classes that join all of them into the right components."""
         groups = self._member_groups()
+        nothing = self.spark.createDataFrame([], "a long, b long")
+        sets = self.spark.createDataFrame([], "class long, tokens binary")
+        found = compared = nothing
+        placed = groups.withColumn("root", F.col("class"))
+        for number in range(ROUNDS + 1):
+            pairs = self._stars(placed, number) if number < ROUNDS else self._between(groups, placed)
+            pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
+            if not pairs.isEmpty():
+                wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+                new = stored(wanted.join(sets, "class", "left_anti"), "jaccard-wanted")
+                if not new.isEmpty():
+                    sets = sets.unionByName(self._sets(new))
+                compared = compared.unionByName(pairs)
+                found = found.unionByName(stored(self._verified(pairs, sets), "jaccard-links"))
+                if number < ROUNDS:
+                    known = components(found, "jaccard-near").withColumnRenamed("node", "class")
+                    placed = groups.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        return found
+
+    def _stars(self, placed: DataFrame, number: int) -> DataFrame:
+        """Pairs of one member of a group, another one in every round, with those of other components."""
         near = (F.col("n") * 100 >= F.col("first.n") * SIMILAR) & (F.col("first.n") * 100 >= F.col("n") * SIMILAR)
         # A member that is offered can only be a partner, so the first one is not, if there is one.
-        first = groups.groupBy("name").agg(F.min(F.struct("offered", "class", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        stars = groups.join(first, "name").where(near & (F.col("class") != F.col("first.class")) & ~(F.col("offered") & F.col("first.offered")))
-        pairs = stored(stars.select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-stars")
-        sets = self._sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
-        found = stored(self._verified(pairs, sets), "jaccard-links")
-
-        rest = self._between(groups, components(found, "jaccard-near"), pairs)
-        if rest.isEmpty():
-            return found
-        sets = sets.unionByName(self._sets(rest.select(F.col("a").alias("class")).union(rest.select(F.col("b").alias("class"))).distinct().join(sets, "class", "left_anti")))
-        return found.unionByName(stored(self._verified(rest, sets), "jaccard-links"))
-
-    def _between(self, groups: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of a group that are in different components and have not been compared."""
-        placed = groups.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        first = placed.groupBy("name").agg(F.min(F.struct("offered", F.xxhash64("class", F.lit(number)), "class", "n", "root")).alias("first"))
+        apart = (F.col("root") != F.col("first.root")) & ~(F.col("offered") & F.col("first.offered"))
+        stars = placed.join(first, "name").where(near & apart)
+        return stars.select(F.least("first.class", "class").alias("a"), F.greatest("first.class", "class").alias("b")).distinct()
+
+    def _between(self, groups: DataFrame, placed: DataFrame) -> DataFrame:
+        """Pairs of a group that are in different components and may be similar."""
         mixed_groups = placed.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-        # A component that stays alone in its group needs no pair; the others meet on the group's name.
         open_members = placed.join(mixed_groups, "name")
+        # The first common token stands before those that the pair must have in common. At most the keys that
+        # a set shares with any other one, and what stands behind the prefixes, can be common. Frequent tokens are keys of their own only beside a set that has many.
+        uncounted = F.when(F.max("often") > MANY_FREQUENT, 0).otherwise(F.max("often"))
+        shareable = groups.groupBy("class").agg((F.sum("weight") + uncounted).alias("shareable"))
+        open_members = open_members.join(shareable, "class")
         x, y = open_members.alias("x"), open_members.alias("y")
+
+        def behind(n: str) -> Column:
+            return F.greatest(F.lit(0), F.ceil(F.col(n) * SIMILAR / 100) - EXTENDED)
+
+        overlap = F.ceil((F.col("x.n") + F.col("y.n")) * SIMILAR / (100 + SIMILAR))
+        needed = overlap - F.greatest(behind("x.n"), behind("y.n"))
+        early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
         apart = (
-            (F.col("x.root") != F.col("y.root")) & (F.col("x.class") < F.col("y.class")) & ~(F.col("x.offered") & F.col("y.offered"))
+            (F.col("x.name") == F.col("y.name")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.class") < F.col("y.class"))
+            & ~(F.col("x.offered") & F.col("y.offered")) & (F.least("x.shareable", "y.shareable") >= needed) & early
             & (F.col("x.n") * 100 >= F.col("y.n") * SIMILAR) & (F.col("y.n") * 100 >= F.col("x.n") * SIMILAR)
         )
-        pairs = x.join(y, F.col("x.name") == F.col("y.name")).where(apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-        compared = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return stored(pairs.join(compared, ["a", "b"], "left_anti"), "jaccard-between")
+        return x.join(y, apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """One row per row of ``docs``; ``root`` is the class that names the component."""
