@@ -69,14 +69,16 @@ def _ancestors(nodes: DataFrame) -> list[DataFrame]:
     # A tree has nodes of every depth up to its own, so links that do not get fewer are cycles.
     while (left := rounds[-1].where("up IS NOT NULL").count()) not in (0, before):
         before = left
-        low, high = rounds[-1].alias("low"), rounds[-1].alias("high")
-        joined = low.join(high, _same("low.tree", "high.tree") & (F.col("low.up") == F.col("high.node")), "left")
+        # Only nodes whose link has not passed the root take part.
+        low, high = rounds[-1].where("up IS NOT NULL").alias("low"), rounds[-1].alias("high")
+        joined = low.join(high, _same("low.tree", "high.tree") & (F.col("low.up") == F.col("high.node")))
+        done = rounds[-1].where("up IS NULL")
         rounds.append(
             stored(
                 joined.select(
                     "low.tree", "low.node", F.col("high.up").alias("up"),
                     (F.col("low.sum") + F.coalesce("high.sum", F.lit(0.0))).alias("sum"), (F.col("low.steps") + F.coalesce("high.steps", F.lit(0))).alias("steps"),
-                ),
+                ).unionByName(done),
                 "reply-links",
             )
         )
