@@ -141,6 +141,13 @@ def test_second_command_on_a_version_conflicts(spark):
     assert finals.first().version == 4
 
 
+def test_command_on_an_unknown_target_stays(spark):
+    batch = spark.createDataFrame([("t", "o", "a", 3, T0), ("t", "o", "b", 9, T0), ("t", "lost", "c", 0, T0)], "tenant_id string, target_id string, command_id string, expected_version long, arrived_at timestamp_ntz")
+    judged, finals = commands.apply_commands(spark.createDataFrame([("t", "o", 3)], "tenant_id string, id string, version long"), batch)
+    assert {r.command_id: (r.applied, r.outcome) for r in judged.collect()} == {"a": (True, "APPLIED"), "b": (False, "CONFLICT"), "c": (False, "NOT_FOUND")}
+    assert [(r.target_id, r.version) for r in finals.collect()] == [("o", 4)]
+
+
 def test_log_checks(spark):
     rows = [
         ("t", "o", 1, T0, "PENDING_DISPATCH", "PENDING_ACCEPTANCE", 0, 1),
@@ -199,6 +206,21 @@ def test_leases(spark):
     assert got == {"ended": ("RETRY_WAIT", T0), "alive": ("RUNNING", None), "spent": ("FAILED", None), "waiting": ("RETRY_WAIT", T0)}
 
 
+def test_leases_keep_other_error_codes(spark):
+    rows = [("t", "ended", "RUNNING", 0, 1, 3, None, T0 - timedelta(hours=1), T0, "OLD"), ("t", "done", "FAILED", 0, 3, 3, None, None, T0, "OLD")]
+    got = {r.id: r.error_code for r in jobs.recover_leases(spark.createDataFrame(rows, JOB + ", error_code string"), str(T0)).collect()}
+    assert got == {"ended": jobs.LEASE_EXPIRED, "done": "OLD"}
+
+
+def test_first_outcome_of_an_attempt_counts(spark):
+    df = spark.createDataFrame([("t", "j", "RUNNING", 0, 1, 3, None, T0, T0)], JOB)
+    reported = spark.createDataFrame(
+        [("t", "j", 1, "FATAL", None, T0 + timedelta(minutes=1)), ("t", "j", 1, "OK", "PASS", T0)],
+        "tenant_id string, job_id string, attempt int, outcome string, verdict string, finished_at timestamp_ntz",
+    )
+    assert [r.status for r in jobs.next_job_state(df, reported).collect()] == ["SUCCEEDED"]
+
+
 def test_retry_delays(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 4, 5, 6, 80)], "n int")
     assert [r[0] for r in df.select(jobs.retry_delay(F.col("n"))).collect()] == [None, 5, 10, 20, 40, 60, 60, 60]

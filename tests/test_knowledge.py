@@ -203,8 +203,11 @@ def test_backlog_outcomes_are_per_row(spark):
 
     chunks = spark.createDataFrame([("t", k, "h", v) for k, v in texts.items()], "tenant_id string, chunk_id string, content_hash string, text string")
     jobs = chunks.select("tenant_id", F.col("chunk_id").alias("job_id"), "chunk_id", F.lit("m").alias("model_key")).coalesce(1)
+    lost = spark.createDataFrame([("t", "lost", "nowhere", "m")], jobs.schema)
+    jobs = jobs.union(lost)
     got = {r.job_id: (r.outcome, r.error_code) for r in embed.embed_backlog(jobs, chunks, provider, 2).collect()}
     assert got == {
+        "lost": ("FAILED", "EMBEDDING_CHUNK_MISSING"),
         "a": ("SUCCEEDED", None),
         "b": ("RETRY", "EMBEDDING_PROVIDER_TIMEOUT"),
         "c": ("FAILED", "EMBEDDING_PROVIDER_AUTH_FAILED"),

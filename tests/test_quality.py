@@ -247,3 +247,15 @@ def test_callbacks_are_the_oldest(spark):
     assert [r.id for r in rectify.pending_callbacks(rows, sent, 2).orderBy("position").collect()] == ["r3", "r2"]
     with pytest.raises(ValueError):
         rectify.pending_callbacks(rows, sent, 21)
+
+
+def test_an_execution_that_does_not_fit_hides_none(spark):
+    cases = spark.createDataFrame(
+        [("t", "fail", "FAIL", "PROPOSED", None, None), ("t", "pass", "PASS", "PROPOSED", None, None), ("t", "idle", "FAIL", "PROPOSED", None, None)],
+        "tenant_id string, id string, current_verdict string, status string, closed_at timestamp_ntz, rectification_work_order_id string",
+    )
+    later = T0 + timedelta(hours=1)
+    runs = [(c, a, f"w{c}{a[:2]}", at) for c in ("fail", "pass") for a, at in (("CLOSE", T0 if c == "fail" else later), ("CREATE_RECTIFICATION", later if c == "fail" else T0))]
+    executions = spark.createDataFrame([("t", *r) for r in [*runs, ("idle", "CLOSE", "w", T0)]], "tenant_id string, case_id string, action string, work_order_id string, executed_at timestamp_ntz")
+    got = {r.id: (r.status, r.closed_at, r.rectification_work_order_id) for r in rectify.advance_cases(cases, executions).collect()}
+    assert got == {"fail": ("RECTIFYING", None, "wfailCR"), "pass": ("CLOSED", later, None), "idle": ("PROPOSED", None, None)}

@@ -46,7 +46,9 @@ def apply_commands(targets: DataFrame, commands: DataFrame, grain: str = "day")
     Returns the commands with ``applied`` and the version they met, and the
     final version per target. Like the event replay, each (target, interval) is
     summarised as a map from start to end version, the maps are chained per
-    target, and every interval is judged from its true start version.
+    target, and every interval is judged from its true start version. A command
+    on an unknown target stays, is not applied and has the outcome ``NOT_FOUND``;
+    such targets have no final version.
     """
     keys = ["tenant_id", "target_id"]
     item = F.struct("arrived_at", "command_id", "expected_version")
@@ -70,7 +72,7 @@ def apply_commands(targets: DataFrame, commands: DataFrame, grain: str = "day")
         segments.select(*keys, SEGMENT, moves(F.col("_expected")).alias("_moves"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(SEGMENT), F.map_entries("_moves").alias("_moves")))).alias("_chain"))
-        .join(current, keys)
+        .join(current, keys, "left")
     )
     walk = F.aggregate(
         "_chain",
@@ -86,14 +88,15 @@ def apply_commands(targets: DataFrame, commands: DataFrame, grain: str = "day")
     ).select(*keys, F.col(f"_part.{SEGMENT}").alias(SEGMENT), F.element_at("_starts", F.col("_at") + 1).alias("_start"))
     judged = (
         segments.join(starts, [*keys, SEGMENT])
-        .withColumn("_applied", flags(F.col("_start"), F.col("_expected")))
+        .withColumn("_applied", flags(F.coalesce("_start", F.lit(0)), F.col("_expected")))
         .select(*keys, "_start", F.explode(F.arrays_zip("_items", "_applied")).alias("_r"))
         .select(
             *keys, "_r._items.command_id", "_r._items.arrived_at", "_r._items.expected_version",
-            F.col("_r._applied").alias("applied"),
+            (F.col("_start").isNotNull() & F.col("_r._applied")).alias("applied"),
+            F.when(F.col("_start").isNull(), "NOT_FOUND").when(F.col("_r._applied"), "APPLIED").otherwise("CONFLICT").alias("outcome"),
         )
     )
-    finals = walked.select(*keys, F.col("_walk.version").alias("version"))
+    finals = walked.where("_version IS NOT NULL").select(*keys, F.col("_walk.version").alias("version"))
     return judged, finals
 
 

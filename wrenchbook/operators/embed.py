@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Outcome codes of an embedding attempt.
 UNKNOWN_ERROR_CODE = "EMBEDDING_PROVIDER_UNAVAILABLE"
 INVALID_VECTOR_CODE = "EMBEDDING_VECTOR_INVALID"
+MISSING_CHUNK_CODE = "EMBEDDING_CHUNK_MISSING"
 RETRY_MINUTES = 5
 
 
@@ -92,11 +93,13 @@ def embed_backlog(
 
     A failing batch is repeated row by row, so that one bad text does not decide
     for its neighbours. Outcomes: SUCCEEDED with a vector, RETRY or FAILED with a code.
-    Each task streams over its partition; nothing is gathered.
+    A job whose chunk is missing fails without a call. Each task streams over its
+    partition; nothing is gathered.
     """
-    work = jobs.join(
-        chunks.select("tenant_id", "chunk_id", "content_hash", "text"), ["tenant_id", "chunk_id"]
-    ).select("tenant_id", "job_id", "chunk_id", "model_key", "content_hash", "text")
+    wanted = chunks.select("tenant_id", "chunk_id", "content_hash", "text", F.lit(True).alias("there"))
+    work = jobs.join(wanted, ["tenant_id", "chunk_id"], "left").select(
+        "tenant_id", "job_id", "chunk_id", "model_key", "content_hash", "text", F.coalesce("there", F.lit(False)).alias("there")
+    )
 
     def outcome(texts: list[str]) -> list[tuple[str, str | None, list[float] | None]]:
         try:
@@ -121,8 +124,10 @@ def embed_backlog(
         for batch in batches:
             for start in range(0, len(batch), batch_rows):
                 part = batch.iloc[start : start + batch_rows]
-                results = outcome(part["text"].tolist())
-                yield part.drop(columns=["text"]).assign(
+                texts = part["text"][part["there"]].tolist()
+                called = iter(outcome(texts) if texts else [])
+                results = [next(called) if there else ("FAILED", MISSING_CHUNK_CODE, None) for there in part["there"]]
+                yield part.drop(columns=["text", "there"]).assign(
                     outcome=[r[0] for r in results], error_code=[r[1] for r in results], embedding=[r[2] for r in results]
                 )
 

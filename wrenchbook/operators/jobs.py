@@ -78,14 +78,18 @@ def claimable_events(outbox: DataFrame, as_of: str | datetime, per_tenant: int =
 
 
 def recover_leases(jobs: DataFrame, as_of: str | datetime, lease_minutes: int = schemas.LEASE_MINUTES) -> DataFrame:
-    """Jobs after lease recovery: a RUNNING job whose lease ended fails or waits for a retry."""
+    """Jobs after lease recovery: a RUNNING job whose lease ended fails or waits for a retry.
+
+    Other jobs keep their ``error_code``, which is NULL if ``jobs`` has no such column.
+    """
     now = moment(as_of)
+    error = F.col("error_code") if "error_code" in jobs.columns else F.lit(None).cast("string")
     ended = (F.col("status") == "RUNNING") & (F.col("started_at") <= plus_minutes(now, F.lit(-lease_minutes)))
     spent = F.col("retry_count") >= F.col("max_retry_count")
     marked = jobs.withColumn("_ended", F.coalesce(ended, F.lit(False)))
     return (
         marked.withColumn("next_retry_at", F.when(F.col("_ended"), F.when(~spent, now)).otherwise(F.col("next_retry_at")))
-        .withColumn("error_code", F.when(F.col("_ended"), LEASE_EXPIRED))
+        .withColumn("error_code", F.when(F.col("_ended"), LEASE_EXPIRED).otherwise(error))
         .withColumn("started_at", F.when(~F.col("_ended"), F.col("started_at")))
         .withColumn("status", F.when(F.col("_ended"), F.when(spent, "FAILED").otherwise("RETRY_WAIT")).otherwise(F.col("status")))
         .drop("_ended")
@@ -112,10 +116,15 @@ def next_status(outcome: Column, attempt: Column, verdict: Column, max_attempts:
 def next_job_state(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Jobs after their attempts' outcomes (tenant_id, job_id, attempt, outcome, verdict, finished_at).
 
-    An outcome counts only for the running attempt it belongs to.
+    An outcome counts only for the running attempt it belongs to, and of several
+    outcomes of one attempt the first one.
     """
-    reported = outcomes.select(
-        "tenant_id", F.col("job_id").alias("id"), F.col("attempt").alias("retry_count"), "outcome", "verdict", "finished_at"
+    first = F.min(F.struct("finished_at", "outcome", "verdict")).alias("_first")
+    reported = (
+        outcomes.where(F.col("outcome").isNotNull())
+        .groupBy("tenant_id", F.col("job_id").alias("id"), F.col("attempt").alias("retry_count"))
+        .agg(first)
+        .select("tenant_id", "id", "retry_count", "_first.outcome", "_first.verdict", "_first.finished_at")
     )
     joined = jobs.join(reported, ["tenant_id", "id", "retry_count"], "left")
     applies = (F.col("status") == "RUNNING") & F.col("outcome").isNotNull()

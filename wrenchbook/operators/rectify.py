@@ -124,25 +124,31 @@ def advance_cases(cases: DataFrame, executions: DataFrame) -> DataFrame:
     """Case states after proposals ran (tenant_id, case_id, action, work_order_id, executed_at).
 
     A proposed FAIL or UNCERTAIN case starts rectifying, a proposed PASS case
-    closes; anything else stays. ``valid`` states that only closed cases have a closing time.
+    closes; anything else stays. The first execution of each action counts, so one
+    that does not fit the verdict hides none that does. ``valid`` states that only
+    closed cases have a closing time.
     """
+    first_key =F.struct("executed_at", "work_order_id")
     ran = executions.groupBy("tenant_id", F.col("case_id").alias("id")).agg(
-        F.min_by(F.struct("action", "work_order_id", "executed_at"), F.struct("executed_at", "action")).alias("_run")
+        *[
+            F.min(F.when(F.col("action") == action, first_key)).alias(name)
+            for action, name in (("CREATE_RECTIFICATION", "_start"), ("CLOSE", "_close"))
+        ]
     )
     proposed = F.col("status") == "PROPOSED"
-    starts = proposed & (F.col("_run.action") == "CREATE_RECTIFICATION") & F.col("current_verdict").isin("FAIL", "UNCERTAIN")
-    closes = proposed & (F.col("_run.action") == "CLOSE") & (F.col("current_verdict") == "PASS")
+    starts = proposed & F.col("_start").isNotNull() & F.col("current_verdict").isin("FAIL", "UNCERTAIN")
+    closes = proposed & F.col("_close").isNotNull() & (F.col("current_verdict") == "PASS")
     joined = cases.join(ran, ["tenant_id", "id"], "left")
     status = F.when(starts, "RECTIFYING").when(closes, "CLOSED").otherwise(F.col("status"))
-    closed_at = F.when(closes, F.col("_run.executed_at")).otherwise(F.col("closed_at"))
-    rework = F.when(starts, F.col("_run.work_order_id")).otherwise(F.col("rectification_work_order_id"))
+    closed_at = F.when(closes, F.col("_close.executed_at")).otherwise(F.col("closed_at"))
+    rework = F.when(starts, F.col("_start.work_order_id")).otherwise(F.col("rectification_work_order_id"))
     return (
         joined.withColumn("_status", status)
         .withColumn("closed_at", closed_at)
         .withColumn("rectification_work_order_id", rework)
         .withColumn("status", F.col("_status"))
         .withColumn("valid", (F.col("status") == "CLOSED") == F.col("closed_at").isNotNull())
-        .drop("_run", "_status")
+        .drop("_start", "_close", "_status")
     )
 
 

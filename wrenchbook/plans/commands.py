@@ -66,11 +66,12 @@ def claimable_events(t: Tables) -> DataFrame:
     "recovered_leases", "J3",
     """SELECT tenant_id, id, CASE WHEN ended THEN CASE WHEN retry_count >= max_retry_count THEN 'FAILED' ELSE 'RETRY_WAIT' END ELSE status END AS status,
               CASE WHEN ended THEN CASE WHEN retry_count < max_retry_count THEN TIMESTAMP '1998-06-15 00:00:00' END ELSE next_retry_at END AS next_retry_at,
-              CASE WHEN ended THEN 'QUALITY_WORKER_LEASE_EXPIRED' END AS error_code
-       FROM (SELECT *, coalesce(status = 'RUNNING' AND started_at <= TIMESTAMP '1998-06-14 23:45:00', false) AS ended FROM {quality_job}) j""",
+              CASE WHEN ended THEN 'QUALITY_WORKER_LEASE_EXPIRED' ELSE before END AS error_code
+       FROM (SELECT *, CASE WHEN retry_count > 1 THEN 'MODEL_TIMEOUT' END AS before, coalesce(status = 'RUNNING' AND started_at <= TIMESTAMP '1998-06-14 23:45:00', false) AS ended FROM {quality_job}) j""",
 )
 def recovered_leases(t: Tables) -> DataFrame:
-    return jobs.recover_leases(t["quality_job"], AS_OF).select("tenant_id", "id", "status", "next_retry_at", "error_code")
+    before = t["quality_job"].withColumn("error_code", F.when(F.col("retry_count") > 1, "MODEL_TIMEOUT"))
+    return jobs.recover_leases(before, AS_OF).select("tenant_id", "id", "status", "next_retry_at", "error_code")
 
 
 @query(
@@ -205,11 +206,15 @@ SELECT * FROM walk
 
 @query(
     "applied_commands", "J11",
-    "SELECT tenant_id, target_id, command_id, arrived_at, expected_version, applied FROM {applied}",
+    """SELECT tenant_id, target_id, command_id, arrived_at, expected_version, applied AND known AS applied,
+              CASE WHEN NOT known THEN 'NOT_FOUND' WHEN applied THEN 'APPLIED' ELSE 'CONFLICT' END AS outcome
+       FROM (SELECT *, CAST(substring(target_id, 2) AS BIGINT) % 11 <> 0 AS known FROM {applied}) a""",
     {"applied": _APPLIED},
 )
 def applied_commands(t: Tables) -> DataFrame:
-    return commands.apply_commands(t["command_target"], t["command"])[0]
+    # Every eleventh target is unknown.
+    known = t["command_target"].where("CAST(substring(id, 2) AS BIGINT) % 11 <> 0")
+    return commands.apply_commands(known, t["command"])[0]
 
 
 @query(
