@@ -159,20 +159,20 @@ FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 BINDINGS["message"] = """
 SELECT 'm' || conv_id || '-' || turn AS message_id, 't' || (conv_id % 5) AS tenant_id,
        CASE turn % 6
-         WHEN 0 THEN '查询 wo-20260718-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' '
-         WHEN 1 THEN 'WO-20260718-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' 为什么超时? '
+         WHEN 0 THEN '查询 wo-' || lpad(CAST(CAST(floor(conv_id / 1000) AS BIGINT) AS STRING), 8, '0') || '-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' '
+         WHEN 1 THEN 'WO-' || lpad(CAST(CAST(floor(conv_id / 1000) AS BIGINT) AS STRING), 8, '0') || '-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' 为什么超时? '
          WHEN 2 THEN '列出星河中心处理中的高优先级工单 '
          WHEN 3 THEN '有哪些待派单 张小三的工单 '
-         WHEN 4 THEN '查一下 WO-20260718-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' 的返工 '
+         WHEN 4 THEN '查一下 WO-' || lpad(CAST(CAST(floor(conv_id / 1000) AS BIGINT) AS STRING), 8, '0') || '-' || lpad(CAST(conv_id % 1000 AS STRING), 3, '0') || ' 的返工 '
          ELSE '' END || text AS message
 FROM {conversations}
 """
 
-# Orders renumbered into the shape that chat messages ask for.
+# Orders renumbered into the shape that chat messages ask for: 8 and 3 digits, one number per key.
 BINDINGS["numbered_order"] = """
 SELECT * FROM (
   SELECT 't' || (o_orderkey % 5) AS tenant_id, 'o' || o_orderkey AS id,
-         'WO-20260718-' || lpad(CAST(o_orderkey AS STRING), 3, '0') AS work_order_no,
+         'WO-' || lpad(CAST(CAST(floor(o_orderkey / 1000) AS BIGINT) AS STRING), 8, '0') || '-' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') AS work_order_no,
          'p' || (o_orderkey % 4) AS project_id,
          CASE o_orderkey % 3 WHEN 0 THEN '星河中心' WHEN 1 THEN '云帆园区' ELSE '海棠公寓' END AS project_name,
          CASE o_orderstatus WHEN 'O' THEN 'PENDING_DISPATCH' WHEN 'P' THEN 'PROCESSING' ELSE 'COMPLETED' END AS status,
