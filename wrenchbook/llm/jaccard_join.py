@@ -12,8 +12,10 @@ offer to them but not to each other.
 Equal sets are one class before anything is indexed. Of the classes that meet under a token, each
 is compared with one of them, which differs from round to round; groups whose members are in one
 component by then need no further pair. After ``ROUNDS`` rounds the pairs between different components
-that are left are verified, if they have a common token that stands early enough in both and enough
-other tokens that are shared at all. Every comparison counts the exact intersection.
+that are left are verified, if they have a common token that stands early enough in both, enough
+other tokens that are shared at all, and bitmaps that differ in few enough bits: a token of only one of
+two sets flips one bit, so more different bits than similar sets may have different tokens rule a pair
+out. Every comparison counts the exact intersection.
 
 Frequency is only used to order tokens, so an inexact class costs time but never a link: tokens
 count as frequent when the tasks that saw them ``LOCAL_COUNT`` times saw them ``FREQUENT`` times
@@ -55,6 +57,8 @@ ROUNDS = 3
 #: Size of the bitmap of frequent tokens, and of that of candidate classes, as a power of two.
 FREQUENT_BITS = 26
 CLASS_BITS = 24
+#: Words of 64 bits of the bitmap that tells how far two sets are apart at least.
+SKETCH_WORDS = 8
 #: Shingles that a task gathers before it counts them, postings before it hands them on.
 COUNT_FLUSH = 2_000_000
 INDEX_FLUSH = 1_000_000
@@ -234,6 +238,17 @@ def _groups(bucket: pa.Table) -> pa.Table:
     )
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per set, for each bit, whether an odd number of its tokens fall on it."""
+    bits = 64 * SKETCH_WORDS
+    for batch in batches:
+        words = np.zeros((len(batch), SKETCH_WORDS), np.int64)
+        for at, tokens in enumerate(batch.column("tokens").to_pylist()):
+            place = (mixed(np.frombuffer(tokens, np.uint64)) % np.uint64(bits)).astype(np.int64)
+            words[at] = np.packbits(np.bincount(place, minlength=bits) & 1).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"class": batch.column("class"), **{f"bits_{i}": pa.array(words[:, i]) for i in range(SKETCH_WORDS)}})
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -298,6 +313,11 @@ class JaccardJoin:
         rows = self.keyed.select(F.col("row_key").alias("class"), "text").withColumn("position", spread)
         return stored(rows.mapInArrow(run, "class long, tokens binary"), "jaccard-sets")
 
+    def _with_sets(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``sets`` and those of the classes in ``wanted`` that it lacks."""
+        new = stored(wanted.join(sets, "class", "left_anti"), "jaccard-wanted")
+        return sets if new.isEmpty() else sets.unionByName(self._sets(new))
+
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("set_a"))
         right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("set_b"))
@@ -311,13 +331,16 @@ class JaccardJoin:
         found = compared = nothing
         placed = groups.withColumn("root", F.col("class"))
         for number in range(ROUNDS + 1):
-            pairs = self._stars(placed, number) if number < ROUNDS else self._between(groups, placed)
+            if number < ROUNDS:
+                pairs = self._stars(placed, number)
+            else:
+                rest = stored(self._open_members(groups, placed), "jaccard-open")
+                sets = self._with_sets(sets, rest.select("class").distinct())
+                pairs = self._between(rest, sets)
             pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
             if not pairs.isEmpty():
                 wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-                new = stored(wanted.join(sets, "class", "left_anti"), "jaccard-wanted")
-                if not new.isEmpty():
-                    sets = sets.unionByName(self._sets(new))
+                sets = self._with_sets(sets, wanted)
                 compared = compared.unionByName(pairs)
                 found = found.unionByName(stored(self._verified(pairs, sets), "jaccard-links"))
                 if number < ROUNDS:
@@ -334,15 +357,21 @@ class JaccardJoin:
         stars = placed.join(first, "name").where(near & apart)
         return stars.select(F.least("first.class", "class").alias("a"), F.greatest("first.class", "class").alias("b")).distinct()
 
-    def _between(self, groups: DataFrame, placed: DataFrame) -> DataFrame:
-        """Pairs of a group that are in different components and may be similar."""
+    def _open_members(self, groups: DataFrame, placed: DataFrame) -> DataFrame:
+        """Members of groups that more than one component has part in, with the number of their shareable tokens."""
         mixed_groups = placed.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-        open_members = placed.join(mixed_groups, "name")
-        # The first common token stands before those that the pair must have in common. At most the keys that
-        # a set shares with any other one, and what stands behind the prefixes, can be common. Frequent tokens are keys of their own only beside a set that has many.
+        # At most the keys that a set shares with any other one, and what stands behind the prefixes, can be
+        # common. Frequent tokens are keys of their own only beside a set that has many.
         uncounted = F.when(F.max("often") > MANY_FREQUENT, 0).otherwise(F.max("often"))
         shareable = groups.groupBy("class").agg((F.sum("weight") + uncounted).alias("shareable"))
-        open_members = open_members.join(shareable, "class")
+        members = placed.join(mixed_groups, "name").join(shareable, "class")
+        return members.select("name", "class", "root", "n", "offered", "place", "shareable")
+
+    def _between(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of a group that are in different components and may be similar."""
+        bits = [f"bits_{i}" for i in range(SKETCH_WORDS)]
+        sketched = sets.join(rest.select("class"), "class", "left_semi").mapInArrow(_sketches, ", ".join(["class long", *[f"{b} long" for b in bits]]))
+        open_members = rest.join(sketched, "class")
         x, y = open_members.alias("x"), open_members.alias("y")
 
         def behind(n: str) -> Column:
@@ -350,11 +379,14 @@ class JaccardJoin:
 
         overlap = F.ceil((F.col("x.n") + F.col("y.n")) * SIMILAR / (100 + SIMILAR))
         needed = overlap - F.greatest(behind("x.n"), behind("y.n"))
+        # The first common token stands before those that the pair must have in common.
         early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
+        different = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits), F.lit(0))
+        close = different <= F.col("x.n") + F.col("y.n") - 2 * overlap
         apart = (
             (F.col("x.name") == F.col("y.name")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.class") < F.col("y.class"))
             & ~(F.col("x.offered") & F.col("y.offered")) & (F.least("x.shareable", "y.shareable") >= needed) & early
-            & (F.col("x.n") * 100 >= F.col("y.n") * SIMILAR) & (F.col("y.n") * 100 >= F.col("x.n") * SIMILAR)
+            & (F.col("x.n") * 100 >= F.col("y.n") * SIMILAR) & (F.col("y.n") * 100 >= F.col("x.n") * SIMILAR) & close
         )
         return x.join(y, apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
