@@ -247,8 +247,8 @@ def test_bm25_worked_example(spark):
     assert unpadded.filter("query_id = 'q1'").count() == 2
 
 
-@pytest.mark.parametrize("k,broadcast_terms", [(4, 10**6), (4, 0), (50, 0)])
-def test_bm25_equals_the_dense_formula(spark, k, broadcast_terms):
+@pytest.mark.parametrize("k,broadcast_bytes", [(4, 10**8), (4, 0), (50, 0)])
+def test_bm25_equals_the_dense_formula(spark, k, broadcast_bytes):
     rng = random.Random(11)
     docs = {f"d{i:02d}": " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12))) for i in range(30)}
     asked = {f"q{i}": " ".join(rng.choice("abcdefghijkxyz") for _ in range(rng.randrange(1, 5))) for i in range(12)}
@@ -270,7 +270,7 @@ def test_bm25_equals_the_dense_formula(spark, k, broadcast_terms):
     queries = ask(spark, **asked)
     terms = retrieve.query_terms(queries, words)
     index = retrieve.bm25_index(small_corpus(spark, docs), words, head=k)
-    got = retrieve.bm25_topk(terms, index, k, broadcast_terms=broadcast_terms)
+    got = retrieve.bm25_topk(terms, index, k, broadcast_bytes=broadcast_bytes)
     assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == expected
 
 

@@ -211,7 +211,7 @@ def test_spec_refuses(spark, seed, spec):
         run(spark, seed, spec)
 
 
-@pytest.mark.parametrize("rows,limit,kept,truncated", [(200, 200, 200, False), (201, 200, 200, True), (300, 500, 200, True), (5, 3, 3, True), (3, 3, 3, False)])
+@pytest.mark.parametrize("rows,limit,kept,truncated", [(200, 200, 200, False), (201, 200, 200, True), (300, 250, 250, True), (300, 500, 300, False), (5, 3, 3, True), (3, 3, 3, False)])
 def test_guard_rows(spark, rows, limit, kept, truncated):
     got = governed.guard(spark.range(rows), [F.col("id")], limit=limit).collect()
     assert len(got) == kept and {r.truncated for r in got} == {truncated}
@@ -221,7 +221,21 @@ def test_guard_bytes_and_columns(spark):
     wide = spark.createDataFrame([(1, "x" * 10, None), (2, "y" * 10, "z")], "n int, a string, b string")
     got = governed.guard(wide, [F.col("n")], max_bytes=2 * (1 + 10 + 4)).collect()
     assert [r.n for r in got] == [1] and got[0].truncated
-    assert governed.guard(wide, [F.col("n")], max_columns=1).columns == ["n", "truncated"]
+    narrow = governed.guard(wide, [F.col("n")], max_columns=1)
+    assert narrow.columns == ["n", "truncated"] and {r.truncated for r in narrow.collect()} == {True}
+    assert governed.guard(wide, [F.col("n")], max_columns=None, max_bytes=None).columns == ["n", "a", "b", "truncated"]
+
+
+def test_spec_limits(spark, seed):
+    def orders(limit):
+        return run(spark, seed, Spec(catalog.WORK_ORDER_VIEW, select=(Field("status"), Field("work_order_no")), order_by=(("status", False),), limit=limit))
+
+    every = orders(None)
+    assert "truncated" not in every.columns
+    rows = sorted((r.status, r.work_order_no) for r in every.collect())
+    got = orders(4).collect()
+    assert [(r.status, r.work_order_no) for r in got] == rows[:4] and {r.truncated for r in got} == {True}
+    assert {r.truncated for r in orders(len(rows)).collect()} == {False}
 
 
 ATTACKS = (

@@ -57,7 +57,8 @@ class Spec:
     group_by: tuple[Field, ...] = ()
     measures: tuple[Measure, ...] = ()
     order_by: tuple[tuple[str, bool], ...] = field(default=())
-    limit: int = catalog.MAX_ROWS
+    #: Rows that a caller is shown; None for all of them.
+    limit: int | None = catalog.MAX_ROWS
 
 
 _SCALARS = {
@@ -157,8 +158,10 @@ def run_spec(spec: Spec, views: Mapping[str, ViewSource], scope: DataFrame) -> D
     """Checks a spec against the catalog and builds its DataFrame over scoped views.
 
     ``views`` gives for each view a function from the needed columns to its
-    DataFrame. Every view is cut to the caller's projects first; the limit never
-    exceeds the row cap. Nothing is parsed: a spec can only name catalog entries.
+    DataFrame. Every view is cut to the caller's projects first. A limited result
+    is in a total order (ties by the other columns from the left) and has a
+    ``truncated`` flag; without a limit all rows come. Nothing is parsed: a spec
+    can only name catalog entries.
     """
     names = _Names(spec)
     source = scope_projects(views[spec.view](_used_columns(spec, joined=False)), scope).alias("l")
@@ -188,34 +191,38 @@ def run_spec(spec: Spec, views: Mapping[str, ViewSource], scope: DataFrame) -> D
             if f.label == label and not names.entry(f).orderable:
                 raise CatalogError(f"not orderable: {label}")
         ordering.append(F.col(label).desc() if descending else F.col(label).asc())
-    if ordering:
-        result = result.orderBy(*ordering)
-    return result.limit(min(spec.limit, catalog.MAX_ROWS))
+    if spec.limit is None:
+        return result.orderBy(*ordering) if ordering else result
+    named = {label for label, _ in spec.order_by}
+    ordering += [F.col(c).asc() for c in result.columns if c not in named]
+    return guard(result, ordering, limit=spec.limit, max_columns=None, max_bytes=None)
 
 
 def guard(
     df: DataFrame,
     order: Sequence[Column],
     limit: int = catalog.MAX_ROWS,
-    max_columns: int = catalog.MAX_COLUMNS,
-    max_bytes: int = catalog.MAX_RESULT_BYTES,
+    max_columns: int | None = catalog.MAX_COLUMNS,
+    max_bytes: int | None = catalog.MAX_RESULT_BYTES,
 ) -> DataFrame:
     """The first rows within the row, column and size limits, with a ``truncated`` flag.
 
-    A cell counts two bytes per character of its text, NULL as four characters.
+    The flag is set when rows or columns were dropped; None lifts a limit. A cell counts two bytes per character of its text, NULL as four characters.
     Reading one row beyond the limit tells whether rows were dropped. The
     windows run over that bounded set only.
     """
-    rows = min(limit, catalog.MAX_ROWS)
     columns = df.columns[:max_columns]
+    narrowed = len(columns) < len(df.columns)
     size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(4)) for c in columns), F.lit(0)) * 2
-    head = df.orderBy(*order).limit(rows + 1)
+    head = df.orderBy(*order).limit(limit + 1)
     everything = Window.partitionBy(F.lit(1))
     numbered = head.withColumn("_n", F.row_number().over(everything.orderBy(*order))).withColumn(
         "_bytes", F.sum(size).over(everything.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    kept = (F.col("_n") <= rows) & (F.col("_bytes") <= max_bytes)
-    flagged = numbered.withColumn("_kept", kept).withColumn("truncated", F.max(~F.col("_kept")).over(everything))
+    kept = F.col("_n") <= limit
+    if max_bytes is not None:
+        kept = kept & (F.col("_bytes") <= max_bytes)
+    flagged = numbered.withColumn("_kept", kept).withColumn("truncated", F.max(~F.col("_kept")).over(everything) | F.lit(narrowed))
     return flagged.filter("_kept").select(*columns, "truncated")
 
 

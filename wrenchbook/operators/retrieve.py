@@ -93,8 +93,13 @@ def _rank(scored: DataFrame, k: int, best: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _bytes(df: DataFrame, size: Column) -> int:
+    """Size of a table whose rows have ``size`` characters or bytes, at four a character, and 64 of numbers and overhead."""
+    return df.agg(F.sum(F.coalesce(size, F.lit(0)).cast("long") * 4 + 64)).first()[0] or 0
+
+
 def bm25_topk(
-    terms: DataFrame, index: Bm25Index, k: int = CANDIDATES, pad: bool = True, broadcast_terms: int = 500_000
+    terms: DataFrame, index: Bm25Index, k: int = CANDIDATES, pad: bool = True, broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
     """Best ``k`` chunks per query by BM25+, ties by document key, ordinal and chunk id.
 
@@ -104,7 +109,7 @@ def bm25_topk(
     with the first chunks of the tenant at the floor score, as the dense formula
     would, and needs no comparison of queries with the whole corpus.
 
-    The query terms are counted first: up to ``broadcast_terms`` rows of them
+    The query terms are measured first: up to ``broadcast_bytes`` of them
     are broadcast and the postings stay in place, else both sides are shuffled
     by (tenant, term). Postings that are partitioned by chunk are summed without
     a further shuffle, and each task keeps at most ``k`` rows per query.
@@ -113,7 +118,8 @@ def bm25_topk(
         "query_id", "tenant_id", "term", "mean_length", (F.col("times") * F.col("idf")).alias("weight")
     )
     floors = weighted.groupBy("query_id", "tenant_id").agg(F.sum(F.col("weight") * DELTA).alias("floor"))
-    small = terms.count() <= broadcast_terms
+    # Floors are fewer and shorter rows than the terms.
+    small = _bytes(terms, F.length("term") + F.length("query_id") + F.length("tenant_id")) <= broadcast_bytes
     probe = F.broadcast(weighted) if small else weighted.hint("merge")
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     gain = F.col("weight") * (F.col("tf") * (K1 + 1) / (norm + F.col("tf")))
@@ -192,16 +198,16 @@ def vector_topk(
 
     Queries and vectors travel as matrix blocks; a task multiplies two blocks
     and keeps at most ``k`` rows per query, so no pair list is ever built. Small
-    query tables (their size is counted first) are broadcast and the corpus does
+    query tables (their bytes, ids included, are summed first) are broadcast and the corpus does
     not move. Larger ones are copied to every salt, and each corpus block joins
     one salt, which spreads a large tenant over ``salts`` tasks (as many as
     there are shuffle partitions, when not given).
     """
+    # A null vector is near to nothing.
+    queries, vectors = queries.where("embedding IS NOT NULL"), vectors.where("embedding IS NOT NULL")
     asked = _pack(queries, ["query_id"], block_rows).select("tenant_id", F.col("matrix").alias("q"), F.col("ids").alias("q_ids"))
     corpus = _pack(vectors, ["document_key", "ordinal", "chunk_id"], block_rows)
-    rows = queries.count()
-    width = queries.select(F.size("embedding")).first()
-    if rows * 8 * (width[0] if width else 0) <= broadcast_bytes:
+    if _bytes(queries, 2 * F.size("embedding") + F.length("query_id") + F.length("tenant_id")) <= broadcast_bytes:
         pairs = corpus.join(F.broadcast(asked), "tenant_id")
     else:
         salts = salts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -209,9 +209,10 @@ def _all_views(t: Tables) -> dict[str, governed.ViewSource]:
 @query(
     "spec_monthly_orders", "E2 E5 B2",
     """SELECT date_trunc('month', created_at) AS month, upper(lower(status)) AS status, count(*) AS orders,
-              count(*) FILTER (WHERE priority IN ('URGENT', 'HIGH')) AS pressing, max(due_at) AS last_due
+              count(*) FILTER (WHERE priority IN ('URGENT', 'HIGH')) AS pressing, max(due_at) AS last_due,
+              count(*) OVER () > 500 AS truncated
        FROM {w_scoped} WHERE created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AND title LIKE 'Order 1%'
-       GROUP BY 1, 2 ORDER BY month DESC, status LIMIT 200""",
+       GROUP BY 1, 2 ORDER BY month DESC, status LIMIT 500""",
     _SCOPED,
 )
 def spec_monthly_orders(t: Tables) -> DataFrame:
@@ -236,7 +237,8 @@ def spec_monthly_orders(t: Tables) -> DataFrame:
 
 @query(
     "spec_join_quality", "E2 E6 B2",
-    """SELECT w.project_name, q.verdict, count(*) AS orders, round(avg(q.confidence), 9) AS confidence
+    """SELECT w.project_name, q.verdict, count(*) AS orders, round(avg(q.confidence), 9) AS confidence,
+              count(*) OVER () > 200 AS truncated
        FROM {w_scoped} w LEFT JOIN {q_scoped} q ON q.tenant_id = w.tenant_id AND q.work_order_no = w.work_order_no
        WHERE w.status <> 'CANCELLED' GROUP BY 1, 2 ORDER BY 1, 2 NULLS FIRST LIMIT 200""",
     _SCOPED,
@@ -256,9 +258,10 @@ def spec_join_quality(t: Tables) -> DataFrame:
 @query(
     "spec_join_rectification", "E2 E5 E6 B2",
     """SELECT w.work_order_no, length(trim(w.title)) AS title_length, extract(year FROM w.created_at) AS year,
-              coalesce(x.status, 'NONE') AS case_status, x.resolution_hours
+              coalesce(x.status, 'NONE') AS case_status, x.resolution_hours,
+              count(*) OVER () > 50 AS truncated
        FROM {w_scoped} w LEFT JOIN {x_scoped} x ON x.tenant_id = w.tenant_id AND x.original_work_order_no = w.work_order_no
-       WHERE w.priority ILIKE 'urg%' AND x.current_verdict IS NOT NULL ORDER BY w.work_order_no LIMIT 50""",
+       WHERE w.priority ILIKE 'urg%' AND x.current_verdict IS NOT NULL ORDER BY 1, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST, 5 NULLS FIRST LIMIT 50""",
     _SCOPED,
 )
 def spec_join_rectification(t: Tables) -> DataFrame:
@@ -286,12 +289,12 @@ def spec_join_rectification(t: Tables) -> DataFrame:
 @query(
     "guarded_rows", "E3",
     """SELECT work_order_no, title, status, created_at, true AS truncated
-       FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, work_order_no) AS n FROM {w_view}) head WHERE n <= 200""",
+       FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, work_order_no) AS n FROM {w_view}) head WHERE n <= 500""",
     _VIEWS,
 )
 def guarded_rows(t: Tables) -> DataFrame:
     rows = _w(t).select("work_order_no", "title", "status", "created_at")
-    return governed.guard(rows, [F.col("created_at").desc(), F.col("work_order_no")], limit=500)
+    return governed.guard(rows, [F.col("created_at").desc(), F.col("work_order_no")], limit=500, max_bytes=1 << 20)
 
 
 @query(

@@ -509,7 +509,9 @@ FROM {documents}
 """
 
 BINDINGS["benchmark_query"] = """
-SELECT 'q' || item_id AS query_id, 'en' AS tenant_id, text AS query FROM {benchmark}
+SELECT 'q' || item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS tenant_id,
+       text AS query
+FROM {benchmark}
 """
 
 BINDINGS["vector"] = """
@@ -633,13 +635,13 @@ JOIN {customer} c ON c.c_custkey = o.o_custkey
 JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 """
 
-# Legacy rows before tenants existed, keyed by a number in the order text.
+# Legacy rows before tenants existed, keyed by a number of 12 digits or more in the order text; an id holds 12.
 BINDINGS["legacy_order"] = """
-SELECT 'WO-20260718-' || lpad(CAST(o.o_orderkey AS STRING), 9, '0') AS work_order_no, n.n_name AS project_name,
+SELECT 'WO-20260718-' || lpad(CAST(o.o_orderkey AS STRING), CAST(greatest(12, length(CAST(o.o_orderkey AS STRING))) AS INT), '0') AS work_order_no, n.n_name AS project_name,
        CASE o.o_orderpriority WHEN '1-URGENT' THEN 'URGENT' WHEN '2-HIGH' THEN 'HIGH'
             WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS priority,
        CASE o.o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING_DISPATCH' ELSE 'CLOSED' END AS status,
-       CASE WHEN o.o_orderkey % 10 = 8 THEN 'WO-20260718-' || lpad(CAST(o.o_orderkey - 1 AS STRING), 9, '0') END AS root_work_order_no,
+       CASE WHEN o.o_orderkey % 10 = 8 THEN 'WO-20260718-' || lpad(CAST(o.o_orderkey - 1 AS STRING), CAST(greatest(12, length(CAST(o.o_orderkey - 1 AS STRING))) AS INT), '0') END AS root_work_order_no,
        o.o_orderdate AS created_at
 FROM {orders} o
 JOIN {customer} c ON c.c_custkey = o.o_custkey
@@ -648,17 +650,17 @@ JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 
 BINDINGS["legacy_project"] = """
 SELECT 'a' AS tenant_id, 'pa' || n_nationkey AS id, n_name AS name FROM {nation}
-UNION ALL SELECT 'b' AS tenant_id, 'pb' || n_nationkey AS id, n_name AS name FROM {nation}
+UNION ALL SELECT 'b' AS tenant_id, 'pb' || n_nationkey AS id, n_name AS name FROM {nation} WHERE n_nationkey <> 7
 """
 
-# Number ranges per tenant: the lower and the upper half of the keys.
+# Number ranges per tenant: the lower and the upper half of the keys, without the first ten.
 BINDINGS["legacy_range"] = """
-SELECT 'a' AS tenant_id, 'WO-20260718-' || lpad('0', 9, '0') AS first_no,
-       'WO-20260718-' || lpad(CAST(CAST(floor(max(o_orderkey) / 2) AS BIGINT) AS STRING), 9, '0') AS last_no
+SELECT 'a' AS tenant_id, 'WO-20260718-' || lpad('10', 12, '0') AS first_no,
+       'WO-20260718-' || lpad(CAST(CAST(floor(max(o_orderkey) / 2) AS BIGINT) AS STRING), 12, '0') AS last_no
 FROM {orders}
 UNION ALL
-SELECT 'b' AS tenant_id, 'WO-20260718-' || lpad(CAST(CAST(floor(max(o_orderkey) / 2) AS BIGINT) + 1 AS STRING), 9, '0') AS first_no,
-       'WO-20260718-' || lpad(CAST(max(o_orderkey) AS STRING), 9, '0') AS last_no
+SELECT 'b' AS tenant_id, 'WO-20260718-' || lpad(CAST(CAST(floor(max(o_orderkey) / 2) AS BIGINT) + 1 AS STRING), 12, '0') AS first_no,
+       'WO-20260718-' || lpad(CAST(max(o_orderkey) AS STRING), 12, '0') AS last_no
 FROM {orders}
 """
 

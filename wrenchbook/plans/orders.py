@@ -267,20 +267,24 @@ def event_names(t: Tables) -> DataFrame:
     "legacy_split",
     "A3",
     """
-    SELECT s.tenant_id, s.id, s.work_order_no, s.project_id, r.id AS root_work_order_id
-    FROM {rekeyed} s LEFT JOIN {rekeyed} r ON r.tenant_id = s.tenant_id AND r.work_order_no = s.root_work_order_no
+    SELECT s.tenant_id, s.id, s.work_order_no, s.project_id, r.id AS root_work_order_id, s.rejected
+    FROM {rekeyed} s LEFT JOIN {rekeyed} r ON r.rejected IS NULL AND r.tenant_id = s.tenant_id AND r.work_order_no = s.root_work_order_no
     """,
     {
-        "rekeyed": """SELECT g.tenant_id, '00000000-0000-0000-0000-' || lpad(regexp_extract(l.work_order_no, '[0-9]+$'), 12, '0') AS id,
-                             l.work_order_no, l.root_work_order_no, p.id AS project_id
+        "rekeyed": """SELECT g.tenant_id,
+                             CASE WHEN length(regexp_extract(l.work_order_no, '[0-9]+$')) BETWEEN 1 AND 12
+                                  THEN '00000000-0000-0000-0000-' || lpad(regexp_extract(l.work_order_no, '[0-9]+$'), 12, '0') END AS id,
+                             l.work_order_no, l.root_work_order_no, p.id AS project_id,
+                             CASE WHEN length(regexp_extract(l.work_order_no, '[0-9]+$')) NOT BETWEEN 1 AND 12 THEN 'BAD_NUMBER'
+                                  WHEN g.tenant_id IS NULL THEN 'NO_RANGE' WHEN p.id IS NULL THEN 'NO_PROJECT' END AS rejected
                       FROM {legacy_order} l
-                      JOIN {legacy_range} g ON l.work_order_no BETWEEN g.first_no AND g.last_no
-                      JOIN {legacy_project} p ON p.tenant_id = g.tenant_id AND p.name = l.project_name"""
+                      LEFT JOIN {legacy_range} g ON l.work_order_no BETWEEN g.first_no AND g.last_no
+                      LEFT JOIN {legacy_project} p ON p.tenant_id = g.tenant_id AND p.name = l.project_name"""
     },
 )
 def legacy_split(t: Tables) -> DataFrame:
     return loading.split_tenants(t["legacy_order"], t["legacy_project"], t["legacy_range"]).select(
-        "tenant_id", "id", "work_order_no", "project_id", "root_work_order_id"
+        "tenant_id", "id", "work_order_no", "project_id", "root_work_order_id", "rejected"
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wrenchbook import schemas
 from wrenchbook.functions.scalars import lookup, plus_minutes
 
+#: Digits of a number that an id has place for.
+ID_DIGITS = 12
 _ID_PREFIX = "00000000-0000-0000-0000-"
 
 
@@ -15,18 +17,25 @@ def split_tenants(legacy: DataFrame, projects: DataFrame, ranges: DataFrame) ->
     """Re-key legacy rows, give each the tenant of its number range, and resolve root ids.
 
     ``ranges`` has one row per tenant (tenant_id, first_no, last_no), not
-    overlapping; the project is found by name within the tenant.
+    overlapping; the project is found by name within the tenant. Every row comes
+    out: one that cannot be loaded has a ``rejected`` reason (BAD_NUMBER: no
+    digits at the end or too many for an id, which is null then; NO_RANGE;
+    NO_PROJECT) and is no root of another one.
     """
     project = projects.select("tenant_id", F.col("id").alias("project_id"), F.col("name").alias("project_name"))
+    digits = F.regexp_extract("work_order_no", "[0-9]+$", 0)
+    fits = F.length(digits).between(1, ID_DIGITS)
     rekeyed = (
-        legacy.join(ranges, F.col("work_order_no").between(F.col("first_no"), F.col("last_no")))
+        legacy.join(ranges, F.col("work_order_no").between(F.col("first_no"), F.col("last_no")), "left")
         .drop("first_no", "last_no")
+        .withColumn("id", F.when(fits, F.concat(F.lit(_ID_PREFIX), F.lpad(digits, ID_DIGITS, "0"))))
+        .join(project, ["tenant_id", "project_name"], "left")
         .withColumn(
-            "id", F.concat(F.lit(_ID_PREFIX), F.lpad(F.regexp_extract("work_order_no", "[0-9]+$", 0), 12, "0"))
+            "rejected",
+            F.when(F.col("id").isNull(), "BAD_NUMBER").when(F.col("tenant_id").isNull(), "NO_RANGE").when(F.col("project_id").isNull(), "NO_PROJECT"),
         )
-        .join(project, ["tenant_id", "project_name"])
     )
-    roots = rekeyed.select(
+    roots = rekeyed.where("rejected IS NULL").select(
         "tenant_id", F.col("work_order_no").alias("root_work_order_no"), F.col("id").alias("root_work_order_id")
     )
     return rekeyed.join(roots, ["tenant_id", "root_work_order_no"], "left")
