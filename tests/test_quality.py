@@ -114,6 +114,7 @@ BAD = [
     answer(verdict="GOOD"), answer(confidence=1.1), answer(confidence=None), answer(note="x"), {"verdict": "PASS", "confidence": 1},
     answer([finding(), finding()]), answer([finding(rule_code="policy_a")]), answer([finding(rule_code="POLICY_Z")]),
     answer([finding(severity="CRITICAL")]), answer([finding(label="OK")]), answer([finding(evidence="  ")]),
+    answer([finding(evidence=5)]), answer([finding(evidence={"a": 1})]), answer([finding(recommendation=["x"])]), answer([finding(evidence=None)]),
     answer([finding(recommendation="x" * 4001)]), answer([finding(policy_chunk_id="c1")]), answer([finding(confidence=-0.1)]),
     answer([{k: v for k, v in finding().items() if k != "evidence"}]), answer([finding(extra=1)]),
     answer([finding(rule_code=f"POLICY_{chr(65 + n)}") for n in range(21)]), "not an object",
@@ -121,7 +122,9 @@ BAD = [
 
 
 def test_model_answers(spark):
-    payloads = [json.dumps(x) for x in GOOD + BAD] + ["{broken"]
+    good = json.dumps(GOOD[0])
+    behind = [good + more for more in (" x", " {}", "x}", ", {}", "] {}", ', "end"] }')]
+    payloads = [json.dumps(x) for x in GOOD + BAD] + behind + [None, "", "{broken"]
     outputs = spark.createDataFrame([(f"j{n:02d}", p) for n, p in enumerate(payloads)], "job_id string, payload string")
     codes = [f"POLICY_{chr(65 + n)}" for n in range(21)]
     allowed = outputs.select("job_id", F.explode(F.array(*[F.lit(c) for c in codes])).alias("rule_code"))
@@ -132,10 +135,10 @@ def test_model_answers(spark):
 
 
 def test_policy_codes(spark):
-    df = spark.createDataFrame([(CHUNK,), ("sla-policy:0:0",)], "c string")
+    df = spark.createDataFrame([(CHUNK,), (uuid.UUID(CHUNK).hex.upper(),), ("sla-policy:0:0",)], "c string")
     got = [r[0] for r in df.select(quality.policy_rule_code(F.col("c"))).collect()]
     named = uuid.uuid5(uuid.UUID(schemas.POLICY_CHUNK_NAMESPACE), "sla-policy:0:0")
-    assert got == [f"POLICY_{uuid.UUID(CHUNK).hex.upper()}", f"POLICY_{named.hex.upper()}"]
+    assert got == [f"POLICY_{uuid.UUID(CHUNK).hex.upper()}"] * 2 + [f"POLICY_{named.hex.upper()}"]
 
 
 def test_policy_versions(spark):
@@ -211,6 +214,15 @@ def test_cases(spark):
     }
 
 
+def test_repeated_deliveries(spark):
+    orders = spark.createDataFrame([("t", "o1", 3, "COMPLETED"), ("t", "o2", 3, "COMPLETED")], "tenant_id string, id string, version long, status string")
+    stored = spark.createDataFrame([("t", "r9", "o2", 1)] * 2, "tenant_id string, current_quality_result_id string, original_work_order_id string, inspection_round int")
+    h = [T0 + timedelta(hours=n) for n in range(4)]
+    batch = results(spark, ("r1", "o1", 3, 1, "FAIL", h[0]), ("r1", "o1", 3, 1, "FAIL", h[0]), ("r1", "o1", 3, 1, "FAIL", h[2]), ("r2", "o1", 3, 1, "FAIL", h[1]), ("r9", "o2", 3, 1, "FAIL", h[0]))
+    got = sorted((r.id, r.outcome) for r in rectify.open_cases(batch, orders, stored).collect())
+    assert got == [("r1", "CREATED"), ("r1", "EXISTING"), ("r1", "EXISTING"), ("r2", "CONFLICT"), ("r9", "EXISTING")]
+
+
 def test_rework_order(spark):
     result = str(uuid.UUID(int=2**100 + 7))
     cases = spark.createDataFrame([("t", "c", "o1", result, "FAIL"), ("t", "d", "o1", "r-pass", "PASS"), ("t", "e", "o1", "r-none", "UNCERTAIN")],

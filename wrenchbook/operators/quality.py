@@ -16,6 +16,7 @@ from wrenchbook.functions.text import content_hash, is_blank, strip, utf8_prefix
 # Output limits and code forms.
 RULE_CODE = r"^[A-Z][A-Z0-9_]{2,127}$"
 UUID_TEXT = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+BARE_UUID = "^[0-9a-fA-F]{32}$"
 MAX_FINDINGS = 20
 MAX_FINDING_TEXT = 4000
 RAW_RESPONSE_BYTES = 8 * 1024
@@ -132,9 +133,16 @@ def evaluate_rules(inputs: DataFrame) -> DataFrame:
     )
 
 
+def _hyphenated(text: Column) -> Column:
+    """A UUID of 32 bare digits in its usual form; any other text as it is."""
+    groups = F.regexp_replace(F.lower(text), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(text.rlike(BARE_UUID), groups).otherwise(text)
+
+
 def policy_chunk_uuid(chunk_id: Column) -> Column:
-    """A chunk id that is no UUID gets a name-based one."""
-    return F.when(chunk_id.rlike(UUID_TEXT), F.lower(chunk_id)).otherwise(uuid5(schemas.POLICY_CHUNK_NAMESPACE, chunk_id))
+    """A chunk id that is no UUID, with hyphens or without, gets a name-based one."""
+    plain = _hyphenated(chunk_id)
+    return F.when(plain.rlike(UUID_TEXT), F.lower(plain)).otherwise(uuid5(schemas.POLICY_CHUNK_NAMESPACE, chunk_id))
 
 
 def policy_rule_code(chunk_id: Column) -> Column:
@@ -158,20 +166,21 @@ _RAW_OUTPUT = "verdict string, confidence string, findings array<map<string,stri
 
 def _finding_of(raw: Column) -> Column:
     """A finding struct from the map of one JSON object."""
-    return F.struct(
-        *[
-            F.try_element_at(raw, F.lit(f.name)).try_cast(f.dataType).alias(f.name)
-            for f in schemas.MODEL_FINDING.fields
-        ]
-    )
+
+    def value(name: str) -> Column:
+        text = F.try_element_at(raw, F.lit(name))
+        return _hyphenated(text) if name == "policy_chunk_id" else text
+
+    return F.struct(*[value(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.MODEL_FINDING.fields])
 
 
 def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
     """Parses model answers (job_id, payload); adds ``output`` and ``error_code``.
 
     ``allowed_codes`` has (job_id, rule_code) of the retrieved policies. An
-    answer is invalid when its shape, codes, labels, texts or shares are wrong,
-    a rule repeats, or a code was not retrieved.
+    answer is invalid when it is no single JSON object, its shape, codes, labels,
+    texts or shares are wrong, a text is another kind of value, a rule repeats,
+    or a code was not retrieved.
     """
     finding_keys = F.array(*[F.lit(n) for n in sorted(schemas.MODEL_FINDING.names)])
     output_keys = F.array(*[F.lit(n) for n in sorted(schemas.MODEL_OUTPUT.names)])
@@ -181,6 +190,13 @@ def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
         .withColumn("_keys", F.sort_array(F.json_object_keys("payload")))
         .withColumn("_findings", F.transform("_raw.findings", _finding_of))
         .withColumn("_confidence", F.col("_raw.confidence").try_cast("double"))
+        # Parsers stop behind the first value: only before its own hash as the second element is a payload one whole value.
+        .withColumn("_mark", F.sha2("payload", 256))
+        .withColumn("_whole", F.expr("""try_parse_json(concat('[', payload, ',"', _mark, '"]'))"""))
+        .withColumn(
+            "_kinds",
+            F.expr("transform(try_variant_get(_whole, '$[0].findings', 'array<map<string, variant>>'), f -> transform_values(f, (k, v) -> schema_of_variant(v)))"),
+        )
     )
     findings, verdict, confidence = F.col("_findings"), F.col("_raw.verdict"), F.col("_confidence")
     codes = F.transform(findings, lambda f: f["rule_code"])
@@ -203,6 +219,8 @@ def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
         & findings.isNotNull()
         & (F.size(findings) <= MAX_FINDINGS)
         & F.forall("_raw.findings", lambda raw: F.sort_array(F.map_keys(raw)) == finding_keys)
+        & F.forall("_kinds", lambda kinds: (kinds["evidence"] == "STRING") & (kinds["recommendation"] == "STRING"))
+        & F.expr("try_variant_get(_whole, '$[1]', 'string') = _mark")
         & F.forall(findings, well_formed)
         & (F.size(F.array_distinct(codes)) == F.size(findings))
     )
@@ -223,7 +241,7 @@ def validate_outputs(outputs: DataFrame, allowed_codes: DataFrame) -> DataFrame:
                 F.struct(verdict.alias("verdict"), confidence.alias("confidence"), findings.alias("findings")),
             ),
         )
-        .drop("_raw", "_keys", "_findings", "_confidence", "_shape", "_unknown")
+        .drop("_raw", "_keys", "_findings", "_confidence", "_kinds", "_mark", "_whole", "_shape", "_unknown")
     )
 
 

@@ -32,12 +32,13 @@ def open_cases(results: DataFrame, orders: DataFrame, cases: DataFrame) -> DataF
     The order must still have the inspected version and be COMPLETED. A stored
     case of the same result answers with itself; another result in the same
     (order, round) conflicts, also within the batch, where the earliest result wins.
+    Of a result delivered several times the earliest delivery opens the case and the others meet it.
     """
     target = orders.select(
         "tenant_id", F.col("id").alias("work_order_id"), F.col("version").alias("_version"), F.col("status").alias("_status")
     )
     round_key = ["tenant_id", "work_order_id", "inspection_round"]
-    same_result = cases.select("tenant_id", F.col("current_quality_result_id").alias("id"), F.lit(True).alias("_same_result"))
+    same_result = cases.select("tenant_id", F.col("current_quality_result_id").alias("id"), F.lit(True).alias("_same_result")).distinct()
     same_round = cases.select(
         "tenant_id", F.col("original_work_order_id").alias("work_order_id"), "inspection_round", F.lit(True).alias("_same_round")
     ).distinct()
@@ -60,13 +61,18 @@ def open_cases(results: DataFrame, orders: DataFrame, cases: DataFrame) -> DataF
         .agg(F.min(arrival).alias("_winner"))
     )
     in_batch = (
-        F.when(F.col("_winner") < arrival, "CONFLICT").when(F.col("verdict") == "SKIP", "SKIPPED").otherwise("CREATED")
+        F.when((F.col("_winner") < arrival) & (F.col("_winner.id") != F.col("id")), "CONFLICT")
+        .when(F.col("verdict") == "SKIP", "SKIPPED")
+        .when(F.col("_delivery") > 1, "EXISTING")
+        .otherwise("CREATED")
     )
+    deliveries = Window.partitionBy("tenant_id", "id").orderBy("generated_at")
     return (
         checked.join(winners, round_key, "left")
+        .withColumn("_delivery", F.row_number().over(deliveries))
         .withColumn("outcome", F.coalesce("outcome", in_batch))
         .withColumn("action", case_action(F.col("verdict")))
-        .drop("_version", "_status", "_same_result", "_same_round", "_winner")
+        .drop("_version", "_status", "_same_result", "_same_round", "_winner", "_delivery")
     )
 
 

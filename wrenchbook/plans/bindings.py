@@ -287,10 +287,11 @@ SELECT 'j' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_
        || CASE WHEN l_suppkey % 31 = 0 THEN '1.5' ELSE '0.75' END || CASE WHEN l_suppkey % 37 = 0 THEN ',"note":"x"' ELSE '' END
        || ',"findings":[{{"rule_code":"' || CASE WHEN l_suppkey % 23 = 0 THEN 'policy' WHEN l_suppkey % 19 = 0 THEN 'POLICY_X' ELSE 'POLICY_A' END
        || '","severity":"' || CASE WHEN l_suppkey % 17 = 0 THEN 'CRITICAL' ELSE 'LOW' END
-       || '","label":"FAIL","evidence":"' || CASE WHEN l_suppkey % 13 = 0 THEN ' ' ELSE 'seen by ' || l_returnflag END
-       || '","policy_chunk_id":null' || CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE ',"recommendation":"Repair"' END || ',"confidence":0.5}}'
+       || '","label":"FAIL","evidence":' || CASE WHEN l_suppkey % 41 = 0 THEN '5' WHEN l_suppkey % 43 = 0 THEN '{{"a":1}}'
+                                           WHEN l_suppkey % 13 = 0 THEN '" "' ELSE '"seen by ' || l_returnflag || '"' END
+       || ',"policy_chunk_id":null' || CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE ',"recommendation":"Repair"' END || ',"confidence":0.5}}'
        || CASE WHEN l_suppkey % 7 = 0 THEN ',{{"rule_code":"POLICY_A","severity":"LOW","label":"PASS","evidence":"e","policy_chunk_id":null,"recommendation":"r","confidence":1}}' ELSE '' END
-       || ']}}' AS payload
+       || ']}}' || CASE WHEN l_suppkey % 47 = 0 THEN ' and more' ELSE '' END AS payload
 FROM {lineitem}
 """
 

@@ -87,7 +87,7 @@ def rule_findings(t: Tables) -> DataFrame:
 
 @query(
     "model_output_checks", "I6",
-    """SELECT job_id, CASE WHEN s % 29 = 0 OR s % 31 = 0 OR s % 37 = 0 OR s % 23 = 0 OR s % 19 = 0 OR s % 17 = 0 OR s % 13 = 0 OR s % 11 = 0 OR s % 7 = 0
+    """SELECT job_id, CASE WHEN s % 41 = 0 OR s % 43 = 0 OR s % 47 = 0 OR s % 29 = 0 OR s % 31 = 0 OR s % 37 = 0 OR s % 23 = 0 OR s % 19 = 0 OR s % 17 = 0 OR s % 13 = 0 OR s % 11 = 0 OR s % 7 = 0
               THEN 'QUALITY_OUTPUT_INVALID' END AS error_code
        FROM (SELECT job_id, CAST(regexp_extract(job_id, '[0-9]+$') AS BIGINT) AS s FROM {model_payload}) parsed""",
 )
@@ -256,18 +256,35 @@ def call_summaries(t: Tables) -> DataFrame:
     )
 
 
+# Some results come twice, and some orders get a second result for the same round an hour later.
+_RESULT = "tenant_id, work_order_id, work_order_version, inspection_round, verdict"
+_DELIVERED = f"""
+SELECT id, {_RESULT}, generated_at FROM {{quality_result}}
+UNION ALL SELECT id, {_RESULT}, generated_at FROM {{quality_result}} WHERE confidence > 0.9
+UNION ALL SELECT 'x' || id AS id, {_RESULT}, generated_at + INTERVAL 1 HOUR AS generated_at FROM {{quality_result}} WHERE confidence BETWEEN 0.7 AND 0.95
+"""
+
+
 @query(
     "opened_cases", "J14 J17",
     """SELECT id, tenant_id, work_order_id, inspection_round, verdict, action,
-         CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN version <> work_order_version OR status <> 'COMPLETED' THEN 'INVALID'
-              WHEN stored THEN 'EXISTING' WHEN verdict = 'SKIP' THEN 'SKIPPED' ELSE 'CREATED' END AS outcome
+         coalesce(known, CASE WHEN first_id <> id AND (first_at < generated_at OR first_at = generated_at AND first_id < id) THEN 'CONFLICT'
+                              WHEN verdict = 'SKIP' THEN 'SKIPPED' WHEN delivery > 1 THEN 'EXISTING' ELSE 'CREATED' END) AS outcome
+       FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, id ORDER BY generated_at) AS delivery,
+                    arg_min(id, row(generated_at, id)) FILTER (WHERE known IS NULL AND verdict <> 'SKIP') OVER (PARTITION BY tenant_id, work_order_id, inspection_round) AS first_id,
+                    min(generated_at) FILTER (WHERE known IS NULL AND verdict <> 'SKIP') OVER (PARTITION BY tenant_id, work_order_id, inspection_round) AS first_at
+       FROM (SELECT *, CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN version <> work_order_version OR status <> 'COMPLETED' THEN 'INVALID'
+                            WHEN stored THEN 'EXISTING' WHEN taken THEN 'CONFLICT' END AS known
        FROM (SELECT q.*, w.status, w.version, CASE q.verdict WHEN 'SKIP' THEN 'SKIP' WHEN 'PASS' THEN 'CLOSE' ELSE 'CREATE_RECTIFICATION' END AS action,
-                    EXISTS (SELECT 1 FROM {rectification_case} c WHERE c.tenant_id = q.tenant_id AND c.current_quality_result_id = q.id AND c.status = 'CLOSED') AS stored
-             FROM {quality_result} q LEFT JOIN {order_fact} w ON w.tenant_id = q.tenant_id AND w.id = q.work_order_id) checked""",
+                    EXISTS (SELECT 1 FROM {rectification_case} c WHERE c.tenant_id = q.tenant_id AND c.current_quality_result_id = q.id AND c.status = 'CLOSED') AS stored,
+                    EXISTS (SELECT 1 FROM {rectification_case} c WHERE c.tenant_id = q.tenant_id AND c.original_work_order_id = q.work_order_id
+                                                                   AND c.inspection_round = q.inspection_round AND c.status = 'CLOSED') AS taken
+             FROM {delivered} q LEFT JOIN {order_fact} w ON w.tenant_id = q.tenant_id AND w.id = q.work_order_id) checked) judged) ranked""",
+    {"delivered": _DELIVERED},
 )
 def opened_cases(t: Tables) -> DataFrame:
     stored = t["rectification_case"].filter(F.col("status") == "CLOSED")
-    return rectify.open_cases(t["quality_result"], t["order_fact"], stored).select(
+    return rectify.open_cases(t.sql(_DELIVERED), t["order_fact"], stored).select(
         "id", "tenant_id", "work_order_id", "inspection_round", "verdict", "action", "outcome"
     )
 
