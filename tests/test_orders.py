@@ -295,3 +295,17 @@ def test_sla_by_priority(spark):
     got = {r.priority: (r.due_at - at, r.completed_at - at) for r in loading.with_sla(df).collect()}
     assert {p: d[0] // timedelta(hours=1) for p, d in got.items()} == {"URGENT": 2, "HIGH": 8, "MEDIUM": 24, "LOW": 48, "?": 48}
     assert {d[1] for d in got.values()} == {timedelta(minutes=90)}
+
+
+def test_legacy_rows_all_come_out(spark):
+    legacy = spark.createDataFrame(
+        [("W-007", "P", "W-001"), ("W-001", "P", None), ("W-002", "Q", None), ("W-999", "P", None), ("W-", "P", None), ("W-0051234567890123", "P", None)],
+        "work_order_no string, project_name string, root_work_order_no string",
+    )
+    projects = spark.createDataFrame([("a", "p1", "P")], "tenant_id string, id string, name string")
+    ranges = spark.createDataFrame([("a", "W-000", "W-100")], "tenant_id string, first_no string, last_no string")
+    got = {r.work_order_no: r for r in loading.split_tenants(legacy, projects, ranges).collect()}
+    assert {k: r.rejected for k, r in got.items()} == {
+        "W-007": None, "W-001": None, "W-002": "NO_PROJECT", "W-999": "NO_RANGE", "W-": "BAD_NUMBER", "W-0051234567890123": "BAD_NUMBER",
+    }
+    assert got["W-007"].root_work_order_id == got["W-001"].id and got["W-001"].id.endswith("-000000000001")

@@ -533,6 +533,18 @@ SELECT 'q' || vec_id AS query_id, 'g' || (label % 3) AS tenant_id, embedding AS
 FROM {embeddings}
 """
 
+# Chunks that have both a text and a vector, and queries for both; some vectors are missing or switched off.
+BINDINGS["hybrid_chunk"] = """
+SELECT c.tenant_id, c.chunk_id, c.document_key, c.ordinal, c.content_hash, d.source AS title, d.lang AS section, d.text AS text
+FROM {vector_chunk} c JOIN {documents} d ON d.doc_id = c.ordinal
+"""
+
+BINDINGS["hybrid_query"] = """
+SELECT 'q' || b.item_id AS query_id, 'g' || (e.label % 3) AS tenant_id, CASE WHEN b.item_id % 9 = 4 THEN '  ' ELSE b.text END AS query,
+       CASE WHEN b.item_id % 5 = 1 THEN NULL ELSE e.embedding END AS embedding, b.item_id % 10 = 1 OR b.item_id % 7 = 3 AS vector_disabled
+FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id
+"""
+
 BINDINGS["eval_case"] = """
 SELECT 'c' || l.doc_id AS id, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'hard_negative' END AS kind,
        CASE WHEN l.quality = 1 THEN d.source ELSE '' END AS expected_document_ids,

@@ -186,6 +186,38 @@ def retrieval_modes(t: Tables) -> DataFrame:
     return retrieve.with_mode(outcomes).select("message_id", "mode", "warning")
 
 
+_HYBRID = {
+    **_SEARCH,
+    "chunks": "SELECT tenant_id, document_key, ordinal AS chunk_index, chunk_id AS chunk_key, title, section, text FROM {hybrid_chunk}",
+    "query_terms": _QUERY_TERMS.replace("{benchmark_query}", "{hybrid_query}"),
+    "near": _EXACT.replace("{vector_chunk}", "{hybrid_chunk}").replace(
+        "{vector_query}", "(SELECT * FROM {hybrid_query} WHERE embedding IS NOT NULL AND NOT vector_disabled AND trim(query) <> '')"
+    ),
+    "fused": """SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, document_key, ordinal, chunk_id) AS INT) AS rank
+                FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.document_key, b.document_key) AS document_key,
+                             coalesce(a.ordinal, b.ordinal) AS ordinal, coalesce(a.chunk_id, b.chunk_id) AS chunk_id,
+                             CAST(a.rank AS INT) AS bm25_rank, b.rank AS vector_rank,
+                             round(coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0), 10) AS rrf_score
+                      FROM {bm25} a FULL OUTER JOIN {near} b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) both_lists
+                QUALIFY rank <= 5""",
+}
+
+
+@query(
+    "hybrid_search", "H3 H4 H5 H6",
+    """SELECT q.query_id, CASE WHEN trim(query) = '' THEN 'none' WHEN embedding IS NOT NULL AND NOT vector_disabled THEN 'hybrid' ELSE 'bm25' END AS mode,
+              CASE WHEN trim(query) <> '' AND embedding IS NULL AND NOT vector_disabled THEN 'HYBRID_RETRIEVAL_DEGRADED' END AS warning,
+              f.rank, f.document_key, f.ordinal, f.chunk_id, f.bm25_rank, f.vector_rank, f.rrf_score
+       FROM {hybrid_query} q LEFT JOIN {fused} f ON f.query_id = q.query_id""",
+    _HYBRID,
+)
+def hybrid_search(t: Tables) -> DataFrame:
+    vectors = retrieve.searchable_vectors(t["vector"], t["hybrid_chunk"], "model-a")
+    return retrieve.hybrid_search(t["hybrid_query"], t["hybrid_chunk"], vectors, max_distance=TEST_DISTANCE).select(
+        "query_id", "mode", "warning", "rank", "document_key", "ordinal", "chunk_id", "bm25_rank", "vector_rank", "rrf_score"
+    )
+
+
 def cited_hits(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Keyword-only retrieval: fused hits with their texts, and the citations made from them."""
     chunks = corpus(t)
