@@ -215,6 +215,24 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contamination(nothing, bench).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_copies_and_edits_together(spark):
+    item = [f"t{i}" for i in range(30)]
+
+    def edited(*places):
+        return " ".join("changed" if i in places else word for i, word in enumerate(item))
+
+    # Edits every four words break most trigrams; the copies make the rest commoner than those.
+    texts = [" ".join(item), f"{sentence(700, 40)} {' '.join(item)}", edited(3, 7, 11, 15, 19, 23), edited(3, 7, 11, 15, 19, 23, 27), edited(*range(6, 30)), sentence(701, 80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, sentence(702, 30))], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["share"]) for r in decontaminate.contamination(frame, bench).collect()}
+    own = np.arange(30)
+    for doc, text in enumerate(texts):
+        share = decontaminate.align(own, np.array([item.index(w) if w in item else -1 for w in text.split()])) / 60
+        assert got[doc] == (([7], share) if share >= decontaminate.SHARE else ([], 0.0))
+    assert sorted(doc for doc, (items, _) in got.items() if items) == [0, 1, 2, 3]
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -1,10 +1,10 @@
-"""Benchmark decontamination with rare seeds and Smith-Waterman alignment.
+"""Benchmark decontamination with seeds and Smith-Waterman alignment.
 
-Word n-grams of the test items are looked up in all documents. The n-grams of an item are ranked
-by the number of documents that have them; those no commoner than the item's median are its seeds,
-so every item keeps seeds, however often it was copied. Documents are joined with items on seeds,
-and the passage around each seed is aligned with the whole item, word by word. A document is
-contaminated when an alignment reaches ``SHARE`` of the score of the item with itself.
+Word n-grams of the test items are looked up in all documents. Each one that a document shares with an
+item is a seed, however common it is: what other documents have says nothing about this one. The passages
+around the seeds are aligned with the whole item, word by word. A document is contaminated when an
+alignment reaches ``SHARE`` of the score of the item with itself. Passages that have too few of the item's
+words for that, in any order, are not aligned.
 
 Items are not broadcast: tasks get a bitmap of fixed size that tells which n-grams may matter, and
 exact joins follow. Every document and every word is looked at.
@@ -136,7 +136,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = []
         for item, passage in zip(utf8(batch.column("item")), utf8(batch.column("passage"))):
             a, b = _hashed(words_of(item), known), _hashed(passage.split(), known)
-            shares.append(align(a, b) / (MATCH * len(a)) if len(a) and len(b) else 0.0)
+            # No alignment scores more than its equal words do.
+            bound = MATCH * int(np.isin(a, b).sum())
+            shares.append(align(a, b) / (MATCH * len(a)) if bound and bound >= SHARE * MATCH * len(a) else 0.0)
         yield pa.RecordBatch.from_pydict({"row_key": batch.column("row_key"), "item_id": batch.column("item_id"), "share": pa.array(shares, pa.float64())})
 
 
@@ -150,14 +152,9 @@ def _matches(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
     grams = stored(items.mapInArrow(_item_grams, "item_id long, gram long, item_at int"), "benchmark-grams")
     hits = stored(_hits(keyed, _bitmap(grams)), "benchmark-hits")
-    # Rarity over all documents; a gram that stands in no document asks for nothing.
-    documents = hits.join(grams.select("gram").distinct(), "gram", "left_semi").select("gram", "row_key").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("documents"))
-    ranked = grams.join(documents, "gram")
-    usual = ranked.groupBy("item_id").agg(F.percentile("documents", F.lit(0.5)).alias("median"))
-    seeds = stored(ranked.join(usual, "item_id").where("documents <= median").select("item_id", "gram", "item_at"), "benchmark-seeds")
     size = items.groupBy("item_id").agg(F.max(F.length("text")).alias("letters"))
     # Seeds on one band of diagonals ask for one passage; the item has at most half as many words as letters.
-    asked = hits.join(seeds, "gram").withColumn("band", F.floor((F.col("at") - F.col("item_at")) / BAND)).select("row_key", "item_id", "band").distinct()
+    asked = hits.join(grams, "gram").withColumn("band", F.floor((F.col("at") - F.col("item_at")) / BAND)).select("row_key", "item_id", "band").distinct()
     wide = asked.join(size, "item_id").select(
         "row_key", "item_id", (F.col("band") * BAND - SLACK).cast("int").alias("low"), ((F.col("band") + 1) * BAND + SLACK + F.col("letters") / 2 + 1).cast("int").alias("high")
     )
