@@ -15,9 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that stand in an earlier place; documents that lose all their words go."""
+    """Texts without the passages and chunks of lines that stand in an earlier place; documents that lose all their words go."""
     cut = line_dedup.deduplicate(docs)
-    left = cut.where((F.col("removed_chunks") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    left = cut.where((F.col("removed_lines") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,18 +1,21 @@
-"""Line dedup over content-defined chunks of lines.
-
-A rolling hash over the last ``ROLLED`` line hashes ends a chunk wherever it is divisible by
-``MODULUS``: an inserted line moves the borders near it and no others. Chunks of two lines or more
-that are repeated anywhere go, but for the first one, in the order of documents (``doc_id``, null
-last, then place). Equal fingerprints only nominate; the bytes of a chunk are compared with those
-of the first chunk of its fingerprint before it is removed.
-
-Fingerprints are counted without the texts. The texts of documents that have a nominated chunk are
-read once more, and each repeated chunk meets the first one in a join that adaptive execution can
-split, so a chunk in a third of all rows is no single task.
-
-Defined results: null text is one empty line and stays null; the line end behind a removed chunk
-goes with it; a text that loses all chunks is empty; repeated rows are different places; other
-columns are carried along. ``docs`` must be a table scan, because rows are known by their place in it.
+"""Line dedup: passages that an earlier document has, and repeated content-defined chunks of lines.
+
+A passage of ``LEAST_LINES`` lines or more that stands in an earlier document, in the order of ``doc_id``
+(null last, then place), goes from its first to its last line, whatever stands around it: each run of
+``LEAST_LINES`` neighbouring lines is looked up by itself. Inside one document whole chunks go that stand
+in an earlier place of it: a rolling hash over the last ``ROLLED`` line hashes ends a chunk wherever it is
+divisible by ``MODULUS``, so an inserted line moves the borders near it and no others.
+
+Equal fingerprints only nominate; the bytes of a run are compared with those of the first run of its
+fingerprint before it is removed. Fingerprints are counted without the texts. The texts of documents that
+have a nominated run are read once more. Of runs that overlap only as many are compared as cover their
+lines, and each meets the first one in a join that adaptive execution can split, so a passage in a third
+of all rows is no single task.
+
+Defined results: null text is one empty line and stays null; an empty line is a line; the line end behind
+a removed line goes with it; a text that loses all lines is empty; repeated rows are documents of their
+own; other columns are carried along. A removed chunk is one of which no line is left. ``docs`` must be a
+table scan, because rows are known by their place in it.
 """
 
 from __future__ import annotations
@@ -25,15 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenchbook.llm.decontaminate import _bitmap, _may_matter
 from wrenchbook.llm.shared import mixed, slices, stored, utf8, windows_hash, with_row_key
 
 #: Lines of the rolling hash, and the inverse share of lines that end a chunk.
 ROLLED = 2
 MODULUS = 4
-#: Chunks of fewer lines are never removed.
+#: Passages and chunks of fewer lines are never removed.
 LEAST_LINES = 2
 
-_CHUNKS = "row_key long, doc_id long, at int, start int, end int, n_lines int, high long, low long"
+_PIECES = "row_key long, at int, high long, low long, is_first boolean, piece binary"
 
 
 def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -45,38 +49,82 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(borders[:-1], borders[1:]))
 
 
-def chunks_of(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """Start and end in bytes (with the line end behind it, if there is one), and lines, of every chunk."""
-    lines = text.split(b"\n")
-    starts = np.cumsum([0, *[len(line) + 1 for line in lines]])
-    for first, end in chunk_bounds(lines):
-        yield int(starts[first]), min(int(starts[end]), len(text)), end - first
+def run_prints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the fingerprint of every run of ``LEAST_LINES`` neighbouring lines."""
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.uint64).reshape(-1, 2)
+    return windows_hash(hashes[:, 0], LEAST_LINES).view(np.int64), windows_hash(hashes[:, 1], LEAST_LINES).view(np.int64)
+
+
+def covering(at: np.ndarray) -> np.ndarray:
+    """As many of the places of runs, in ascending order, as hold the lines of all of them."""
+    if not len(at):
+        return at
+    alone = np.diff(at) != 1
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], alone]), at, 0))
+    return at[((at - first) % LEAST_LINES == 0) | np.concatenate([alone, [True]])]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [field.split()[0] for field in _CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+    """The fingerprints of every row, each once."""
+    for batch in slices(batches):
+        halves = [run_prints(text.split(b"\n")) for text in utf8(batch.column("text"))]
+        which = np.repeat(np.arange(len(batch)), [len(high) for high, _ in halves])
+        high, low = (np.concatenate([h[k] for h in halves] or [np.empty(0, np.int64)]) for k in (0, 1))
+        order = np.lexsort((low, high, which))
+        which, high, low = which[order], high[order], low[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (np.diff(which) != 0) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        rows = pa.array(which[new])
+        yield pa.RecordBatch.from_pydict({"row_key": batch.column("row_key").take(rows), "doc_id": batch.column("doc_id").take(rows), "high": high[new], "low": low[new]})
+
+
+def _asked(texts: DataFrame, per_row: DataFrame) -> DataFrame:
+    """The texts of rows that may be in ``per_row``: a bitmap of fixed size keeps most others out of the shuffle."""
+    place = F.xxhash64("row_key").alias("gram")
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(per_row.select(place)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = _may_matter(shared.value, batch.column("gram").to_numpy().view(np.uint64))
+            yield batch.select(["row_key", "text"]).filter(pa.array(may))
+
+    return texts.select("row_key", "text", place).mapInArrow(run, "row_key long, text binary")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of nominated runs: the first place of a row's own firsts, and what covers the others."""
     for batch in slices(batches):
         out = []
-        for row, doc, text in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
-            for at, (start, end, lines) in enumerate(chunks_of(text)):
-                # The line end is no part of the content: the last chunk of a text has none.
-                whole = xxhash.xxh3_128_intdigest(text[start:end].removesuffix(b"\n")) if lines >= LEAST_LINES else 0
-                out.append((row, doc, at, start, end, lines, (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
-
-
-def _cut(text: bytes | None, spans: list[dict] | None) -> bytes | None:
-    if text is None or not spans:
-        return text
-    kept, at = [], 0
-    for span in sorted(spans, key=lambda s: s["start"]):
-        kept.append(text[at : span["start"]])
-        at = span["end"]
-    kept.append(text[at:])
-    whole = b"".join(kept)
-    # Behind the last kept line there is no line end, as there was none behind the text.
-    return whole.removesuffix(b"\n") if at == len(text) and whole.endswith(b"\n") else whole
+        for row, text, asked in zip(batch.column("row_key").to_pylist(), utf8(batch.column("text")), batch.column("prints").to_pylist()):
+            lines = text.split(b"\n")
+            own = list(zip(*(half.tolist() for half in run_prints(lines))))
+            others = {(p["high"], p["low"]) for p in asked if not p["is_first"]}
+            firsts = {(p["high"], p["low"]) for p in asked if p["is_first"]}
+            places = [(int(at), False) for at in covering(np.array([at for at, p in enumerate(own) if p in others], np.int64))]
+            for at, p in enumerate(own):
+                if p in firsts:
+                    firsts.discard(p)
+                    places.append((at, True))
+            out += [(row, at, *own[at], is_first, b"\n".join(lines[at : at + LEAST_LINES])) for at, is_first in places]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)], [f.split()[0] for f in _PIECES.split(", ")])
+
+
+def _cut(text: bytes | None, places: list[int] | None) -> tuple[bytes | None, int, int, int, int]:
+    """The text without its repeated lines, and its lines, chunks, removed lines and removed chunks."""
+    lines = (text or b"").split(b"\n")
+    gone = np.zeros(len(lines), bool)
+    for at in places or ():
+        gone[at : at + LEAST_LINES] = True
+    bounds, seen = chunk_bounds(lines), set()
+    for first, end in bounds:
+        if end - first >= LEAST_LINES:
+            chunk = b"\n".join(lines[first:end])
+            gone[first:end] |= chunk in seen
+            seen.add(chunk)
+    n_gone = int(gone.sum())
+    kept = b"\n".join(line for line, g in zip(lines, gone) if not g) if n_gone else text
+    return kept, len(lines), len(bounds), n_gone, sum(bool(gone[a:b].all()) for a, b in bounds) if n_gone else 0
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -85,45 +133,31 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     keyed = with_row_key(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text"))
     texts = keyed.select("row_key", F.col("text").cast("binary").alias("text"), "row")
-    chunks = stored(keyed.select("row_key", "doc_id", "text").mapInArrow(_fingerprints, _CHUNKS), "line-chunks")
-
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "at")
-    many = chunks.where(F.col("n_lines") >= LEAST_LINES)
-    repeated = many.groupBy("high", "low").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("high", "low", "first")
-    nominated = many.join(repeated, ["high", "low"]).select(
-        "row_key", F.struct("start", "end", "n_lines", "high", "low", ((F.col("row_key") == F.col("first.row_key")) & (F.col("at") == F.col("first.at"))).alias("is_first")).alias("chunk")
-    )
-    per_row = stored(nominated.groupBy("row_key").agg(F.collect_list("chunk").alias("chunks")), "line-nominated")
-
-    # The content of nominated chunks only; the first one of a fingerprint meets all others.
-    content = texts.select("row_key", "text").join(per_row, "row_key").select("row_key", "text", F.explode("chunks").alias("c"))
-    size = F.col("c.end") - F.col("c.start")
-    piece = F.call_function("substring", F.col("text"), F.col("c.start") + 1, size)
-    ended = F.call_function("substring", F.col("text"), F.col("c.end"), F.lit(1)) == F.lit(b"\n")
-    bare = F.when(ended, F.call_function("substring", F.col("text"), F.col("c.start") + 1, size - 1)).otherwise(piece)
-    pieces = content.select("row_key", "c.*", bare.alias("piece"))
+    prints = stored(keyed.select("row_key", "doc_id", "text").mapInArrow(_fingerprints, "row_key long, doc_id long, high long, low long"), "line-prints")
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    repeated = prints.groupBy("high", "low").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("high", "low", F.col("first.row_key").alias("first_row"))
+    nominated = prints.join(repeated, ["high", "low"]).select("row_key", F.struct("high", "low", (F.col("row_key") == F.col("first_row")).alias("is_first")).alias("print"))
+    per_row = stored(nominated.groupBy("row_key").agg(F.collect_list("print").alias("prints")), "line-nominated")
+
+    # The content of nominated runs only; the first one of a fingerprint meets all others.
+    pieces = stored(_asked(texts, per_row).join(per_row, "row_key").mapInArrow(_pieces, _PIECES), "line-pieces")
     first = pieces.where("is_first").select("high", "low", F.col("piece").alias("first_piece"))
     same = pieces.where("NOT is_first").join(first, ["high", "low"]).where(F.col("piece") == F.col("first_piece"))
-    removed = stored(same.select("row_key", F.struct("start", "end", "n_lines").alias("span")), "line-removed").groupBy("row_key").agg(F.collect_list("span").alias("spans"))
-
-    totals = chunks.groupBy("row_key").agg(F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_chunks"))
-    whole = texts.join(totals, "row_key", "left").join(removed, "row_key", "left")
+    removed = stored(same.select("row_key", "at"), "line-removed").groupBy("row_key").agg(F.collect_list("at").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans = batch.column("spans").to_pylist()
-            cut = [_cut(t, s) for t, s in zip(batch.column("text").to_pylist(), spans)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row": batch.column("row"), "cut": pa.array(cut, pa.binary()).cast(pa.string()), "n_lines": batch.column("n_lines"), "n_chunks": batch.column("n_chunks"),
-                    "removed_lines": pa.array([sum(s["n_lines"] for s in own or ()) for own in spans], pa.int64()), "removed_chunks": pa.array([len(own or ()) for own in spans], pa.int64()),
-                }
-            )
+            done = [_cut(t, p) for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())]
+            cut, *numbers = zip(*done) if done else [()] * 5
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "cut": pa.array(cut, pa.binary()).cast(pa.string()), **{c: pa.array(n, pa.int64()) for c, n in zip(counted, numbers)}})
 
     fields = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns]
     # The text is carried once: as bytes, beside the other columns.
     rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]).alias("row")
     shape = docs.select(row).schema["row"].dataType.simpleString()
     counted = ["n_lines", "n_chunks", "removed_lines", "removed_chunks"]
-    done = whole.select(rest, "text", "n_lines", "n_chunks", "spans").mapInArrow(run, f"row {shape}, cut string, " + ", ".join(f"{c} long" for c in counted))
+    # Sorted and merged at every size: removed rows grow with the table, so a broadcast would fit small ones only.
+    whole = texts.join(removed.hint("merge"), "row_key", "left").select(rest, "text", "places")
+    done = whole.mapInArrow(run, f"row {shape}, cut string, " + ", ".join(f"{c} long" for c in counted))
     return done.select(*fields, *counted)
