@@ -200,6 +200,19 @@ def test_secrets(spark, nothing):
     assert "Python" not in found._jdf.queryExecution().toString() and credential_links.scan(nothing).count() == 0
 
 
+def test_secrets_in_blocks_of_settings(spark):
+    token, comment = "Zm9vYmFyQmF6MTIzNDU2Nzg", "# " + "far " * 100
+    texts = [
+        f"user: bob\n{comment}\nkey: {token}", f"user: bob\n{comment}\n\nkey: {token}", f"user: bob\n{'far ' * 100}\nkey: {token}",
+        f"some prose\nkey = {token}\n" + f"; {'far ' * 20}\n" * 20000 + "host = postgres://db.example.com/x", f"key: {token}\n{comment}\nkey: {token}",
+    ]
+    found = credential_links.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["s"] for r in found.select("doc_id", credential_links.joined("linked").alias("s")).collect()}
+    at = texts[3].index("postgres")
+    assert got == {0: f"identifier:0:9,weak_secret:{len(texts[0]) - 23}:{len(texts[0])}", 1: "", 2: "", 3: f"weak_secret:17:40,endpoint:{at}:{at + 26 + 1}", 4: ""}
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
 def test_quality(spark, docs, nothing):
     rng = np.random.default_rng(3)
     good = [(i, " ".join(rng.choice(WORDS[:40], 80))) for i in range(60)]

@@ -3,10 +3,11 @@
 Some kinds of text are secrets by themselves: assignments, access keys, long hex strings. Others
 are weak: an account name, a mixed token or an endpoint means nothing alone. A weak token is
 reported when an identifier or an endpoint stands in its scope, an identifier or an endpoint when
-a secret does. The scope of a part is ``REACH`` code points on both sides, inside one text. Parts are
+a secret does. The scope of a part is ``REACH`` code points on both sides, inside one text, and the whole
+block of settings that it stands in: neighbouring lines that are settings or comments. Parts are
 joined by interval: one side stands in the bins that it covers, the other in those that its scope
 covers, and a part is kept as soon as one partner overlaps its scope (a semi join), so no pairs
-are listed. Everything is DataFrame expressions.
+are listed; blocks are joined by their start in the same way. Everything is DataFrame expressions.
 
 Defined results: null text is empty; rows are told apart by their place, so repeated rows and null
 ids are rows of their own; weak parts that overlap a strong one are dropped. Extra columns are ignored.
@@ -35,6 +36,10 @@ TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 ENDPOINT = r"""(?i)(https?|ftp|ldap|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D"'<>]+"""
 WEAK = (("identifier", IDENTIFIER), ("weak_secret", TOKEN), ("endpoint", ENDPOINT))
 
+#: Two lines or more, each a name with ``:`` or ``=`` behind it or a comment. Possessive, so that long blocks need no stack.
+_LINE = r"""[\x20\t]*(?:(?:export\x20|-\x20)?["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=]|#|//|;)[^\n]*"""
+BLOCK = rf"(?<![^\n])(?:{_LINE}(?:\n|\z)){{2,}}+"
+
 _SPAN = "struct<start: bigint, kind: int, end: bigint>"
 
 
@@ -79,12 +84,12 @@ def joined(spans: Column) -> Column:
 
 
 def _strong_and_weak(docs: DataFrame) -> DataFrame:
-    """``row_key``, ``doc_id``, the spans of the strong kinds, and all parts that do not overlap one of these."""
+    """``row_key``, ``doc_id``, the spans of the strong kinds, all parts that do not overlap one of these, and the blocks of settings."""
     text = F.coalesce(F.col("text"), F.lit(""))
     strong = [_spans(F.col("text"), pattern, at, _accept(name)) for at, (name, pattern) in enumerate(STRONG)]
     weak = [_spans(F.col("text"), pattern, at + len(STRONG), _accept(name)) for at, (name, pattern) in enumerate(WEAK)]
     rows = with_row_key(docs.select("doc_id", text.alias("text")))
-    found = rows.select("row_key", "doc_id", *[s.alias(f"s{i}") for i, s in enumerate(strong)], F.concat(*weak).alias("weak"))
+    found = rows.select("row_key", "doc_id", *[s.alias(f"s{i}") for i, s in enumerate(strong)], F.concat(*weak).alias("weak"), _spans(F.col("text"), BLOCK, 0, lambda m: m.isNotNull()).alias("blocks"))
     all_strong = F.concat(*[F.col(f"s{i}") for i in range(len(strong))])
     found = found.withColumn("strong", all_strong)
     clear = F.filter("weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
@@ -108,7 +113,13 @@ def _linked(rows: DataFrame) -> DataFrame:
     met = wide.where(secret | named).join(
         narrow, (F.col("w.row_key") == F.col("p.row_key")) & (F.col("w.bin") == F.col("p.bin")) & complementary & near, "left_semi"
     )
-    return met.select("row_key", "part").distinct()
+    # In a block of settings distance does not count; what a part asks for is part of the key.
+    block = F.get(F.filter("blocks", lambda b: (b["start"] <= F.col("part.start")) & (F.col("part.start") < b["end"])), F.lit(0))["start"].alias("block")
+    asking = rows.select("row_key", "blocks", F.explode("weak").alias("part")).select("row_key", "part", block, (F.col("part.kind") != 4).alias("secret")).where("block IS NOT NULL")
+    offered = rows.where(F.size("weak") > 0).select("row_key", "blocks", F.explode(F.concat("strong", "weak")).alias("part"))
+    offered = offered.select("row_key", block, secret.alias("secret")).where("block IS NOT NULL")
+    together = asking.join(offered, ["row_key", "block", "secret"], "left_semi")
+    return met.select("row_key", "part").unionByName(together.select("row_key", "part")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
