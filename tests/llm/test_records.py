@@ -55,6 +55,10 @@ def test_captures(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_covers_its_table(spark, data_dir, name):
+    if name in ("op11_max_sketch", "op12_hard_negatives"):
+        # Searches: every query has its rows; tests/llm/test_ranking.py holds all of them against brute force.
+        assert queries.queries()[name](spark, data_dir).count() > 0
+        return
     source = {"op5_reply_trees": "conversations", "op6_warc_index": "pages"}.get(name, "documents")
     rows = spark.read.parquet(f"{data_dir}/{source}.parquet")
     expected = rows.select("conv_id").distinct().count() + 1 if source == "conversations" else rows.count()

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchbook.llm import credential_links, decontaminate, jaccard_join, lattice_score, line_dedup, piece_codec, quality_ratio, reply_trees, suffix_dedup, warc_index
+from wrenchbook.llm import (
+    credential_links, decontaminate, fair_toxicity, hard_negatives, jaccard_join, lattice_score, line_dedup, max_sketch, piece_codec, quality_ratio, reply_trees,
+    suffix_dedup, warc_index,
+)
 from wrenchbook.llm.shared import table
 
 
@@ -77,6 +80,19 @@ def probabilities(spark: SparkSession, directory: str) -> DataFrame:
     return lattice_score.score(table(spark, directory, "documents"))
 
 
+def ranked(spark: SparkSession, directory: str) -> DataFrame:
+    return max_sketch.search(max_sketch.index(table(spark, directory, "documents")), table(spark, directory, "benchmark"))
+
+
+def hard_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, directory, "embeddings"))
+
+
+def toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return fair_toxicity.score(docs, fair_toxicity.fit(docs, table(spark, directory, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_chunks,
@@ -89,8 +105,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_codec": pieces,
         "op9_decontaminate": leaks,
         "op10_lattice_score": probabilities,
+        "op11_max_sketch": ranked,
+        "op12_hard_negatives": hard_pairs,
+        "op13_fair_toxicity": toxicity,
     }
 
 
+RANKED = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT a.item_id, t.doc_id,
+         sum(CAST(floor(1000 * ln(CAST(2 * c.docs + 2 AS DOUBLE) / (2 * d.df + 1))) AS BIGINT)
+             * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + (50 * s.n * c.docs) // c.total))))::BIGINT AS score
+  FROM asked a JOIN tf t USING (term) JOIN df d USING (term) JOIN sizes s USING (doc_id) CROSS JOIN corpus c
+  GROUP BY a.item_id, t.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+HARD_PAIRS = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.parts, b.parts), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), pairs AS (
+  SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS place
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+   AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM pairs WHERE place <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements of the operators that SQL can express; tests compare the others with brute force."""
+    return {"op11_max_sketch": RANKED, "op12_hard_negatives": HARD_PAIRS}
