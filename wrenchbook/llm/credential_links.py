@@ -109,16 +109,20 @@ def _linked(rows: DataFrame) -> DataFrame:
     secret, named = F.col("part.kind").isin(0, 2, 4), F.col("part.kind").isin(1, 3, 5)
     wide, narrow = _in_bins(weak, REACH).alias("w"), _in_bins(partner, 0).alias("p")
     complementary = (F.col("w.part.kind") == 4) == F.col("p.part.kind").isin(1, 3, 5)
+    # A part is no partner of itself, nor of one inside it.
+    apart = (F.col("p.part.end") <= F.col("w.part.start")) | (F.col("w.part.end") <= F.col("p.part.start"))
     near = (F.col("w.part.start") - REACH < F.col("p.part.end")) & (F.col("p.part.start") < F.col("w.part.end") + REACH)
     met = wide.where(secret | named).join(
-        narrow, (F.col("w.row_key") == F.col("p.row_key")) & (F.col("w.bin") == F.col("p.bin")) & complementary & near, "left_semi"
+        narrow, (F.col("w.row_key") == F.col("p.row_key")) & (F.col("w.bin") == F.col("p.bin")) & complementary & near & apart, "left_semi"
     )
     # In a block of settings distance does not count; what a part asks for is part of the key.
     block = F.get(F.filter("blocks", lambda b: (b["start"] <= F.col("part.start")) & (F.col("part.start") < b["end"])), F.lit(0))["start"].alias("block")
     asking = rows.select("row_key", "blocks", F.explode("weak").alias("part")).select("row_key", "part", block, (F.col("part.kind") != 4).alias("secret")).where("block IS NOT NULL")
     offered = rows.where(F.size("weak") > 0).select("row_key", "blocks", F.explode(F.concat("strong", "weak")).alias("part"))
-    offered = offered.select("row_key", block, secret.alias("secret")).where("block IS NOT NULL")
-    together = asking.join(offered, ["row_key", "block", "secret"], "left_semi")
+    offered = offered.select("row_key", block, secret.alias("secret"), "part").where("block IS NOT NULL").alias("p")
+    asking = asking.alias("w")
+    same = (F.col("w.row_key") == F.col("p.row_key")) & (F.col("w.block") == F.col("p.block")) & (F.col("w.secret") == F.col("p.secret"))
+    together = asking.join(offered, same & apart, "left_semi")
     return met.select("row_key", "part").unionByName(together.select("row_key", "part")).distinct()
 
 

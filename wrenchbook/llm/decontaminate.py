@@ -11,8 +11,7 @@ exact joins follow. Every document and every word is looked at.
 
 Words are lower-cased and end at white space and punctuation. Defined results: null and empty texts and items
 of fewer than ``GRAM`` words match nothing; repeated items count by their ``item_id``, repeated rows are
-rows of their own; extra columns are ignored or carried along by ``keep_clean``. ``docs`` must be a
-table scan, because rows are known by their place in it.
+rows of their own; extra columns are ignored or carried along by ``keep_clean``.
 """
 
 from __future__ import annotations

@@ -24,7 +24,6 @@ together, and are told to all tasks as a bitmap of fixed size.
 Defined results: null and empty text have no words, 0 shingles, and are linked with nothing; with
 fewer than five words the whole sequence is the one shingle; repeated rows are rows of their own
 in one component; a null ``doc_id`` takes part but is never the least one. Extra columns are ignored.
-``docs`` must be a table scan, because rows are known by their place in it.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from wrenchbook.llm.shared import MIX_C, mixed
 #: The installed model; a caller may name another one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of one length that are worked on together.
-GROUP = 8192
+GROUP = 4096
 
 # The mark of a space, and a code point that no text has, for the mark itself.
 SPACE = "▁"
@@ -33,6 +33,9 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     ordinary: np.ndarray
 
+    def values(self) -> tuple:
+        return self.pieces, self.scores, self.byte_ids, self.ordinary
+
 
 def load(path: str = MODEL) -> Vocabulary:
     """Reads a SentencePiece model on the driver; its size bounds what is broadcast."""

@@ -11,8 +11,7 @@ are broadcast with their counts; all others meet their counts in a join, so no w
 
 Defined results: null and empty text have one token, the end; a null ``doc_id`` counts as the empty
 text for the split; repeated rows are scored row by row; an empty training part has N = V = 0.
-Extra columns are ignored. ``docs`` must be a table scan, because rows are known by their place in it.
-"""
+Extra columns are ignored. """
 
 from __future__ import annotations
 
@@ -117,13 +116,14 @@ def score(docs: DataFrame, model: str = MODEL) -> DataFrame:
     total, different, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     common = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist())))
-    vocabulary = spark.sparkContext.broadcast(load(model))
+    # Plain values, which a worker reads without this package.
+    vocabulary = spark.sparkContext.broadcast(load(model).values())
     end = (ends + 1) / (total + 2)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fields = f"row_key long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, word binary, times int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary.value, end)
+        scorer = Scorer(Vocabulary(*vocabulary.value), end)
         logs = {word: math.log10(n + PSEUDO) for word, n in known.value.items()}
         end_log, end_score = math.log10(ends + PSEUDO), math.log10(end)
         for batch in slices(batches):

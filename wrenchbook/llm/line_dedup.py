@@ -14,8 +14,7 @@ of all rows is no single task.
 
 Defined results: null text is one empty line and stays null; an empty line is a line; the line end behind
 a removed line goes with it; a text that loses all lines is empty; repeated rows are documents of their
-own; other columns are carried along. A removed chunk is one of which no line is left. ``docs`` must be a
-table scan, because rows are known by their place in it.
+own; other columns are carried along. A removed chunk is one of which no line is left.
 """
 
 from __future__ import annotations
@@ -127,8 +126,25 @@ def _cut(text: bytes | None, places: list[int] | None) -> tuple[bytes | None, in
     return kept, len(lines), len(bounds), n_gone, sum(bool(gone[a:b].all()) for a, b in bounds) if n_gone else 0
 
 
+#: Columns behind those of the documents; they take the place of columns with their names.
+COUNTED = ("n_lines", "n_chunks", "removed_lines", "removed_chunks")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the shortened ``text``, and ``n_lines``, ``n_chunks``, ``removed_lines``, ``removed_chunks`` behind its columns."""
+    done, columns = _shortened(docs)
+    return done.select(*[column for name, column in columns if name not in COUNTED], *COUNTED)
+
+
+def keep_worded(docs: DataFrame) -> DataFrame:
+    """``docs`` with the shortened ``text`` and its ``n_chars``, without those that have lost all their words."""
+    done, columns = _shortened(docs)
+    left = done.where((F.col("removed_lines") == 0) | F.regexp_like("cut", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.select(*[F.length("cut").cast("long").alias(name) if name == "n_chars" else column for name, column in columns])
+
+
+def _shortened(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Rows with their shortened text and counts, and the names and columns of ``docs`` in them."""
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     keyed = with_row_key(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -150,14 +166,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             done = [_cut(t, p) for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())]
             cut, *numbers = zip(*done) if done else [()] * 5
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "cut": pa.array(cut, pa.binary()).cast(pa.string()), **{c: pa.array(n, pa.int64()) for c, n in zip(counted, numbers)}})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "cut": pa.array(cut, pa.binary()).cast(pa.string()), **{c: pa.array(n, pa.int64()) for c, n in zip(COUNTED, numbers)}})
 
-    fields = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns]
+    fields = [(c, F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in columns]
     # The text is carried once: as bytes, beside the other columns.
     rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]).alias("row")
     shape = docs.select(row).schema["row"].dataType.simpleString()
-    counted = ["n_lines", "n_chunks", "removed_lines", "removed_chunks"]
     # Sorted and merged at every size: removed rows grow with the table, so a broadcast would fit small ones only.
     whole = texts.join(removed.hint("merge"), "row_key", "left").select(rest, "text", "places")
-    done = whole.mapInArrow(run, f"row {shape}, cut string, " + ", ".join(f"{c} long" for c in counted))
-    return done.select(*fields, *counted)
+    done = whole.mapInArrow(run, f"row {shape}, cut string, " + ", ".join(f"{c} long" for c in COUNTED))
+    return done, fields

@@ -1,8 +1,8 @@
 """Ranked lexical search with hashed max-sketches.
 
-Each document has a sketch of two rows: its terms are hashed to a place of each row, and every place keeps the largest
-impact that falls on it. The smaller one of a term's two places bounds its impact, so a term that the document lacks
-counts only where it meets others in both rows.
+Each document has a sketch of ``ROWS`` rows: its terms are hashed to a place of each row, and every place keeps the
+largest impact that falls on it. The least of a term's places bounds its impact, so a term that the document lacks counts
+only where it meets others in all rows.
 A document's impact of a term grows with the term's frequency alone, so the frequency is kept, and the impact
 follows from it when the corpus is known: sketches are built once and hold whatever is added later.
 A query looks its terms up in the sketches of a batch of documents at once and adds up weighted impacts. The sum is an
@@ -32,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchbook.llm.shared import slices, stored, utf8
+from wrenchbook.llm.shared import mixed, slices, stored, utf8
 from wrenchbook.llm.wordhash import WordHasher
 
 #: Documents of a query.
 TOP = 50
-#: Places of a row for every different term, and the least and the most places, powers of two.
-SPREAD, LEAST_PLACES, MOST_PLACES = 8, 64, 1 << 20
+#: Rows of a sketch, places of a row for every different term, and the least and the most places, powers of two.
+ROWS, SPREAD, LEAST_PLACES, MOST_PLACES = 4, 2, 64, 1 << 20
 #: Text of the queries that are sent to tasks at a time.
 BLOCK_BYTES = 1 << 18
 #: Cells of a batch of bounds.
-CELLS = 1 << 21
+CELLS = 1 << 20
 
 # What separates terms, the scale of an impact, and the shares of the length norm.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -69,16 +69,16 @@ def _places(n_terms: int) -> int:
 
 
 def _at(hashes: np.ndarray, row: int, size: int) -> np.ndarray:
-    """The places of terms in a row: low bits of their hashes for the first one, high bits for the second."""
-    return ((hashes >> np.uint64(40 * row)) & np.uint64(size - 1)).astype(np.int64)
+    """The places of terms in a row."""
+    return (mixed(hashes + np.uint64(row)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Both rows of a document's term hashes: the largest frequency on every place, at most 255."""
+    """The rows of a document's term hashes: the largest frequency on every place, at most 255."""
     different, times = np.unique(hashes, return_counts=True)
-    out = np.zeros((2, _places(len(different))), np.uint8)
+    out = np.zeros((ROWS, _places(len(different))), np.uint8)
     order = np.argsort(times, kind="stable")
-    for row in (0, 1):
+    for row in range(ROWS):
         # Of several terms on one place the most frequent one is written last.
         out[row, _at(different[order], row, out.shape[1])] = np.minimum(times[order], _FULL)
     return out.tobytes()
@@ -139,8 +139,11 @@ def _bounds(batch: pa.RecordBatch, queries: tuple, corpus: tuple[int, int]) -> I
         sizes = np.array([len(s) for s in sketches])
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            rows_of = np.frombuffer(b"".join([sketches[i] for i in own]), np.uint8).reshape(len(own), 2, size // 2)
-            frequency[:, own] = np.minimum(*(rows_of[:, row, _at(hashes, row, size // 2)] for row in (0, 1))).T
+            rows_of = np.frombuffer(b"".join([sketches[i] for i in own]), np.uint8).reshape(len(own), ROWS, size // ROWS)
+            least = rows_of[:, 0, _at(hashes, 0, size // ROWS)]
+            for row in range(1, ROWS):
+                np.minimum(least, rows_of[:, row, _at(hashes, row, size // ROWS)], out=least)
+            frequency[:, own] = least.T
         full = frequency == _FULL
         frequency *= np.float32(IMPACT) / (1000 * frequency + 20 * norms.astype(np.float32))
         frequency[full] = IMPACT / 1000
@@ -151,7 +154,7 @@ def _bounds(batch: pa.RecordBatch, queries: tuple, corpus: tuple[int, int]) -> I
 def _nominated(batches: Iterator[pa.RecordBatch], queries: tuple, corpus: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The documents with the best bounds of every query."""
     best = [(np.empty(0, np.float32), np.empty(0, np.int64))] * len(queries[0])
-    for batch in slices(batches, "sketch"):
+    for batch in slices(batches, "sketch", 2 << 20):
         places = batch.column("place").to_numpy()
         for start, _, bounds in _bounds(batch, queries, corpus):
             own = places[start : start + bounds.shape[1]]
@@ -192,7 +195,7 @@ def _scored(batches: Iterator[pa.RecordBatch], queries: tuple, corpus: tuple[int
     sets = [frozenset(own.tolist()) for own in of]
     # Per query (-score, no id, id, place), best first.
     best: list[list[tuple]] = [[] for _ in keys]
-    for batch in slices(batches):
+    for batch in slices(batches, size=2 << 20):
         ids, places, texts = batch.column("doc_id").to_pylist(), batch.column("place").to_pylist(), utf8(batch.column("text"))
         for start, norms, bounds in _bounds(batch, queries, corpus):
             exact = _Exact(texts[start : start + len(norms)], norms, queries, numbers)

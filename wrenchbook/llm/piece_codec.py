@@ -11,6 +11,7 @@ scores; this search then prefers few and early pieces and can differ from replay
 
 Defined results: null and empty text have no pieces; null is decoded to the empty text. Long words
 cost time in proportion to their length. Extra columns are ignored by ``encode``.
+With ``carry`` all columns come along; ``pieces`` and ``text`` take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchbook.llm.lattice import MARK, MODEL, SPACE, Lattice, Vocabulary, by_length, load, utf8_lengths
-from wrenchbook.llm.shared import slices
+from wrenchbook.llm.shared import slices, with_text
 
 #: A task forgets its segmented words beyond this number.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -133,30 +134,32 @@ def piece_bytes(vocabulary: Vocabulary) -> list[bytes]:
 
 def encode(docs: DataFrame, model: str = MODEL, carry: bool = False) -> DataFrame:
     """``doc_id`` and ``pieces``, the piece numbers of every text; with ``carry`` behind all columns of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
-    columns = docs.columns if carry else ["doc_id"]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    # Plain values, which a worker reads without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(load(model).values())
+    columns = docs.columns if carry else ["doc_id", "text"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in slices(batches, size=1 << 20):
+        encoder = Encoder(Vocabulary(*shared.value))
+        for batch in slices(with_text(batches), size=1 << 20):
             pieces, counts = encoder([t or "" for t in batch.column("text").to_pylist()])
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(ends, pa.array(pieces, pa.int32()))], ["row", "pieces"])
 
-    return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, pieces array<int>").select("row.*", "pieces")
+    made = whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, pieces array<int>")
+    return made.select(*[F.col(f"row.`{c}`") for c in (docs.columns if carry else ["doc_id"]) if c != "pieces"], "pieces")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with ``text``, what its ``pieces`` stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(piece_bytes(load(model)))
     kept = [F.col(f"`{c}`") for c in encoded.columns]
-    plain = encoded.select(F.struct(*kept).alias("row"), "pieces")
+    plain = encoded.select(F.struct(*kept).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(p) for p in shared.value], np.int64)
         letters, starts = np.frombuffer(b"".join(shared.value), np.uint8), np.cumsum(sizes) - sizes
-        for batch in slices(batches, "pieces", 1 << 20):
+        for batch in slices(with_text(batches, "pieces"), "pieces", 1 << 20):
             lists = batch.column("pieces").cast(pa.large_list(pa.int32()))
             counts = lists.value_lengths().fill_null(0).to_numpy()
             pieces = lists.drop_null().flatten().to_numpy()
@@ -168,4 +171,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = pa.Array.from_buffers(pa.large_string(), len(batch), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("row"), texts.cast(pa.string())], ["row", "decoded"])
 
-    return plain.mapInArrow(run, f"row {plain.schema['row'].dataType.simpleString()}, decoded string").select("row.*", F.col("decoded").alias("text"))
+    return plain.mapInArrow(run, f"row {plain.schema['row'].dataType.simpleString()}, decoded string").select(*[F.col(f"row.`{c}`") for c in encoded.columns if c != "text"], F.col("decoded").alias("text"))

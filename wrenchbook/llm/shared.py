@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchbook.session import scratch_path
@@ -16,6 +17,10 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_C = np.uint64(0x165667B19E3779F9)
 
+# A row key is the number of its file and the place in it, in so many bits each.
+FILE_BITS, PLACE_BITS = 33, 30
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: a cut of the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
@@ -23,9 +28,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_salt(df: DataFrame) -> int | None:
+    """A salt that gives each file of a plain scan a number of its own; None for other plans."""
+    plan = df._jdf.queryExecution().analyzed()
+    if "_metadata" in df.columns or not plan.deterministic():
+        return None
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    files = df.inputFiles() if plan.nodeName() == "LogicalRelation" else []
+    if not files:
+        return None
+    paths = df.sparkSession.createDataFrame([(f,) for f in files], "path string")
+    for salt in range(16):
+        if paths.agg(F.count_distinct(_file_number(F.col("path"), salt)) == len(files)).first()[0]:
+            return salt
+    return None
+
+
+def _file_number(path: Column, salt: int) -> Column:
+    # Paths are written with one slash or three behind the scheme.
+    plain = F.ltrim(F.substring_index(path, ":", -1), F.lit("/"))
+    return F.pmod(F.xxhash64(plain, F.lit(salt)), F.lit(1 << FILE_BITS))
+
+
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A key per row that stays the same as long as ``df`` is a table scan."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A key per row that is the same in every job, however the table is split among tasks.
+
+    A scan, also with columns computed or rows filtered, tells file and place of each row; anything else is written once with its keys.
+    """
+    salt = _file_salt(df)
+    if salt is None:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    number = _file_number(F.col("_metadata.file_path"), salt)
+    return df.withColumn(name, F.shiftleft(number, PLACE_BITS).bitwiseOR(F.col("_metadata.row_index")))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,8 +93,18 @@ def windows_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of this worker have freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``size`` bytes of text, so that work arrays stay small."""
+    give_back()
     for batch in batches:
         bytes_each = max(batch.column(column).nbytes // max(len(batch), 1), 1)
         rows = max(size // bytes_each, 1)
@@ -67,5 +112,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(start, rows)
 
 
+def with_text(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of whole rows with one of their fields beside them, without a copy."""
+    for batch in batches:
+        yield batch.append_column(column, batch.column("row").field(column))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")

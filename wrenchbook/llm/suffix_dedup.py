@@ -19,7 +19,6 @@ share arrives once per chunk. Everything that is grouped is a bucket of names or
 
 Defined results: null text is empty; texts below ``LENGTH`` bytes lose nothing; documents are ordered
 by ``doc_id`` (cast to long, null last), rows of one id by their place; extra columns are ignored.
-``docs`` must be a table scan, because chunks are known by their place in it.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchbook.llm.shared import MIX_A, MIX_B, MIX_C, mixed, partitions, slices
+from wrenchbook.llm.shared import MIX_A, MIX_B, MIX_C, mixed, partitions, slices, stored
 from wrenchbook.llm.wordhash import buffers
 
 #: Bytes of a string that counts as repeated.
@@ -118,7 +117,7 @@ def samples(data: np.ndarray, offsets: np.ndarray) -> Samples:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The task's documents in chunks, numbered alike whenever the task runs."""
+    """The task's documents in chunks with numbers of their own."""
     task = TaskContext.get().partitionId()
     for number, batch in enumerate(slices(batches, size=CHUNK)):
         yield (task << 24) | number, batch
@@ -136,8 +135,10 @@ def _parts(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]
 
 def _sampled_names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The names in a chunk, by bucket; the lowest bit tells whether the chunk has a name twice."""
-    for chunk, batch in _chunks(batches):
-        names, counts = np.unique(samples(*buffers(batch.column("text"))).name & ~np.uint64(1), return_counts=True)
+    pack = zstandard.ZstdDecompressor()
+    for chunk, text, offsets in (row.values() for batch in batches for at in range(len(batch)) for row in batch.slice(at, 1).to_pylist()):
+        data = np.frombuffer(pack.decompress(text), np.uint8)
+        names, counts = np.unique(samples(data, np.frombuffer(offsets, np.int64)).name & ~np.uint64(1), return_counts=True)
         names |= (counts > 1).astype(np.uint64)
         if len(names):
             used, parts = _parts(_bucket(names, buckets))
@@ -366,9 +367,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = 2 * partitions(docs.sparkSession)
     text_buckets = 8 * buckets
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = plain.mapInArrow(lambda b: _sampled_names(b, buckets), "bucket int, chunk long, names binary")
+    # Written once: a chunk has the same number in all that follows, however the table is split.
+    texts = stored(plain.mapInArrow(_packed_texts, "chunk long, ids binary, missing binary, offsets binary, text binary"), "suffix-chunks")
+    names = texts.select("chunk", "text", "offsets").mapInArrow(lambda b: _sampled_names(b, buckets), "bucket int, chunk long, names binary")
     repeated = names.groupBy("bucket").applyInArrow(_repeated_names, "chunk long, names binary")
-    texts = plain.mapInArrow(_packed_texts, "chunk long, ids binary, missing binary, offsets binary, text binary")
     candidates = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
         lambda left, right: _candidates(left, right, text_buckets), "bucket long, records binary, chunk long, spans binary"
     )
