@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wrenchbook.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality_ratio
 from wrenchbook.llm.shared import stored, table
@@ -16,9 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages and chunks of lines that stand in an earlier place; documents that lose all their words go."""
-    cut = line_dedup.deduplicate(docs)
-    left = cut.where((F.col("removed_lines") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.keep_worded(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
