@@ -160,28 +160,54 @@ def searchable_vectors(vectors: DataFrame, chunks: DataFrame, model_key: str) ->
     )
 
 
-def _pack(df: DataFrame, id_columns: Sequence[str], block_rows: int) -> DataFrame:
-    """Rows of a partition as blocks per tenant: a matrix of unit vectors and the ids beside it."""
-    names = list(id_columns)
+def pack(df: DataFrame, id_columns: Sequence[str], block_rows: int, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """Rows of a partition as blocks per key: a matrix of unit vectors and the ids beside it."""
+    names, keys = list(id_columns), list(keys)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(batches):
-            for tenant, rows in batch.groupby("tenant_id", sort=True):
+            for key, rows in batch.groupby(keys, sort=True):
                 for start in range(0, len(rows), block_rows):
                     part = rows.iloc[start : start + block_rows]
                     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
                     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
                     yield pd.DataFrame(
                         {
-                            "tenant_id": [tenant],
+                            **{name: [value] for name, value in zip(keys, key)},
                             "matrix": [matrix.tobytes()],
                             "ids": [part[names].to_dict("records")],
                         }
                     )
 
     fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
-    return df.select("tenant_id", "embedding", *names).mapInPandas(
-        blocks, f"tenant_id string, matrix binary, ids array<struct<{fields}>>"
+    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return df.select(*keys, "embedding", *names).mapInPandas(blocks, f"{key_fields}, matrix binary, ids array<struct<{fields}>>")
+
+
+def nearest_in_blocks(pairs: DataFrame, k: int, max_distance: float) -> DataFrame:
+    """The best ``k`` of a block of vectors for each query of a block beside it; the k-th distance with all its ties."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                left = np.frombuffer(row.q).reshape(len(row.q_ids), -1)
+                right = np.frombuffer(row.matrix).reshape(len(row.ids), -1)
+                distance = np.round(1.0 - left @ right.T, SCORE_DIGITS) + 0.0  # no negative zero
+                found = []
+                for at, line in enumerate(distance):
+                    near = np.flatnonzero(line <= max_distance)
+                    if len(near) > k:
+                        # Keep all ties at the k-th distance; the final ranking breaks them.
+                        near = near[line[near] <= np.partition(line[near], k - 1)[k - 1]]
+                    for hit in near:
+                        found.append(
+                            (row.q_ids[at]["query_id"], row.tenant_id, row.ids[hit]["document_key"],
+                             row.ids[hit]["ordinal"], row.ids[hit]["chunk_id"], float(line[hit]))
+                        )
+                yield pd.DataFrame(found, columns=["query_id", "tenant_id", "document_key", "ordinal", "chunk_id", "distance"])
+
+    return pairs.mapInPandas(
+        best, "query_id string, tenant_id string, document_key string, ordinal int, chunk_id string, distance double"
     )
 
 
@@ -205,8 +231,8 @@ def vector_topk(
     """
     # A null vector is near to nothing.
     queries, vectors = queries.where("embedding IS NOT NULL"), vectors.where("embedding IS NOT NULL")
-    asked = _pack(queries, ["query_id"], block_rows).select("tenant_id", F.col("matrix").alias("q"), F.col("ids").alias("q_ids"))
-    corpus = _pack(vectors, ["document_key", "ordinal", "chunk_id"], block_rows)
+    asked = pack(queries, ["query_id"], block_rows).select("tenant_id", F.col("matrix").alias("q"), F.col("ids").alias("q_ids"))
+    corpus = pack(vectors, ["document_key", "ordinal", "chunk_id"], block_rows)
     if _bytes(queries, 2 * F.size("embedding") + F.length("query_id") + F.length("tenant_id")) <= broadcast_bytes:
         pairs = corpus.join(F.broadcast(asked), "tenant_id")
     else:
@@ -214,30 +240,7 @@ def vector_topk(
         salted = corpus.withColumn("salt", F.pmod(F.xxhash64("matrix"), F.lit(salts)).cast("int"))
         copies = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         pairs = salted.join(copies, ["tenant_id", "salt"])
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                left = np.frombuffer(row.q).reshape(len(row.q_ids), -1)
-                right = np.frombuffer(row.matrix).reshape(len(row.ids), -1)
-                distance = np.round(1.0 - left @ right.T, SCORE_DIGITS) + 0.0  # no negative zero
-                found = []
-                for at, line in enumerate(distance):
-                    near = np.flatnonzero(line <= max_distance)
-                    if len(near) > k:
-                        # Keep all ties at the k-th distance; the final ranking breaks them.
-                        near = near[line[near] <= np.partition(line[near], k - 1)[k - 1]]
-                    for hit in near:
-                        found.append(
-                            (row.q_ids[at]["query_id"], row.tenant_id, row.ids[hit]["document_key"],
-                             row.ids[hit]["ordinal"], row.ids[hit]["chunk_id"], float(line[hit]))
-                        )
-                yield pd.DataFrame(found, columns=["query_id", "tenant_id", "document_key", "ordinal", "chunk_id", "distance"])
-
-    near = pairs.mapInPandas(
-        best, "query_id string, tenant_id string, document_key string, ordinal int, chunk_id string, distance double"
-    )
-    return _rank(near, k, F.col("distance"))
+    return _rank(nearest_in_blocks(pairs, k, max_distance), k, F.col("distance"))
 
 
 def vector_topk_lsh(

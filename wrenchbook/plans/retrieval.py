@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchbook.functions.text import search_tokens
-from wrenchbook.operators import retrieve
+from wrenchbook.operators import ivf, retrieve
 from wrenchbook.plans.bindings import Tables
 from wrenchbook.plans.knowledge import _CHUNKS, document_chunks
 from wrenchbook.plans.registry import query
+from wrenchbook.session import scratch_path
 
 # The corpus distance of the test vectors starts far above the default bound.
 TEST_DISTANCE = 0.8
@@ -133,6 +134,32 @@ def vector_lsh_recall(t: Tables) -> DataFrame:
     return retrieve.recall_against(exact, approximate)
 
 
+_IVF_RECALL = f"""
+SELECT count(*) AS exact_hits, true AS recall_reached, true AS fewer_pairs, CAST(0 AS BIGINT) AS wrong_distances FROM ({_EXACT}) hits
+"""
+
+
+@query("vector_ivf_recall", "H4b", _IVF_RECALL)
+def vector_ivf_recall(t: Tables) -> DataFrame:
+    """Exact hits, and whether the probed cells hold nine tenths of them with fewer pairs than queries and vectors of a tenant have."""
+    vectors = _vectors(t)
+    index = ivf.vector_index(vectors, cells=64).write(scratch_path(t.spark, "vector-index"))
+    probes = ivf.probes_for(t["vector_query"], index, max_distance=TEST_DISTANCE)
+    found = ivf.vector_topk_ivf(t["vector_query"], index, probes, max_distance=TEST_DISTANCE)
+    exact = retrieve.vector_topk(t["vector_query"], vectors, max_distance=TEST_DISTANCE)
+    per_tenant = t["vector_query"].groupBy("tenant_id").agg(F.count(F.lit(1)).alias("q")).join(vectors.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("v")), "tenant_id")
+    every = per_tenant.agg(F.sum(F.col("q") * F.col("v")).alias("pairs"))
+    met = ivf.pairs_met(ivf.probed(t["vector_query"], index, probes), index)
+    hit = exact.select("query_id", "chunk_id", F.col("distance").alias("exact")).join(found.select("query_id", "chunk_id", "distance"), ["query_id", "chunk_id"], "left")
+    counted = hit.agg(
+        F.count("*").alias("exact_hits"), F.count("distance").alias("found"), F.count(F.when(F.abs(F.col("distance") - F.col("exact")) > 1e-5, 1)).alias("wrong_distances")
+    )
+    # Three tables of one row each.
+    return counted.join(met, F.lit(True)).join(every, F.lit(True)).select(
+        "exact_hits", (F.col("found") >= 0.9 * F.col("exact_hits")).alias("recall_reached"), (F.col("pairs_met") < F.col("pairs")).alias("fewer_pairs"), "wrong_distances"
+    )
+
+
 _LISTS = {
     "by_length": """SELECT lang AS query_id, 'd' || doc_id AS chunk_id, source AS document_key, CAST(doc_id AS INT) AS ordinal,
                            CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM {documents} QUALIFY rank <= 50""",
