@@ -717,6 +717,16 @@ class Tables:
             return df
         return df.repartition(cores)
 
+    def stamp(self, name: str) -> str:
+        """Paths, sizes and times of the files of a base table."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        told = []
+        for file in sorted(self.spark.read.parquet(f"{self.directory}/{name}.parquet").inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            told.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+        return "\n".join(told)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{name: self[name] for name in inputs_of(text)})
 

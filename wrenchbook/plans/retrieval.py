@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchbook.functions.text import search_tokens
-from wrenchbook.operators import ivf, retrieve
+from wrenchbook.operators import ivf, postings, retrieve
 from wrenchbook.plans.bindings import Tables
 from wrenchbook.plans.knowledge import _CHUNKS, document_chunks
 from wrenchbook.plans.registry import query
@@ -62,6 +62,11 @@ def corpus(t: Tables) -> DataFrame:
     )
 
 
+def saved_index(t: Tables) -> postings.Postings:
+    """The keyword index of the chunks, written by the first search over these files and read by the others."""
+    return postings.saved_postings(corpus(t), t.stamp("documents"))
+
+
 @query(
     "search_tokens", "H1",
     r"""SELECT doc_id, term, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM {documents}) words
@@ -88,7 +93,7 @@ def bm25_postings(t: Tables) -> DataFrame:
 
 @query("bm25_search", "H3", "SELECT query_id, document_key, ordinal, chunk_id, score, CAST(rank AS INT) AS rank FROM {bm25}", _SEARCH)
 def bm25_search(t: Tables) -> DataFrame:
-    return retrieve.bm25_search(t["benchmark_query"], corpus(t)).select(
+    return postings.search(t["benchmark_query"], saved_index(t)).select(
         "query_id", "document_key", "ordinal", "chunk_id", "score", "rank"
     )
 
@@ -248,7 +253,7 @@ def hybrid_search(t: Tables) -> DataFrame:
 def cited_hits(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Keyword-only retrieval: fused hits with their texts, and the citations made from them."""
     chunks = corpus(t)
-    ranked = retrieve.bm25_search(t["benchmark_query"], chunks)
+    ranked = postings.search(t["benchmark_query"], saved_index(t))
     fused = retrieve.rrf(ranked, ranked.limit(0), k=retrieve.DEFAULT_HITS)
     hits = fused.join(chunks.select("chunk_id", "title", "section", "text"), "chunk_id")
     return hits, retrieve.citations(hits)
