@@ -10,12 +10,81 @@ interval of the busiest key fits one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenchbook.session import scratch_path
+
 SEGMENT = "_segment"
+#: Rows of a segment of equal size as a power of two, and segments of a node above them.
+SEGMENT_BITS, FAN = 12, 1024
+
+
+def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], bits: int = SEGMENT_BITS) -> DataFrame:
+    """``df`` with segment numbers that rise along ``order`` inside a key; a segment holds 2 ** ``bits`` rows at most.
+
+    The table is sorted by ranges, which cut a key wherever it is long, and written once with the
+    numbers, as another run of the sort may cut elsewhere. ``order`` must be unique within a key.
+    """
+    spark = df.sparkSession
+    ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = ordered.withColumn(SEGMENT, F.shiftright(F.monotonically_increasing_id(), bits))
+    path = scratch_path(spark, "segments")
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", bits: int = SEGMENT_BITS) -> DataFrame:
+    """Adds the place of each row in its key, from 1: places inside a segment, behind the rows of earlier segments.
+
+    A window sees the rows of one segment, or one row per segment of a node, or one row per node of a key.
+    """
+    cut = in_segments(df, keys, order, bits)
+    node = F.floor(F.col(SEGMENT) / FAN).alias("_node")
+    sizes = cut.groupBy(*keys, SEGMENT, node).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def before(rows: DataFrame, groups: list[str], by: str, amount: str, into: str) -> DataFrame:
+        earlier = Window.partitionBy(*groups).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(into, F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
+
+    nodes = before(sizes.groupBy(*keys, "_node").agg(F.sum("_rows").alias("_all")), list(keys), "_node", "_all", "_ahead")
+    segments = before(sizes, [*keys, "_node"], SEGMENT, "_rows", "_inside").join(nodes.select(*keys, "_node", "_ahead"), [*keys, "_node"])
+    local = F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(*order))
+    placed = cut.withColumn("_local", local).join(segments.select(*keys, SEGMENT, "_inside", "_ahead"), [*keys, SEGMENT])
+    return placed.select(*df.columns, (F.col("_local") + F.col("_inside") + F.col("_ahead")).alias(name))
+
+
+def scan_maps(
+    segments: DataFrame, keys: Sequence[str], start: DataFrame, identity: Column, compose: Callable[[Column, Column], Column], follow: Callable[[Column, Column], Column], fan: int = FAN
+) -> tuple[DataFrame, DataFrame]:
+    """Start state of every segment, and end state of every key, from the maps of the segments.
+
+    ``segments`` has the keys, a numbered segment and its ``effect``, a map from each start state to an end state.
+    ``start`` has the keys and ``state``, and ``compose`` and ``follow`` say how a map is put behind another one and where it
+    takes a state. Maps go up a tree: those of ``fan`` neighbours become one of their node, and the nodes of a key are
+    followed from its start; then each node follows its own segments. No list is longer than ``fan`` or the nodes of a key.
+    """
+    node = F.floor(F.col(SEGMENT) / fan).alias("_node")
+    chained = segments.groupBy(*keys, node).agg(F.array_sort(F.collect_list(F.struct(F.col(SEGMENT).alias("at"), "effect"))).alias("_chain"))
+    lifted = chained.withColumn("_effect", F.aggregate("_chain", identity, lambda all_, part: compose(all_, part["effect"])))
+    tops = lifted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_node").alias("at"), F.col("_effect").alias("effect")))).alias("_chain"))
+
+    def walked(rows: DataFrame) -> DataFrame:
+        kind = rows.schema["state"].dataType.simpleString()
+        begin = F.struct(F.col("state").alias("state"), F.array().cast(f"array<{kind}>").alias("starts"))
+        return rows.withColumn("_walk", F.aggregate(
+            "_chain", begin, lambda acc, part: F.struct(follow(part["effect"], acc["state"]).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+        ))
+
+    def starts(rows: DataFrame, name: str) -> DataFrame:
+        pairs = F.explode(F.arrays_zip(F.transform("_chain", lambda part: part["at"]).alias("at"), F.col("_walk.starts").alias("state"))).alias("_p")
+        return rows.select(*keys, pairs).select(*keys, F.col("_p.at").alias(name), F.col("_p.state").alias("state"))
+
+    top = walked(tops.join(start, list(keys)))
+    inner = walked(chained.join(starts(top, "_node"), [*keys, "_node"]))
+    return starts(inner, SEGMENT), top.select(*keys, F.col("_walk.state").alias("state"))
 
 
 def by_time(moment: str, grain: str = "day") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchbook import schemas
-from wrenchbook.functions.ordering import SEGMENT, by_time, with_next, with_previous
+from wrenchbook.functions.ordering import FAN, SEGMENT, SEGMENT_BITS, by_time, in_segments, scan_maps, with_next, with_previous
 from wrenchbook.functions.scalars import lookup
 from wrenchbook.functions.text import is_blank
 
@@ -55,7 +55,7 @@ def status_of(state: Column) -> Column:
 
 
 def replay(
-    events: DataFrame, grain: str = "day", initial: DataFrame | None = None
+    events: DataFrame, grain: str | None = None, initial: DataFrame | None = None, bits: int = SEGMENT_BITS, fan: int = FAN
 ) -> tuple[DataFrame, DataFrame]:
     """Folds the actions of each order in time order.
 
@@ -63,18 +63,18 @@ def replay(
     and the final state per order. An illegal action does not move the state.
 
     A fold is sequential, but a state machine with few states can be cut: each
-    (order, interval) is folded once from every possible state, the resulting
-    maps are chained per order, and each interval is then judged from its true
-    start. So no task holds more than one interval of one order. An order makes
-    few legal moves, so the list of moves that a fold keeps stays short.
+    segment of 2 ** ``bits`` events is folded once from every possible state, the resulting
+    maps are composed in a tree, and each segment is then judged from its true
+    start. So no task holds more than one segment of one order, however many events
+    a day has. An order makes few legal moves, so the list of moves that a fold keeps stays
+    short. With ``grain`` the segments are calendar intervals, and nothing is written.
 
     ``initial`` (tenant_id, work_order_id, status, accepted) gives other start
     states than a new order's.
     """
     keys = ["tenant_id", "work_order_id"]
-    coded = events.withColumn(SEGMENT, by_time("occurred_at", grain)).withColumn(
-        "_code", action_code(F.col("action"), F.col("reason"))
-    )
+    cut = in_segments(events, keys, ["occurred_at", "event_id"], bits) if grain is None else events.withColumn(SEGMENT, F.unix_seconds(by_time("occurred_at", grain).cast("timestamp")))
+    coded = cut.withColumn("_code", action_code(F.col("action"), F.col("reason")))
     item = F.struct("occurred_at", "event_id", "_code", "action", "reason")
     segments = coded.groupBy(*keys, SEGMENT).agg(F.array_sort(F.collect_list(item)).alias("_items"))
 
@@ -82,28 +82,21 @@ def replay(
     effect = F.aggregate(
         "_items", every_state, lambda ends, e: F.transform(ends, lambda s: next_state(s, e["_code"]))
     )
-    effects = segments.select(*keys, SEGMENT, effect.alias("_effect"))
-    chains = effects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(SEGMENT, "_effect"))).alias("_chain"))
+    effects = segments.select(*keys, SEGMENT, effect.alias("effect"))
+    orders = segments.select(*keys).distinct()
     if initial is None:
-        chains = chains.withColumn("_start", F.lit(0))
+        first = orders.withColumn("state", F.lit(0))
     else:
-        first = initial.select(*keys, state_code(F.col("status"), F.col("accepted")).alias("_start"))
-        chains = chains.join(first, keys, "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
-    walk = F.aggregate(
-        "_chain",
-        F.struct(F.col("_start").alias("state"), F.expr("CAST(array() AS array<int>)").alias("starts")),
-        lambda acc, part: F.struct(
-            F.element_at(part["_effect"], acc["state"] + 1).alias("state"),
-            F.concat(acc["starts"], F.array(acc["state"])).alias("starts"),
-        ),
-    )
-    walked = chains.withColumn("_walk", walk)
-    starts = walked.select(
-        *keys, F.posexplode("_chain").alias("_at", "_part"), F.col("_walk.starts").alias("_starts")
-    ).select(*keys, F.col(f"_part.{SEGMENT}").alias(SEGMENT), F.element_at("_starts", F.col("_at") + 1).alias("_start"))
-    finals = walked.select(*keys, status_of(F.col("_walk.state")).alias("status"))
-
-    # Positions and states of the moves inside the interval.
+        given = initial.select(*keys, state_code(F.col("status"), F.col("accepted")).alias("state"))
+        first = orders.join(given, keys, "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    starts, ends = scan_maps(
+        effects, keys, first, every_state, lambda all_, effect: F.transform(all_, lambda s: F.element_at(effect, s + 1)), lambda effect, s: F.element_at(effect, s + 1),
+        fan if grain is None else fan * 86_400,
+    )
+    starts = starts.withColumnRenamed("state", "_start")
+    finals = ends.select(*keys, status_of(F.col("state")).alias("status"))
+
+    # Positions and states of the moves inside the segment.
     moves = F.aggregate(
         "_items",
         F.struct(

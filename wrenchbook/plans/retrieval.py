@@ -160,7 +160,9 @@ def vector_ivf_recall(t: Tables) -> DataFrame:
         F.count("*").alias("exact_hits"), F.count("distance").alias("found"), F.count(F.when(F.abs(F.col("distance") - F.col("exact")) > 1e-5, 1)).alias("wrong_distances")
     )
     # Three tables of one row each.
-    return counted.join(met, F.lit(True)).join(every, F.lit(True)).select(
+    rows = counted.unionByName(met, allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
+    figures = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return figures.select(
         "exact_hits", (F.col("found") >= 0.9 * F.col("exact_hits")).alias("recall_reached"), (F.col("pairs_met") < F.col("pairs")).alias("fewer_pairs"), "wrong_distances"
     )
 
