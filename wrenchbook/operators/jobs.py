@@ -49,21 +49,21 @@ def _first_per_tenant(df: DataFrame, order: Sequence[str | Column], count: int,
     return df.withColumn("position", F.row_number().over(queue)).filter(F.col("position") <= count)
 
 
-def _due(as_of: str | datetime) -> Column:
+def due(as_of: str | datetime) -> Column:
     status = F.col("status")
     return (status == "PENDING") | ((status == "RETRY_WAIT") & (F.col("next_retry_at") <= moment(as_of)))
 
 
 def claimable(jobs: DataFrame, as_of: str | datetime, per_tenant: int = 20) -> DataFrame:
     """The next inspection jobs of each tenant, by priority, age and id."""
-    ready = jobs.filter(_due(as_of) & (F.col("retry_count") < F.col("max_retry_count")))
+    ready = jobs.filter(due(as_of) & (F.col("retry_count") < F.col("max_retry_count")))
     return _first_per_tenant(ready, ["priority", "created_at", "id"], per_tenant, 20)
 
 
 def claimable_embeddings(jobs: DataFrame, as_of: str | datetime, per_tenant: int = 100) -> DataFrame:
     """The next embedding jobs of each tenant, by due time, age and id."""
     order = [F.coalesce("next_retry_at", "created_at"), "created_at", "id"]
-    return _first_per_tenant(jobs.filter(_due(as_of)), order, per_tenant, 100)
+    return _first_per_tenant(jobs.filter(due(as_of)), order, per_tenant, 100)
 
 
 def claimable_events(outbox: DataFrame, as_of: str | datetime, per_tenant: int = 50) -> DataFrame:

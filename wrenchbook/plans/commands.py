@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchbook.operators import commands, events, jobs, scope
+from wrenchbook.operators import claims, commands, events, jobs, scope
 from wrenchbook.plans.bindings import AS_OF, EVENTS_AS_OF, Tables
 from wrenchbook.plans.registry import query
 
@@ -62,6 +62,57 @@ def claimable_events(t: Tables) -> DataFrame:
     return jobs.claimable_events(t["outbox"], AS_OF, 50).select("tenant_id", "event_id", "position")
 
 
+# Quotas by tenant: thousands for the first one, a few for the others, none for the last.
+_QUOTA = """
+SELECT 't0' AS tenant_id, 5000 AS quota UNION ALL SELECT 't1' AS tenant_id, 40 AS quota UNION ALL SELECT 't2' AS tenant_id, 7 AS quota UNION ALL SELECT 't3' AS tenant_id, 200 AS quota
+"""
+
+
+def _quota(t: Tables) -> DataFrame:
+    return t.sql(_QUOTA)
+
+
+@query(
+    "claimed_jobs", "J2",
+    """SELECT tenant_id, id, CASE WHEN claimed THEN 'RUNNING' ELSE status END AS status, CAST(retry_count + CASE WHEN claimed THEN 1 ELSE 0 END AS INT) AS retry_count,
+              CASE WHEN NOT claimed THEN next_retry_at END AS next_retry_at, CASE WHEN claimed THEN TIMESTAMP '1998-06-15 00:00:00' ELSE started_at END AS started_at, claimed, CASE WHEN claimed THEN place ELSE 0 END AS position
+       FROM (SELECT j.*, coalesce(ready AND place <= quota, false) AS claimed
+             FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ready ORDER BY priority, created_at, id) AS place
+                   FROM (SELECT *, coalesce(retry_count < max_retry_count AND (status = 'PENDING' OR (status = 'RETRY_WAIT' AND next_retry_at <= TIMESTAMP '1998-06-15 00:00:00')), false) AS ready
+                         FROM {quality_job}) r) j
+             LEFT JOIN {quota} q ON q.tenant_id = j.tenant_id) c""",
+    {"quota": _QUOTA},
+)
+def claimed_jobs(t: Tables) -> DataFrame:
+    after = claims.claim_jobs(t["quality_job"], AS_OF, _quota(t))
+    return after.select("tenant_id", "id", "status", "retry_count", "next_retry_at", "started_at", "claimed", F.coalesce("position", F.lit(0)).alias("position"))
+
+
+@query(
+    "claimed_embeddings", "J2 G4",
+    """SELECT tenant_id, id, CASE WHEN claimed THEN 'RUNNING' ELSE status END AS status, retry_count,
+              CASE WHEN NOT claimed THEN next_retry_at END AS next_retry_at, CASE WHEN claimed THEN TIMESTAMP '1998-06-15 00:00:00' ELSE started_at END AS started_at, claimed
+       FROM (SELECT *, ready AND place <= 300 AND row_number() OVER (PARTITION BY ready AND place <= 300 ORDER BY place, tenant_id) <= 1001 AS claimed
+             FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ready ORDER BY coalesce(next_retry_at, created_at), created_at, id) AS place
+                   FROM (SELECT *, coalesce(status = 'PENDING' OR (status = 'RETRY_WAIT' AND next_retry_at <= TIMESTAMP '1998-06-15 00:00:00'), false) AS ready FROM {quality_job}) r) j) c""",
+)
+def claimed_embeddings(t: Tables) -> DataFrame:
+    """Three hundred jobs of a tenant at most, and a thousand and one in all."""
+    after = claims.claim_embeddings(t["quality_job"], AS_OF, 300, capacity=1001)
+    return after.select("tenant_id", "id", "status", "retry_count", "next_retry_at", "started_at", "claimed")
+
+
+@query(
+    "claimed_events", "J2 A5",
+    """SELECT tenant_id, event_id, status, CAST(attempts + CASE WHEN claimed THEN 1 ELSE 0 END AS INT) AS attempts,
+              CASE WHEN claimed THEN TIMESTAMP '1998-06-15 00:05:00' ELSE available_at END AS available_at, claimed
+       FROM (SELECT *, ready AND row_number() OVER (PARTITION BY tenant_id, ready ORDER BY available_at, occurred_at, event_id) <= 50 AS claimed
+             FROM (SELECT *, coalesce(event_type = 'WORK_ORDER_COMPLETED' AND status = 'PENDING' AND available_at <= TIMESTAMP '1998-06-15 00:00:00', false) AS ready FROM {outbox}) r) c""",
+)
+def claimed_events(t: Tables) -> DataFrame:
+    return claims.claim_events(t["outbox"], AS_OF, 50).select("tenant_id", "event_id", "status", "attempts", "available_at", "claimed")
+
+
 @query(
     "recovered_leases", "J3",
     """SELECT tenant_id, id, CASE WHEN ended THEN CASE WHEN retry_count >= max_retry_count THEN 'FAILED' ELSE 'RETRY_WAIT' END ELSE status END AS status,
