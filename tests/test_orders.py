@@ -1,5 +1,6 @@
 """Seeded orders, scope, search, chains, routing, views, specs and screening on small fixtures."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -309,3 +310,35 @@ def test_legacy_rows_all_come_out(spark):
         "W-007": None, "W-001": None, "W-002": "NO_PROJECT", "W-999": "NO_RANGE", "W-": "BAD_NUMBER", "W-0051234567890123": "BAD_NUMBER",
     }
     assert got["W-007"].root_work_order_id == got["W-001"].id and got["W-001"].id.endswith("-000000000001")
+
+
+def test_values_meet_the_ranges_that_hold_them(spark):
+    """All pairs on random strings: empty and equal ends, turned ends, nulls, one frequent value, many ranges."""
+    rng = random.Random(7)
+
+    def word():
+        return "".join(rng.choice("ab1é-") for _ in range(rng.randrange(0, 6)))
+
+    values = [word() for _ in range(300)] + ["ab1"] * 200 + [None, ""]
+    ends = sorted({word() for _ in range(400)})
+    ranges = [(f"t{n}", ends[n], ends[n + 1]) for n in range(0, len(ends) - 1, 2)]
+    ranges += [("one", "b1b", "b1b"), ("turned", "b", "a"), ("null", None, "b"), ("wide", "", "b1")]
+    values_df = spark.createDataFrame(list(enumerate(values)), "n long, v string")
+    ranges_df = spark.createDataFrame(ranges, "tenant_id string, first_no string, last_no string")
+    found = loading.in_ranges(values_df, ranges_df, "v")
+    got = sorted((r.n, r.tenant_id or "") for r in found.collect())
+    expected = []
+    for n, v in enumerate(values):
+        hits = [t for t, first, last in ranges if v is not None and first is not None and first <= v <= last]
+        expected += [(n, t) for t in hits or [""]]
+    assert got == sorted(expected) and found.columns == ["v", "n", "tenant_id"]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    empty = loading.in_ranges(values_df, ranges_df.limit(0), "v")
+    assert empty.count() == len(values) and empty.where("tenant_id IS NOT NULL").count() == 0
+
+
+def test_values_meet_ten_thousand_ranges(spark):
+    ranges = spark.range(10_000).selectExpr("id AS tenant_id", "lpad(id * 10, 6, '0') AS first_no", "lpad(id * 10 + 9, 6, '0') AS last_no")
+    values = spark.range(100_000).selectExpr("id", "lpad(id, 6, '0') AS v")
+    got = loading.in_ranges(values, ranges, "v")
+    assert got.where("tenant_id = id DIV 10").count() == 100_000

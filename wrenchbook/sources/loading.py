@@ -13,6 +13,33 @@ ID_DIGITS = 12
 _ID_PREFIX = "00000000-0000-0000-0000-"
 
 
+def in_ranges(values: DataFrame, ranges: DataFrame, value: str, first: str = "first_no", last: str = "last_no") -> DataFrame:
+    """Every value with the columns of the ranges that hold it (``first <= value <= last`` as strings); values in none stay.
+
+    A range lies in the bin of the longest start that its two ends share, and
+    every string in between has that start too. So a value is looked up by
+    equality under its own starts, one for each length that some range has,
+    and compared with the ends only there. Ranges that do not overlap and share
+    a bin part at the next character, so a bin holds fewer of them than there
+    are characters. Distinct values are looked up, hence a frequent one costs no more than a
+    rare one until it is joined back, which adaptive execution can split.
+    A null bound makes no range, and a null value lies in none.
+    """
+    at = F.sequence(F.lit(0), F.least(F.length(first), F.length(last)))
+    shared = F.array_max(F.filter(at, lambda n: F.substring(F.col(first), F.lit(1), n) == F.substring(F.col(last), F.lit(1), n)))
+    bins = ranges.where(F.col(first) <= F.col(last)).withColumn("_length", shared).withColumn("_start", F.substring(F.col(first), F.lit(1), F.col("_length")))
+    lengths = bins.agg(F.collect_set("_length")).scalar()
+    starts = (
+        values.select(value).where(F.col(value).isNotNull()).distinct()
+        .withColumn("_lengths", lengths)
+        .select(value, F.explode("_lengths").alias("_length"))
+        .where(F.col("_length") <= F.length(value))
+        .withColumn("_start", F.substring(F.col(value), F.lit(1), F.col("_length")))
+    )
+    found = starts.join(bins, ["_length", "_start"]).where(F.col(value).between(F.col(first), F.col(last))).drop("_length", "_start", first, last)
+    return values.join(found, value, "left")
+
+
 def split_tenants(legacy: DataFrame, projects: DataFrame, ranges: DataFrame) -> DataFrame:
     """Re-key legacy rows, give each the tenant of its number range, and resolve root ids.
 
@@ -26,8 +53,7 @@ def split_tenants(legacy: DataFrame, projects: DataFrame, ranges: DataFrame) ->
     digits = F.regexp_extract("work_order_no", "[0-9]+$", 0)
     fits = F.length(digits).between(1, ID_DIGITS)
     rekeyed = (
-        legacy.join(ranges, F.col("work_order_no").between(F.col("first_no"), F.col("last_no")), "left")
-        .drop("first_no", "last_no")
+        in_ranges(legacy, ranges.select("tenant_id", "first_no", "last_no"), "work_order_no")
         .withColumn("id", F.when(fits, F.concat(F.lit(_ID_PREFIX), F.lpad(digits, ID_DIGITS, "0"))))
         .join(project, ["tenant_id", "project_name"], "left")
         .withColumn(
