@@ -186,3 +186,53 @@ def test_job_stream_does_not_depend_on_batches(spark, tmp_path, parts):
         expected.append((job, at, kind, changed, fold.status, fold.attempts))
     got = job_run(spark, rows, tmp_path, parts, delay="1 day")
     assert sorted(got) == sorted(expected)
+
+
+def state_rows(stream, spark):
+    """Rows of state after each micro-batch of a run."""
+    folder, rows = scratch_path(spark, "state"), []
+    query = (
+        stream.writeStream.foreachBatch(lambda df, batch: sinks.append_batch(df, f"{folder}/rows", batch))
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return rows, spark.read.parquet(f"{folder}/rows")
+
+
+def test_final_orders_leave_the_state(spark, tmp_path):
+    schema = "tenant_id string, work_order_id string, event_id long, action string, reason string, occurred_at timestamp_ntz"
+    rows = []
+    for part in range(4):
+        for n in range(20):
+            action, reason = ("ASSIGN", None) if n == 0 else ("CANCEL", "mistake")
+            rows.append(("t", f"o{part}-{n}", len(rows), action, reason, T0 + timedelta(minutes=len(rows))))
+    log = spark.createDataFrame(rows, schema)
+    counts, out = state_rows(state.replay_stream(in_files(spark, log, tmp_path, ["event_id"], 4), kept=timedelta(milliseconds=1)), spark)
+    assert out.count() == 80 and out.where("legal").count() == 80
+    # Of 80 orders four are open; at most those of the last batch are still waiting to be forgotten.
+    assert counts[-1] <= 4 + 19 and max(counts) <= 4 + 2 * 19
+    (tmp_path / "kept").mkdir()
+    counts, _ = state_rows(state.replay_stream(in_files(spark, log, tmp_path / "kept", ["event_id"], 4)), spark)
+    assert counts[-1] == 80
+
+
+def test_ended_jobs_leave_the_state(spark, tmp_path):
+    rows = []
+    for part in range(4):
+        for n in range(10):
+            at = T0 + timedelta(days=2 * part, minutes=n)
+            rows.append(("t", f"j{part}-{n}", len(rows), at, "CLAIM", None, None))
+            if n:
+                rows.append(("t", f"j{part}-{n}", len(rows), at + timedelta(minutes=1), "OK", 1, "PASS"))
+    stream = in_files(spark, spark.createDataFrame(rows, ATTEMPT), tmp_path, ["seq"], 4).withColumn("at", F.col("at").cast("timestamp"))
+    counts, out = state_rows(state.job_stream(stream.withWatermark("at", "0 seconds"), kept=timedelta(hours=1)), spark)
+    assert out.where("status = 'SUCCEEDED'").count() == 36
+    assert counts[-1] <= 4 + 9
+
+
+def test_a_job_that_was_forgotten_starts_anew(spark, tmp_path):
+    rows = [("a", 0, "CLAIM", None, None), ("a", 1, "OK", 1, "PASS"), ("a", 60, "CLAIM", None, None), ("a", 30 * 24 * 60 + 61, "CLAIM", None, None)]
+    assert [r[2:] for r in job_run(spark, rows, tmp_path)] == [
+        ("CLAIM", True, "RUNNING", 1), ("OK", True, "SUCCEEDED", 1), ("CLAIM", False, "SUCCEEDED", 1), ("CLAIM", True, "RUNNING", 1),
+    ]

@@ -34,6 +34,12 @@ def transition_table() -> list[int]:
     return table
 
 
+def final_states() -> frozenset[int]:
+    """States that no action leaves."""
+    table, width = transition_table(), len(ACTIONS) + 1
+    return frozenset(s for s in range(len(STATES)) if set(table[s * width : (s + 1) * width]) == {s})
+
+
 def next_state(state: Column, action: Column) -> Column:
     table = F.array(*[F.lit(x) for x in transition_table()])
     return F.element_at(table, state * (len(ACTIONS) + 1) + action + 1)

@@ -1,9 +1,11 @@
 """Stateful streams: order replay and job lifecycles.
 
-Each function takes a streaming DataFrame and keeps one small state row per key.
-The rows of a key arrive in chunks within a micro-batch; bound the micro-batch
-with the source's trigger options. Rows that are older than what the key has
-already seen cannot be folded any more and come out marked as late.
+Each function takes a streaming DataFrame and keeps one small state row per key
+that is still open. A key whose status is final is forgotten some time after
+its last row, so the state grows with the open orders and jobs, not with all
+that ever were. The rows of a key arrive in chunks within a micro-batch; bound
+the micro-batch with the source's trigger options. Rows that are older than what
+the key has already seen cannot be folded any more and come out marked as late.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wrenchbook import schemas
-from wrenchbook.operators.events import ACTIONS, NO_ACTION, STATES, transition_table
+from wrenchbook.operators.events import ACTIONS, NO_ACTION, STATES, final_states, transition_table
 
 _MICRO = timedelta(microseconds=1)
+#: How long a final key is remembered after its last row.
+KEPT = timedelta(days=30)
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -36,17 +41,26 @@ def _sorted(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return rows if len(rows) == 1 else rows.sort_values(order, kind="stable")
 
 
-def replay_stream(events: DataFrame) -> DataFrame:
+def replay_stream(events: DataFrame, kept: timedelta = KEPT) -> DataFrame:
     """Judges order events as they arrive; the same rules as the batch replay.
 
     Emits (tenant_id, work_order_id, event_id, occurred_at, action, legal,
-    late, status_before, status_after).
+    late, status_before, status_after). An order that no action can move any
+    more is forgotten when it got no event for ``kept``. The watermark follows
+    the arrival of micro-batches and not event time, so that no late event is
+    dropped and a replay of old logs judges as the batch does. What comes after
+    that is judged as a new order's.
     """
     table, codes = transition_table(), {name: at for at, name in enumerate(ACTIONS)}
+    final = final_states()
+    kept_ms = max(1, kept // timedelta(milliseconds=1))
     width, states, no_action = len(ACTIONS) + 1, STATES, NO_ACTION
     columns = ["tenant_id", "work_order_id", "event_id", "occurred_at", "action", "legal", "late", "status_before", "status_after"]
 
     def judge(key, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         current, last_time, last_id = state.get if state.exists else (0, -(2**62), -1)
         out = []
         for row in _sorted(chunks, ["occurred_at", "event_id"]).itertuples(index=False):
@@ -60,15 +74,18 @@ def replay_stream(events: DataFrame) -> DataFrame:
             if not late:
                 current, (last_time, last_id) = after, at
         state.update((current, last_time, last_id))
+        if current in final:
+            state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs()) + kept_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return events.groupBy("tenant_id", "work_order_id").applyInPandasWithState(
+    arriving = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+    return arriving.groupBy("tenant_id", "work_order_id").applyInPandasWithState(
         judge,
         "tenant_id string, work_order_id string, event_id bigint, occurred_at timestamp_ntz, action string, "
         "legal boolean, late boolean, status_before string, status_after string",
         "state int, last_time bigint, last_id bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -83,6 +100,10 @@ class JobFold:
             return None
         return self.started + timedelta(minutes=schemas.LEASE_MINUTES) // _MICRO
 
+    def forgotten_at(self, kept: int) -> int | None:
+        """When a job that ended need not be remembered any more."""
+        return self.seen + kept if self.status in ("SUCCEEDED", "SKIPPED", "FAILED") else None
+
     def expire(self, now: int) -> bool:
         """Recovers a lease that ended by ``now``."""
         end = self.lease_end()
@@ -115,15 +136,18 @@ class JobFold:
         return True
 
 
-def job_stream(attempts: DataFrame) -> DataFrame:
+def job_stream(attempts: DataFrame, kept: timedelta = KEPT) -> DataFrame:
     """Lifecycle of inspection jobs from claims and outcomes, with lease timers.
 
     Input: (tenant_id, job_id, seq, at, kind, attempt, verdict) with kind CLAIM or an
     outcome; set the watermark on ``at`` before the call. Every change of a job
     comes out with its cause; refused claims and stale or late reports come out
     with ``changed`` false. A lease that ends without a report is recovered by
-    a timer once the watermark passes its end.
+    a timer once the watermark passes its end. A job that ended is forgotten
+    ``kept`` after the last row that it got; a row that comes later than that
+    meets a new job, however the rows were cut into micro-batches.
     """
+    kept_micros = kept // _MICRO
     columns = ["tenant_id", "job_id", "seq", "at", "cause", "changed", "status", "attempts", "next_retry_at"]
     fold = JobFold
 
@@ -135,9 +159,13 @@ def job_stream(attempts: DataFrame) -> DataFrame:
             out.append((*key, seq, _moment(at), cause, changed, job.status, job.attempts, _moment(job.retry_at)))
 
         def recover(now: int) -> None:
+            nonlocal job
             end = job.lease_end()
             if job.expire(now):
                 emit(None, end, "LEASE_END", True)
+            forgotten = job.forgotten_at(kept_micros)
+            if forgotten is not None and forgotten < now:
+                job = fold()
 
         if state.hasTimedOut:
             recover(state.getCurrentWatermarkMs() * 1000)
@@ -147,17 +175,22 @@ def job_stream(attempts: DataFrame) -> DataFrame:
                 if now < job.seen:
                     emit(row.seq, now, f"LATE_{row.kind}", False)
                     continue
-                job.seen = now
                 recover(now)
+                job.seen = now
                 if row.kind == "CLAIM":
                     changed = job.claim(now)
                 else:
                     changed = job.report(now, int(row.attempt), row.kind, row.verdict)
                 emit(row.seq, now, row.kind, changed)
-        state.update((job.status, job.attempts, job.started, job.retry_at, job.seen))
-        end = job.lease_end()
-        if end is not None:
-            state.setTimeoutTimestamp(max(-(-end // 1000), state.getCurrentWatermarkMs() + 1))
+        if state.hasTimedOut and job.seen == fold().seen:
+            state.remove()
+        else:
+            state.update((job.status, job.attempts, job.started, job.retry_at, job.seen))
+            due = job.lease_end()
+            if due is None:
+                due = job.forgotten_at(kept_micros)
+            if due is not None:
+                state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=columns)
         frame["seq"] = frame["seq"].astype("Int64")
         yield frame
