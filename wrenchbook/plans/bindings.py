@@ -553,6 +553,34 @@ SELECT 'c' || l.doc_id AS id, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'hard
 FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id
 """
 
+# Sets of cases with every kind of fault: blank and repeated fields, unknown kinds and documents, expectations that do not fit.
+BINDINGS["answer_set"] = """
+SELECT CASE WHEN n % 50 = 1 THEN 'twice' ELSE id END AS id,
+       CASE WHEN n % 10 = 0 THEN ' ' WHEN n % 3 = 0 THEN 'knowledge' WHEN n % 3 = 1 THEN 'work_order' ELSE 'combined' END AS category,
+       CASE WHEN n % 9 = 0 THEN '' ELSE 'Question ' || id END AS message
+FROM (SELECT id, CAST(substring(id, 2) AS BIGINT) AS n FROM {eval_case}) numbered
+"""
+
+BINDINGS["retrieval_set"] = """
+SELECT CASE WHEN n % 60 = 2 THEN 'twice' ELSE id END AS id, 'Question ' || id AS query, CASE WHEN n % 40 = 3 THEN 'other' ELSE kind END AS kind,
+       CASE WHEN n % 30 = 4 THEN 'typo' WHEN n % 25 = 5 THEN 'synonym' WHEN kind = 'hard_negative' THEN 'hard_negative'
+            WHEN n % 2 = 0 THEN 'synonym' ELSE 'conversational' END AS challenge,
+       CASE WHEN n % 35 = 6 THEN '' ELSE expected_document_ids END AS expected_document_ids
+FROM (SELECT id, kind, expected_document_ids, CAST(substring(id, 2) AS BIGINT) AS n FROM {eval_case}) numbered
+"""
+
+BINDINGS["known_document"] = """
+SELECT DISTINCT source AS document_key FROM {documents} WHERE lang = 'de'
+"""
+
+# Benchmark items as policy files, some without an id, some without a title.
+BINDINGS["policy_text"] = """
+SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE '<!-- document_id: item-' || item_id || ' -->' || chr(10) END
+                || CASE WHEN item_id % 7 = 0 THEN '' ELSE '# First' || chr(10) || '#  Item ' || item_id || ' ' || chr(10) END
+                || coalesce(text, '') AS markdown
+FROM {benchmark}
+"""
+
 BINDINGS["eval_citation"] = """
 SELECT 'c' || doc_id AS case_id, source AS document_id FROM {documents} WHERE lang <> 'de'
 UNION ALL

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wrenchbook.operators import evaluate, scan
 from wrenchbook.plans.bindings import Tables
 from wrenchbook.plans.registry import query
+from wrenchbook.session import scratch_path
+from wrenchbook.sources import cases
 
 
 def _cases(t: Tables) -> DataFrame:
@@ -200,3 +202,39 @@ def text_scan(t: Tables) -> DataFrame:
 def text_scan_summary(t: Tables) -> DataFrame:
     hits = scan.scan(t["scan_text"], PATTERNS, ("origin", "doc_id"))
     return scan.scan_summary(t["scan_text"], hits, ("origin", "doc_id"))
+
+
+@query(
+    "answer_set_checks", "A2",
+    """SELECT 'blank_field' AS reason, id AS detail FROM {answer_set} WHERE category = ' ' OR message = ''
+       UNION ALL SELECT 'repeated_id' AS reason, id AS detail FROM {answer_set} GROUP BY id HAVING count(*) > 1
+       UNION ALL SELECT 'category_count' AS reason, coalesce(c.category, x.category) AS detail
+       FROM (SELECT category, count(*) AS n FROM {answer_set} GROUP BY category) c
+       FULL JOIN (SELECT unnest(['knowledge', 'work_order', 'combined']) AS category) x ON x.category = c.category
+       WHERE x.category IS NULL OR coalesce(c.n, 0) <> 10""",
+)
+def answer_set_checks(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "answer-cases")
+    t["answer_set"].write.json(path)
+    return cases.check_answer_cases(cases.read_cases(t.spark, path, "answer", lines=True))
+
+
+@query(
+    "retrieval_set_checks", "A2",
+    """SELECT 'kind' AS reason, id AS detail FROM {retrieval_set} WHERE kind = 'other'
+       UNION ALL SELECT 'challenge' AS reason, id AS detail FROM {retrieval_set} WHERE challenge = 'typo'
+       UNION ALL SELECT 'kind_and_challenge' AS reason, id AS detail FROM {retrieval_set} WHERE (kind = 'positive') <> (challenge <> 'hard_negative')
+       UNION ALL SELECT 'expectation' AS reason, id AS detail FROM {retrieval_set} WHERE (kind = 'positive') <> (expected_document_ids <> '')
+       UNION ALL SELECT 'unknown_document' AS reason, id AS detail FROM {retrieval_set}
+       WHERE expected_document_ids <> '' AND expected_document_ids NOT IN (SELECT document_key FROM {known_document})
+       UNION ALL SELECT 'uncovered_challenge' AS reason, x.challenge AS detail
+       FROM (SELECT unnest(['synonym', 'conversational', 'keyword_absent', 'hard_negative']) AS challenge) x
+       WHERE x.challenge NOT IN (SELECT challenge FROM {retrieval_set})
+       UNION ALL SELECT 'too_few_cases' AS reason, CAST(count(*) AS VARCHAR) AS detail FROM {retrieval_set} HAVING count(*) < 30
+       UNION ALL SELECT 'repeated_id' AS reason, id AS detail FROM {retrieval_set} GROUP BY id HAVING count(*) > 1""",
+)
+def retrieval_set_checks(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "retrieval-cases")
+    written = t["retrieval_set"].withColumn("expected_document_ids", F.filter(F.split("expected_document_ids", r"\|"), lambda x: x != ""))
+    written.write.json(path)
+    return cases.check_retrieval_cases(cases.read_cases(t.spark, path, "retrieval", lines=True), t["known_document"])

@@ -10,6 +10,9 @@ from wrenchbook.functions.text import content_hash
 from wrenchbook.operators import embed, ingest
 from wrenchbook.plans.bindings import Tables
 from wrenchbook.plans.registry import query
+from wrenchbook.session import scratch_path
+from wrenchbook.sources import policies
+from wrenchbook.streaming import runs
 
 _CHUNKS = r"""
 SELECT tenant_id, document_key, title, section, CAST(i AS INT) AS chunk_index,
@@ -305,3 +308,39 @@ def embedding_backlog(t: Tables) -> DataFrame:
     jobs = chunk_rows.select("tenant_id", F.col("chunk_id").alias("job_id"), "chunk_id", F.lit("model-a").alias("model_key"))
     done = embed.embed_backlog(jobs, chunk_rows, _flaky, 512)
     return done.select("chunk_id", "outcome", "error_code", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dimensions"))
+
+
+def _policy_folder(t: Tables) -> str:
+    """One file per benchmark item below the shared folder."""
+    folder = scratch_path(t.spark, "policies")
+    t["policy_text"].write.partitionBy("item_id").text(folder)
+    return folder
+
+
+_POLICY_FILES = """
+SELECT CASE WHEN item_id % 5 > 0 AND item_id % 7 > 0 THEN 'item-' || item_id END AS document_key,
+       CASE WHEN item_id % 5 > 0 AND item_id % 7 > 0 THEN 'Item ' || item_id END AS title,
+       CASE WHEN item_id % 5 > 0 AND item_id % 7 > 0 THEN sha256(markdown || chr(10)) END AS content_hash,
+       CASE WHEN item_id % 5 = 0 THEN 'document_id' WHEN item_id % 7 = 0 THEN 'title' END AS reason
+FROM {policy_text}
+"""
+
+
+def _told(read: policies.PolicyFiles) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    found = read.documents.select("document_key", "title", content_hash(F.col("markdown")).alias("content_hash"), nothing.alias("reason"))
+    return found.unionByName(
+        read.rejects.select(nothing.alias("document_key"), nothing.alias("title"), nothing.alias("content_hash"), "reason")
+    )
+
+
+@query("policy_files", "A1", _POLICY_FILES)
+def policy_files(t: Tables) -> DataFrame:
+    return _told(policies.read_policies(t.spark, _policy_folder(t), "*.txt"))
+
+
+@query("policy_file_stream", "A1", _POLICY_FILES)
+def policy_file_stream(t: Tables) -> DataFrame:
+    rows = _told(policies.stream_policies(t.spark, _policy_folder(t), "*.txt"))
+    folder = scratch_path(t.spark, "policy-stream")
+    return runs.run_to_table(rows, f"{folder}/rows", f"{folder}/checkpoint")
