@@ -74,3 +74,11 @@ def test_no_pairwise_joins(spark, data_dir, name):
     text = plan(all_queries()[name].run(spark, data_dir))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_searches_take_one_pass_over_the_orders(tables):
+    text = plan(orders.answer_requests(tables["message"], tables["numbered_order"], tables["numbered_scope"]))
+    # The newest of a cell and the pages of the filters, each cut before its shuffle.
+    assert text.count("WindowGroupLimit") >= 4
+    # Slots come out of a generator, so that no pattern is repeated in a condition.
+    assert not any("RLIKE" in line for line in text.splitlines() if line.lstrip(" :+-*()0123456789").startswith("Filter"))

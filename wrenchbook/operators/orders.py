@@ -165,10 +165,14 @@ def _optional(extracted: Column) -> Column:
 
 
 def extract_filters(messages: DataFrame) -> DataFrame:
-    """Adds route, order number, status, priority, project and assignee slots."""
+    """Adds route, order number, status, priority, project and assignee slots.
+
+    The slots come out of a generator of one row. A filter on a slot would be
+    pushed below a plain projection, with the patterns of all slots behind it
+    written out again in every condition, until the code is too long to compile.
+    """
     text = F.col("message")
-    return messages.select(
-        "*",
+    slots = F.struct(
         route(text).alias("route"),
         F.upper(_optional(F.regexp_extract(text, ORDER_NUMBER, 0))).alias("work_order_no"),
         _first_word(text, STATUS_WORDS).alias("status_filter"),
@@ -176,6 +180,7 @@ def extract_filters(messages: DataFrame) -> DataFrame:
         _first_word(text, {name: name for name in PROJECT_NAMES}).alias("project_filter"),
         _optional(F.regexp_extract(text, ASSIGNEE_OF, 1)).alias("assignee_filter"),
     )
+    return messages.select("*", F.inline(F.array(slots)))
 
 
 def select_tool(messages: DataFrame) -> DataFrame:
@@ -197,7 +202,11 @@ def answer_requests(messages: DataFrame, orders: DataFrame, scope: DataFrame, pa
 
     Searches return the newest ``page_size`` orders of the message's tenant, as
     the first page of the search does. Messages share few distinct filters, so
-    a page is computed once per distinct filter and joined back.
+    a page is computed once per distinct filter and joined back. Each order is
+    of one cell (status, priority, project, assignee), and one that is on the page
+    of any filter is among the newest ``page_size`` of its cell: one pass over the
+    orders keeps those, with a limit per task before the shuffle, and the pages of all
+    filters are put together from the cells.
     """
     chosen = select_tool(messages)
     visible = scope_projects(orders, scope)
@@ -225,10 +234,17 @@ def answer_requests(messages: DataFrame, orders: DataFrame, scope: DataFrame, pa
     }
     used = sum((F.when(F.col(slot).isNotNull(), 1 << at).otherwise(0) for at, slot in enumerate(slots)), F.lit(0))
     filters = searches.select("tenant_id", *slots).distinct().withColumn("_used", used)
-    # Which slots are filled together: at most sixteen combinations per tenant. An order meets the filters
-    # of each combination by equality of the filled slots, so it never meets a filter that it does not match.
+    # Which slots are filled together: at most sixteen combinations per tenant. The newest of a cell meet the filters
+    # of each combination by equality of the filled slots, so they never meet a filter that they do not match.
     combinations = filters.select("tenant_id", "_used").distinct()
-    keyed = visible.join(combinations, "tenant_id").select(
+    in_cell = Window.partitionBy("tenant_id", *slots.values()).orderBy(F.col("created_at").desc(), F.col("id"))
+    cells = (
+        visible.join(searches.select("tenant_id").distinct(), "tenant_id", "left_semi")
+        .select("tenant_id", *slots.values(), "created_at", "id")
+        .withColumn("_position", F.row_number().over(in_cell))
+        .filter(F.col("_position") <= page_size)
+    )
+    keyed = cells.join(combinations, "tenant_id").select(
         "tenant_id", "_used", "status", "priority", "project_name", "assignee_name", "created_at", F.col("id").alias("work_order_id")
     ).select(
         "tenant_id", "_used", "work_order_id", "status", "created_at",
