@@ -429,3 +429,23 @@ def test_retrieval_case_contracts(spark, tmp_path):
     assert reasons([{**good[0], "expected_document_ids": []}, *good[1:]]) == {"expectation"}
     assert reasons([{**good[0], "challenge": "hard_negative"}, *good[1:]]) == {"kind_and_challenge"}
     assert "uncovered_challenge" in reasons([{**g, "challenge": "synonym"} if g["kind"] == "positive" else g for g in good])
+
+
+def test_hybrid_search_keeps_tenants_with_one_query_id_apart(spark):
+    chunks = spark.createDataFrame(
+        [(t, f"{t}-c{n}", f"{t}-d", n, t, "s", text) for t in ("a", "b") for n, text in enumerate(["pump seal leaks", "roof tile broken"])],
+        "tenant_id string, chunk_id string, document_key string, ordinal int, title string, section string, text string",
+    ).withColumn("chunk_index", F.col("ordinal")).withColumn("chunk_key", F.col("chunk_id"))
+    vectors = spark.createDataFrame(
+        [(t, f"{t}-c{n}", f"{t}-d", n, v) for t in ("a", "b") for n, v in enumerate([[1.0, 0.0], [0.0, 1.0]])],
+        "tenant_id string, chunk_id string, document_key string, ordinal int, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [("a", "q", "pump", [1.0, 0.0], False, True), ("b", "q", "roof", None, False, True), ("b", "v", "pump", [0.0, 1.0], False, False)],
+        "tenant_id string, query_id string, query string, embedding array<float>, vector_disabled boolean, bm25_ok boolean",
+    )
+    rows = retrieve.hybrid_search(asked, chunks, vectors).collect()
+    first = {(r.tenant_id, r.query_id): (r["mode"], r.chunk_id) for r in rows if r["rank"] == 1}
+    assert first == {("a", "q"): ("hybrid", "a-c0"), ("b", "q"): ("bm25", "b-c1"), ("b", "v"): ("vector", "b-c1")}
+    assert all(r.chunk_id.startswith(r.tenant_id) for r in rows)
+    assert [r["bm25_rank"] for r in rows if r.query_id == "v"] == [None] * sum(r.query_id == "v" for r in rows)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchbook.functions.text import content_hash, is_blank, search_tokens, strip
+from wrenchbook.functions.text import content_hash, is_blank, nul_joined, search_tokens, strip
 
 # BM25+ constants (Lv and Zhai 2011), candidate counts, distance and fusion constant.
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -328,20 +328,24 @@ def hybrid_search(
     """Keyword and vector search over the same chunks, fused by rank.
 
     ``queries`` has query_id, tenant_id, query, embedding and vector_disabled;
-    a null embedding is one that could not be made. ``vectors`` are those of
+    a null embedding is one that could not be made; a column ``bm25_ok``, if there
+    is one, is false where the keyword route failed. ``vectors`` are those of
     :func:`searchable_vectors`. A blank query searches nothing, and without a
     vector the keyword hits stand alone. Every query comes out with its mode and
     warning, once per hit, or once with a null rank if it has none.
     """
-    asked = queries.withColumn("query", strip(F.col("query"))).filter(~is_blank(F.col("query")))
-    by_words = bm25_search(asked, chunks, tokenize=tokenize)
+    by_words_ok = F.col("bm25_ok") if "bm25_ok" in queries.columns else F.lit(True)
+    # Two tenants may use one id.
+    key = nul_joined(F.col("tenant_id"), F.col("query_id"))
+    asked = queries.withColumn("query_id", key).withColumn("query", strip(F.col("query"))).filter(~is_blank(F.col("query")))
+    by_words = bm25_search(asked.filter(by_words_ok).select("query_id", "tenant_id", "query"), chunks, tokenize=tokenize)
     with_vector = asked.filter(~F.col("vector_disabled") & F.col("embedding").isNotNull())
     by_vector = vector_topk(with_vector.select("query_id", "tenant_id", "embedding"), vectors, max_distance=max_distance)
     outcomes = queries.select(
-        "query_id", "tenant_id", "query", "vector_disabled", F.lit(True).alias("bm25_ok"), F.col("embedding").isNotNull().alias("vector_ok")
+        key.alias("_key"), "query_id", "tenant_id", "query", "vector_disabled", by_words_ok.alias("bm25_ok"), F.col("embedding").isNotNull().alias("vector_ok")
     )
-    modes = with_mode(outcomes).select("query_id", "tenant_id", "mode", "warning")
-    return modes.join(rrf(by_words, by_vector, k), "query_id", "left")
+    modes = with_mode(outcomes).select("_key", "query_id", "tenant_id", "mode", "warning")
+    return modes.join(rrf(by_words, by_vector, k).withColumnRenamed("query_id", "_key"), "_key", "left").drop("_key")
 
 
 def citations(hits: DataFrame, count: int = CITATIONS) -> DataFrame:
