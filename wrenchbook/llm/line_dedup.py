@@ -1,10 +1,13 @@
 """Line dedup: passages that an earlier document has, and repeated content-defined chunks of lines.
 
-A passage of ``LEAST_LINES`` lines or more that stands in an earlier document, in the order of ``doc_id``
-(null last, then place), goes from its first to its last line, whatever stands around it: each run of
-``LEAST_LINES`` neighbouring lines is looked up by itself. Inside one document whole chunks go that stand
-in an earlier place of it: a rolling hash over the last ``ROLLED`` line hashes ends a chunk wherever it is
-divisible by ``MODULUS``, so an inserted line moves the borders near it and no others.
+Lines with a letter, a digit or a character beyond ASCII have content; others (empty ones, brackets, rules)
+are separators and never make a passage. A passage of ``LEAST_LINES`` lines with content or more that stands
+in an earlier document, in the order of ``doc_id`` (null last, then place), goes from its first to its last
+line, whatever stands around it and whichever separators stand in it: each run of ``LEAST_LINES`` neighbouring
+lines with content is looked up by itself. Inside one document whole chunks go that stand in an earlier place
+of it: a rolling hash over the last ``ROLLED`` line hashes ends a chunk wherever it is divisible by ``MODULUS``,
+so an inserted line moves the borders near it and no others. A separator goes where the lines with content on
+both sides of it go; the ends of a text count as gone.
 
 Equal fingerprints only nominate; the bytes of a run are compared with those of the first run of its
 fingerprint before it is removed. Fingerprints are counted without the texts. The texts of documents that
@@ -12,13 +15,15 @@ have a nominated run are read once more. Of runs that overlap only as many are c
 lines, and each meets the first one in a join that adaptive execution can split, so a passage in a third
 of all rows is no single task.
 
-Defined results: null text is one empty line and stays null; an empty line is a line; the line end behind
-a removed line goes with it; a text that loses all lines is empty; repeated rows are documents of their
-own; other columns are carried along. A removed chunk is one of which no line is left.
+Defined results: null text is one separator and stays null; a text without content stays as it is; the line
+end behind a removed line goes with it; a text that loses all lines is empty; repeated rows are documents of
+their own; other columns are carried along. Chunks are those of the lines with content; a removed one is one
+of which no line is left.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +38,27 @@ from wrenchbook.llm.shared import mixed, slices, stored, utf8, windows_hash, wit
 #: Lines of the rolling hash, and the inverse share of lines that end a chunk.
 ROLLED = 2
 MODULUS = 4
-#: Passages and chunks of fewer lines are never removed.
+#: Passages and chunks of fewer lines with content are never removed.
 LEAST_LINES = 2
 
+_CONTENT = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+
 _PIECES = "row_key long, at int, high long, low long, is_first boolean, piece binary"
 
 
+def with_content(lines: list[bytes]) -> list[int]:
+    """The places of the lines that have content."""
+    return [at for at, line in enumerate(lines) if _CONTENT.search(line)]
+
+
+def content_lines(text: bytes) -> list[bytes]:
+    return [line for line in text.split(b"\n") if _CONTENT.search(line)]
+
+
 def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
-    """First line and end of every chunk of a text."""
+    """First line and end of every chunk of a sequence of lines."""
+    if not lines:
+        return []
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(line) for line in lines), np.uint64, len(lines))
     rolled = windows_hash(hashes, ROLLED)
     ends = np.flatnonzero(mixed(rolled) % np.uint64(MODULUS) == 0) + ROLLED
@@ -66,7 +84,7 @@ def covering(at: np.ndarray) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fingerprints of every row, each once."""
     for batch in slices(batches):
-        halves = [run_prints(text.split(b"\n")) for text in utf8(batch.column("text"))]
+        halves = [run_prints(content_lines(text)) for text in utf8(batch.column("text"))]
         which = np.repeat(np.arange(len(batch)), [len(high) for high, _ in halves])
         high, low = (np.concatenate([h[k] for h in halves] or [np.empty(0, np.int64)]) for k in (0, 1))
         order = np.lexsort((low, high, which))
@@ -95,7 +113,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = []
         for row, text, asked in zip(batch.column("row_key").to_pylist(), utf8(batch.column("text")), batch.column("prints").to_pylist()):
-            lines = text.split(b"\n")
+            lines = content_lines(text)
             own = list(zip(*(half.tolist() for half in run_prints(lines))))
             others = {(p["high"], p["low"]) for p in asked if not p["is_first"]}
             firsts = {(p["high"], p["low"]) for p in asked if p["is_first"]}
@@ -110,20 +128,31 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(text: bytes | None, places: list[int] | None) -> tuple[bytes | None, int, int, int, int]:
-    """The text without its repeated lines, and its lines, chunks, removed lines and removed chunks."""
+    """The text without its repeated lines, and its lines, chunks, removed lines and removed chunks.
+
+    ``places`` count lines with content, like the chunks.
+    """
     lines = (text or b"").split(b"\n")
-    gone = np.zeros(len(lines), bool)
-    for at in places or ():
-        gone[at : at + LEAST_LINES] = True
-    bounds, seen = chunk_bounds(lines), set()
+    at = with_content(lines)
+    gone = np.zeros(len(at), bool)
+    for place in places or ():
+        gone[place : place + LEAST_LINES] = True
+    bounds, seen = chunk_bounds([lines[i] for i in at]), set()
     for first, end in bounds:
         if end - first >= LEAST_LINES:
-            chunk = b"\n".join(lines[first:end])
+            chunk = b"\n".join(lines[i] for i in at[first:end])
             gone[first:end] |= chunk in seen
             seen.add(chunk)
-    n_gone = int(gone.sum())
-    kept = b"\n".join(line for line, g in zip(lines, gone) if not g) if n_gone else text
-    return kept, len(lines), len(bounds), n_gone, sum(bool(gone[a:b].all()) for a, b in bounds) if n_gone else 0
+    if not gone.any():
+        return text, len(lines), len(bounds), 0, 0
+    # Each line lies behind as many lines with content as this counts; a separator needs both neighbours gone.
+    behind = np.searchsorted(at, np.arange(len(lines)))
+    is_content = np.zeros(len(lines), bool)
+    is_content[at] = True
+    edged = np.concatenate([[True], gone, [True]])
+    drop = edged[behind + 1] & (is_content | edged[behind])
+    kept = b"\n".join(line for line, g in zip(lines, drop) if not g)
+    return kept, len(lines), len(bounds), int(drop.sum()), sum(bool(gone[a:b].all()) for a, b in bounds)
 
 
 #: Columns behind those of the documents; they take the place of columns with their names.
