@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchbook.functions.scalars import ratio
-from wrenchbook.functions.text import is_blank, strip
-from wrenchbook.operators.retrieve import DEGRADED
+from wrenchbook.functions.text import content_hash, is_blank, strip
+from wrenchbook.operators.retrieve import CITATIONS, DEGRADED
 from wrenchbook.sources.policies import TITLE
 
 # Acceptance gates as (metric, smallest value).
@@ -138,6 +138,42 @@ def answer_report(per_case: DataFrame) -> DataFrame:
     )
 
 
+def published_citations(cited: DataFrame, published: DataFrame) -> DataFrame:
+    """Adds ``valid``: a published chunk has the citation's document, title and section, and its text is the quote.
+
+    ``cited`` is made by :func:`retrieve.citations`; a citation of a chunk that was withdrawn since is not valid.
+    """
+    place = ["document_id", "title", "section", "_hash"]
+    known = published.select(F.col("document_key").alias("document_id"), "title", "section", content_hash(F.col("text")).alias("_hash")).distinct()
+    judged = cited.withColumn("_hash", content_hash(F.col("quote"))).join(known.withColumn("_known", F.lit(True)), place, "left")
+    return judged.withColumn("valid", F.coalesce("_known", F.lit(False))).select(*cited.columns, "valid")
+
+
+def search_cases(cases: DataFrame, keyword: DataFrame, searched: DataFrame, cited: DataFrame, k: int = CITATIONS) -> DataFrame:
+    """What the two routes of a search found per case, as :func:`retrieval_report` wants it.
+
+    ``cases`` has (id, kind, expected_document_ids array), and a query's id is that of its case. ``keyword`` holds the hits of
+    keyword search alone, ``searched`` the rows of hybrid search, ``cited`` its citations with ``valid``. A case without a mode
+    of its own failed; what it expects stays expected.
+    """
+    expected = cases.select(F.col("id").alias("case_id"), F.explode(F.array_distinct("expected_document_ids")).alias("document_id"))
+
+    def met(found: DataFrame, name: str) -> DataFrame:
+        return _counts(expected.join(found, ["case_id", "document_id"], "left_semi"), name)
+
+    by_words = keyword.where(F.col("rank") <= k).select(F.col("query_id").alias("case_id"), F.col("document_key").alias("document_id"))
+    quoted = cited.withColumnRenamed("query_id", "case_id")
+    told = quoted.groupBy("case_id").agg(F.count("*").alias("citations"), F.count_if("valid").alias("valid_citations"))
+    modes = searched.groupBy(F.col("query_id").alias("case_id")).agg(F.max(F.col("mode") != "none").alias("request_successful"), F.max("warning").alias("warning"))
+    size = F.size(F.array_distinct("expected_document_ids")).cast("long").alias("expected")
+    joined = cases.select(F.col("id").alias("case_id"), "kind", size)
+    for found in (met(by_words, "bm25_hits"), met(quoted.select("case_id", "document_id"), "hybrid_hits"), told, modes):
+        joined = joined.join(found, "case_id", "left")
+    zero = F.lit(0).cast("long")
+    counts = {name: F.coalesce(name, zero) for name in ("bm25_hits", "hybrid_hits", "citations", "valid_citations")}
+    return joined.withColumns({**counts, "request_successful": F.coalesce("request_successful", F.lit(False))})
+
+
 def retrieval_report(per_case: DataFrame) -> DataFrame:
     """Summary of a retrieval run.
 

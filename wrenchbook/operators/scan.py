@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that must not occur in published texts. Names of one's
@@ -43,25 +44,71 @@ PERSONAL_PATTERNS = (
 )
 
 
+#: Escapes that stand for a class or a place; others with a letter or digit are not read.
+_CLASS_ESCAPES = "dDsSwWbBAzZGhHvVRtnrfae"
+
+
+def required_text(pattern: str) -> str | None:
+    """The longest text that every match of ``pattern`` contains, in lower case, or None if none is plain to see.
+
+    Groups, classes and optional characters are left out; a choice at the top level and patterns with flags have no such text.
+    """
+    if re.search(r"\(\?[a-zA-Z]|\\Q", pattern):
+        return None
+    runs, run, at, depth = [], "", 0, 0
+    while at < len(pattern):
+        char, step, literal = pattern[at], 1, ""
+        if char == "\\":
+            step, escaped = 2, pattern[at + 1 : at + 2]
+            if escaped.isalnum() and escaped not in _CLASS_ESCAPES:
+                return None
+            literal = "" if escaped.isalnum() else escaped
+        elif char == "[":
+            end = at + 2 if pattern[at + 1 : at + 2] != "^" else at + 3
+            while end < len(pattern) and pattern[end] != "]":
+                if pattern[end] in "[&":
+                    return None
+                end += 2 if pattern[end] == "\\" else 1
+            step = end + 1 - at
+        elif char == "|" and not depth:
+            return None
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "{":
+            step = pattern.index("}", at) + 1 - at
+        elif char not in "^$.*+?|":
+            literal = char
+        at += step
+        if literal and not depth:
+            if pattern[at : at + 1] in ("?", "*", "{"):
+                literal = ""
+            else:
+                run += literal
+        if not literal or depth or pattern[at : at + 1] == "+":
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len).lower() or None
+
+
 def scan(docs: DataFrame, patterns: Sequence[tuple[str, str]] = DEFAULT_PATTERNS, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per line and pattern that matches, ignoring case.
 
-    The patterns are part of the projection, so the texts are read once and
-    nothing is shuffled.
+    The texts are read once and nothing is shuffled. A pattern is tried only on
+    lines that contain the text which it requires. The generator is an outer one,
+    since Spark repeats what goes into an inner one in a filter before it.
     """
-    lines = docs.select(*key, F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("_at", "line"))
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col("line").rlike(f"(?i){pattern}"), F.struct(F.lit(category).alias("category"), F.lit(pattern).alias("pattern")))
-                for category, pattern in patterns
-            ]
-        )
-    )
+    lines = docs.select(*key, F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("_at", "line")).withColumn("_low", F.lower("line"))
+
+    def hit(category: str, pattern: str) -> Column:
+        matches, needed = F.col("line").rlike(f"(?i){pattern}"), required_text(pattern)
+        if needed is not None:
+            matches = F.contains(F.col("_low"), F.lit(needed)) & matches
+        return F.when(matches, F.struct(F.lit(category).alias("category"), F.lit(pattern).alias("pattern")))
+
+    found = F.array_compact(F.array(*[hit(category, pattern) for category, pattern in patterns]))
     return (
-        lines.withColumn("_found", found)
-        .filter(F.size("_found") > 0)
-        .select(*key, (F.col("_at") + 1).alias("line_no"), F.explode("_found").alias("_hit"))
+        lines.select(*key, (F.col("_at") + 1).alias("line_no"), F.explode_outer(found).alias("_hit"))
+        .where("_hit IS NOT NULL")
         .select(*key, "line_no", "_hit.category", "_hit.pattern")
     )
 

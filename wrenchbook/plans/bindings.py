@@ -545,6 +545,18 @@ SELECT 'q' || b.item_id AS query_id, 'g' || (e.label % 3) AS tenant_id, CASE WHE
 FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id
 """
 
+# What the hybrid queries should find: one or two documents of their tenant, or nothing.
+BINDINGS["hybrid_case"] = """
+SELECT 'q' || b.item_id AS id, CASE WHEN b.item_id % 4 = 0 THEN 'hard_negative' ELSE 'positive' END AS kind,
+       CASE WHEN b.item_id % 4 = 0 THEN '' WHEN b.item_id % 3 = 0 THEN 'k' || e.label || '|k' || ((e.label + 3) % 9) ELSE 'k' || e.label END AS expected_document_ids
+FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id
+"""
+
+# Chunks that are still published after the search.
+BINDINGS["published_chunk"] = """
+SELECT document_key, title, section, text FROM {hybrid_chunk} WHERE ordinal % 13 <> 5
+"""
+
 BINDINGS["eval_case"] = """
 SELECT 'c' || l.doc_id AS id, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'hard_negative' END AS kind,
        CASE WHEN l.quality = 1 THEN d.source ELSE '' END AS expected_document_ids,
