@@ -317,6 +317,42 @@ def test_decontamination_of_copies_and_edits_together(spark):
     assert sorted(doc for doc, (items, _) in got.items() if items) == [0, 1, 2, 3]
 
 
+def edits_of(words, rate, kind, fresh):
+    out = []
+    for at, word in enumerate(words):
+        new = f"new{next(fresh)}"
+        hit = at % rate == rate - 1
+        out += {"change": [new if hit else word], "leave out": [] if hit else [word], "put in": [word, new] if hit else [word]}[kind]
+    return out
+
+
+def test_decontamination_of_dense_edits(spark):
+    # Every third to sixth word changed, left out or followed by another one, beside copies that make all pairs common.
+    fresh, rng = iter(range(10**6)), np.random.default_rng(8)
+    items = {n: list(rng.choice(WORDS, length)) for n, length in enumerate((12, 15, 30, 30, 56, 5, 4, 3, 2))}
+    items[20] = ["the"] * 3 + items[3][:20] + ["the"] * 4
+    texts = [" ".join(words) for words in items.values()] * 2
+    for words in items.values():
+        for rate in (3, 4, 6):
+            for kind in ("change", "leave out", "put in"):
+                texts.append(f"{sentence(len(texts), 30)} {' '.join(edits_of(words, rate, kind, fresh))} {sentence(len(texts) + 1, 30)}")
+    texts += [sentence(900 + n, 300) for n in range(40)] + [" ".join(f"clean{next(fresh)}" for _ in range(50)), "the " * 100]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    # One id may have two texts, and items without an id match nothing.
+    bench = [(n, " ".join(words)) for n, words in items.items()] + [(2, " ".join(f"second{n}" for n in range(40))), (None, texts[-2])]
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.contamination(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    number = {}
+
+    def coded(words):
+        return np.array([number.setdefault(word, len(number)) for word in words])
+
+    for doc, text in enumerate(texts):
+        scores = {n: decontaminate.align(coded(words), coded(text.split())) for n, words in items.items()}
+        assert got[doc] == {n for n, score in scores.items() if score >= max(len(items[n]), 6)}
+    start = 2 * len(items)
+    assert all(n in got[start + 9 * k + i] for k, n in enumerate(items) if len(items[n]) >= 12 for i in range(9))
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(30):

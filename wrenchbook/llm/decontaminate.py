@@ -1,17 +1,23 @@
-"""Benchmark decontamination with seeds and Smith-Waterman alignment.
+"""Benchmark decontamination with rare seeds and Smith-Waterman alignment.
 
-Word n-grams of the test items are looked up in all documents. Each one that a document shares with an
-item is a seed, however common it is: what other documents have says nothing about this one. The passages
-around the seeds are aligned with the whole item, word by word. A document is contaminated when an
-alignment reaches ``SHARE`` of the score of the item with itself. Passages that have too few of the item's
-words for that, in any order, are not aligned.
+Neighbouring pairs of words of the test items are counted in all documents, and the rarest pairs of an item
+are its seeds. The passages around the places where a document has a seed are aligned with the whole item, word
+by word. A document is contaminated when an alignment reaches ``SHARE`` of the score of the item with itself,
+and that of ``LEAST_WORDS`` equal words. Passages that have too few of the item's words for that, in any
+order, are not aligned.
 
-Items are not broadcast: tasks get a bitmap of fixed size that tells which n-grams may matter, and
-exact joins follow. Every document and every word is looked at.
+How many pairs are seeds follows from the pigeonhole principle: an alignment that reaches ``SHARE`` by changed
+and left out words keeps at least n (4 SHARE - 1) / 3 - 1 neighbouring pairs of an item of n words, so one of them
+is among all but that many less one, whichever pairs these are. Copies that make pairs common therefore
+hide no edited copy. Words that are put in break pairs without a price of their own: a passage is found for certain
+while that many pairs stay together.
+
+Items are not broadcast: tasks get bitmaps of fixed size that tell which pairs may matter, and
+exact joins follow. Every document and every word is looked at, once for the counts and once for the seeds.
 
 Words are lower-cased and end at white space and punctuation. Defined results: null and empty texts and items
-of fewer than ``GRAM`` words match nothing; repeated items count by their ``item_id``, repeated rows are
-rows of their own; extra columns are ignored or carried along by ``keep_clean``.
+of fewer than ``LEAST_WORDS`` words match nothing, nor do items without an ``item_id``; repeated items count by
+their ``item_id``, repeated rows are rows of their own; extra columns are ignored or carried along by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -21,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchbook.llm.shared import slices, stored, utf8, with_row_key
 from wrenchbook.llm.wordhash import WordHasher, runs
 
-#: Words of a seed.
-GRAM = 3
+#: Words of a seed, and equal words that an alignment has at least.
+GRAM = 2
+LEAST_WORDS = 3
 #: Size of the bitmaps that tasks get, as a power of two.
 BITS = 24
 #: Score of an equal word, of a different one, and of a gap; least share of an item's own score.
@@ -82,7 +89,8 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(separators=PUNCTUATION)
     for batch in slices(batches):
         grams, which, at = _grams(hasher, batch.column("text"))
-        yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id").to_numpy()[which], "gram": grams.view(np.int64), "item_at": at.astype(np.int32)})
+        given = {name: batch.column(name).to_numpy()[which] for name in ("item_id", "variant")}
+        yield pa.RecordBatch.from_pydict({**given, "gram": grams.view(np.int64), "item_at": at.astype(np.int32)})
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> int:
@@ -113,6 +121,31 @@ def _hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.select("row_key", "text").mapInArrow(run, "row_key long, gram long, at int")
 
 
+def _times(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """``gram``, ``times``: how often n-grams that may matter stand in all documents, added up in each batch first."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(separators=PUNCTUATION)
+        for batch in slices(batches):
+            grams = _grams(hasher, batch.column("text"))[0]
+            own, times = np.unique(grams[_may_matter(shared.value, grams)], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"gram": own.view(np.int64), "times": times})
+
+    return docs.select("text").mapInArrow(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+
+
+def _seeds(grams: DataFrame, times: DataFrame) -> DataFrame:
+    """``item_id``, ``gram``, ``item_at``: the rarest n-grams of every item, as many as one of them must be in a match."""
+    of_item = Window.partitionBy("item_id", "variant")
+    n = F.count(F.lit(1)).over(of_item)
+    # An item has one word more than pairs.
+    kept = F.greatest(F.lit(1), F.ceil((n + 1) * (4 * SHARE - 1) / 3) - 1)
+    rank = F.row_number().over(of_item.orderBy(F.coalesce("times", F.lit(0)), "gram", "item_at"))
+    counted = grams.join(times, "gram", "left").withColumn("rank", rank).withColumn("last", n - kept + 1)
+    return counted.where("rank <= last AND times IS NOT NULL").select("item_id", "gram", "item_at")
+
+
 def _passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The words of the asked windows: texts meet their windows on the row, and only the passages go on."""
     asked = windows.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "low", "high")).alias("windows"))
@@ -136,8 +169,9 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, passage in zip(utf8(batch.column("item")), utf8(batch.column("passage"))):
             a, b = _hashed(words_of(item), known), _hashed(passage.split(), known)
             # No alignment scores more than its equal words do.
-            bound = MATCH * int(np.isin(a, b).sum())
-            shares.append(align(a, b) / (MATCH * len(a)) if bound and bound >= SHARE * MATCH * len(a) else 0.0)
+            least = MATCH * max(SHARE * len(a), LEAST_WORDS)
+            score = align(a, b) if MATCH * int(np.isin(a, b).sum()) >= least else 0
+            shares.append(score / (MATCH * len(a)) if score >= least else 0.0)
         yield pa.RecordBatch.from_pydict({"row_key": batch.column("row_key"), "item_id": batch.column("item_id"), "share": pa.array(shares, pa.float64())})
 
 
@@ -149,11 +183,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _matches(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``row_key``, ``item_id``, ``share``: the best alignment of every row with every item that reaches ``SHARE``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
-    grams = stored(items.mapInArrow(_item_grams, "item_id long, gram long, item_at int"), "benchmark-grams")
-    hits = stored(_hits(keyed, _bitmap(grams)), "benchmark-hits")
+    # Two texts may have one item_id.
+    texts = items.withColumn("variant", F.xxhash64("text"))
+    grams = stored(texts.mapInArrow(_item_grams, "item_id long, variant long, gram long, item_at int"), "benchmark-grams")
+    seeds = stored(_seeds(grams, _times(keyed, _bitmap(grams))), "benchmark-seeds")
+    hits = _hits(keyed, _bitmap(seeds))
     size = items.groupBy("item_id").agg(F.max(F.length("text")).alias("letters"))
     # Seeds on one band of diagonals ask for one passage; the item has at most half as many words as letters.
-    asked = hits.join(grams, "gram").withColumn("band", F.floor((F.col("at") - F.col("item_at")) / BAND)).select("row_key", "item_id", "band").distinct()
+    asked = hits.join(seeds, "gram").withColumn("band", F.floor((F.col("at") - F.col("item_at")) / BAND)).select("row_key", "item_id", "band").distinct()
     wide = asked.join(size, "item_id").select(
         "row_key", "item_id", (F.col("band") * BAND - SLACK).cast("int").alias("low"), ((F.col("band") + 1) * BAND + SLACK + F.col("letters") / 2 + 1).cast("int").alias("high")
     )
