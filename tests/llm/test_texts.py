@@ -425,3 +425,24 @@ def test_probabilities(docs, nothing, vocabulary):
     for word in ("▁the", "▁hello", "▁aab"):
         assert scorer.marginal([word], len(word))[0] == pytest.approx(math.log(every(word)))
     assert np.exp(weights).sum() == pytest.approx(0.9)
+
+
+def test_probabilities_of_unseen_rows_are_learned(spark, vocabulary):
+    told = ["the quiet river kept its stones and the mill turned", "a mill by the river turned the stones", "quiet stones kept the river and its mill"]
+    rows = spark.createDataFrame([(i, told[i % 3] if i % 7 else f"{told[i % 3]} zorvexil{i}q") for i in range(400)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lattice_score.score(rows).collect()}
+    out = [r for r in found.values() if r["held_out"]]
+    assert out and all(math.isfinite(r["score"]) for r in found.values())
+    assert all(r["score"] > r["base_score"] - 0.1 * r["n_tokens"] for r in out if r["n_known"] == r["n_tokens"])
+    # A word without count costs more than the pseudo-count of the base, but no multiple of all.
+    assert any(r["n_known"] < r["n_tokens"] for r in out)
+    assert sum(r["score"] for r in out) > 1.5 * sum(r["base_score"] for r in out)
+    # A pass of learning makes the words that it learned on likelier.
+    words = [(f"▁zorvexil{i}q") for i in range(10)]
+    scorer = lattice_score.Scorer(vocabulary, 0.0)
+    uses = scorer.uses(words, len(words[0]))
+    after = lattice_score.Scorer(vocabulary, 0.0, weights=lattice_score.learned_weights(vocabulary, uses))
+    assert (after.marginal(words, len(words[0])) > scorer.marginal(words, len(words[0]))).all()
+    # Every code point of a word is in one of its pieces.
+    sizes = np.array([len(p) for p in vocabulary.pieces])
+    assert (uses * sizes).sum() == pytest.approx(sum(len(w) for w in words))
