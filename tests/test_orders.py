@@ -342,3 +342,18 @@ def test_values_meet_ten_thousand_ranges(spark):
     values = spark.range(100_000).selectExpr("id", "lpad(id, 6, '0') AS v")
     got = loading.in_ranges(values, ranges, "v")
     assert got.where("tenant_id = id DIV 10").count() == 100_000
+
+
+def test_audit_medians_are_exact(spark):
+    # More different durations than an approximate percentile tells apart.
+    rows = spark.range(200_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('t', id % 3) END AS tenant_id", "'EXECUTED' AS validation_stage", "true AS executed", "id % 5 = 0 AS truncated",
+        "CAST(1 AS INT) AS row_count", "CAST(CASE WHEN id % 7 = 0 THEN NULL ELSE (id * 7919) % 400009 - 1000 END AS INT) AS execution_ms",
+    )
+    untimed = spark.sql("SELECT 't9' AS tenant_id, 'POLICY' AS validation_stage, false AS executed, false AS truncated, CAST(NULL AS INT) AS row_count, CAST(NULL AS INT) AS execution_ms")
+    got = {r["tenant_id"]: r for r in audit.audit_summary(rows.union(untimed)).collect()}
+    for tenant in (None, "t1", "t2"):
+        own = [r["execution_ms"] for r in rows.where(F.col("tenant_id").eqNullSafe(F.lit(tenant))).collect()]
+        timed = sorted(ms for ms in own if ms is not None)
+        assert (got[tenant]["questions"], got[tenant]["max_ms"], got[tenant]["median_ms"]) == (len(own), timed[-1], timed[(len(timed) + 1) // 2 - 1])
+    assert len(got) == 4 and got["t9"]["questions"] == 1 and got["t9"]["median_ms"] is None
