@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wrenchbook.operators import ivf, retrieve
+from wrenchbook.operators import ivf, nearest, retrieve
 from wrenchbook.session import scratch_path
 
 
@@ -55,3 +55,27 @@ def test_empty_tables(rows):
     assert ivf.pairs_met(ivf.probed(queries.limit(0), index, 1), index).first()["pairs_met"] == 0
     one = ivf.vector_index(corpus.where("chunk_id = 'alone'"), cells=4)
     assert len(one.centroids) == 1
+
+
+def test_a_search_hands_on_its_hits_alone(spark):
+    rng = np.random.default_rng(5)
+    points = np.round(rng.normal(size=(3000, 4)), 1) + 0.05
+    points[1000:2000] = points[:1000]  # copies, so that ties are cut
+    vectors = spark.createDataFrame([("t", f"k{i % 7}", i % 11, f"c{i:05d}", points[i].tolist()) for i in range(3000)], "tenant_id string, document_key string, ordinal int, chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", "t", points[i * 7].tolist()) for i in range(40)], "query_id string, tenant_id string, embedding array<double>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    expected = {}
+    for i in range(40):
+        far = np.round(1 - unit[i * 7] @ unit.T, 6)
+        expected[f"q{i}"] = [f"c{c:05d}" for *_, c in sorted((far[c], f"k{c % 7}", c % 11, c) for c in range(3000) if far[c] <= 0.45)[:5]]
+    for parts, shares in ((4, 1), (1, 3)):
+        told = nearest.nearest(queries, vectors, 5, 0.45, parts, shares, 64)
+        # Before, each block handed on that many.
+        assert told.count() <= 40 * 5 * shares
+    for options in ({"broadcast_bytes": 0, "salts": 3}, {}):
+        got = retrieve.vector_topk(queries, vectors, k=5, block_rows=64, **options).orderBy("query_id", "rank").collect()
+        assert {q: [r["chunk_id"] for r in got if r["query_id"] == q] for q in expected} == expected
+    wide = retrieve.vector_topk_lsh(queries, vectors, k=5, bucket_length=100.0).orderBy("query_id", "rank").collect()
+    # Projections of unit vectors fall into two such buckets, and eight tables leave no near pair apart but by chance.
+    found = [(r["query_id"], r["chunk_id"]) for r in wide]
+    assert len(found) == len(set(found)) and len(set(found) & {(q, c) for q, own in expected.items() for c in own}) >= 190

@@ -18,7 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchbook.operators.retrieve import CANDIDATES, MAX_DISTANCE, nearest_in_blocks, pack, vector_topk
+from wrenchbook.operators.nearest import nearest
+from wrenchbook.operators.retrieve import CANDIDATES, MAX_DISTANCE, dealt, vector_topk
 
 #: Vectors that centroids are learned on, and queries that the number of probes is calibrated on.
 LEARNED, CALIBRATED = 65_536, 256
@@ -66,8 +67,8 @@ def _learned(vectors: DataFrame, cells: int, sample: int, seed: int) -> np.ndarr
     return centers / np.linalg.norm(centers, axis=1, keepdims=True)
 
 
-def _with_cells(rows: DataFrame, centroids: np.ndarray, count: int, ids: Sequence[str]) -> DataFrame:
-    """Every row once for each of its ``count`` nearest cells, with ``cell`` and its ``place`` among them."""
+def _with_cells(rows: DataFrame, centroids: np.ndarray, count: int, ids: Sequence[str], listed: bool = False) -> DataFrame:
+    """Every row once for each of its ``count`` nearest cells, with ``cell`` and its ``place`` among them; ``listed``: once, with all as ``cells``."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +77,19 @@ def _with_cells(rows: DataFrame, centroids: np.ndarray, count: int, ids: Sequenc
                 continue
             vectors = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
             near = np.argsort(-(vectors @ sent.value.T), axis=1, kind="stable")[:, :count]
+            if listed:
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * near.shape[1]
+                yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel(), pa.int64())))
+                continue
             again = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
             columns = {name: batch.column(name).take(again) for name in batch.schema.names}
             yield pa.RecordBatch.from_pydict({**columns, "cell": near.ravel().astype(np.int32), "place": np.tile(np.arange(near.shape[1], dtype=np.int32), len(batch))})
 
     chosen = rows.select(*ids, "embedding")
     if not centroids.size:
-        return chosen.limit(0).withColumns({"cell": F.lit(0), "place": F.lit(0)})
-    return chosen.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema), "cell int", "place int"]))
+        return chosen.limit(0).withColumns({"cells": F.array().cast("array<long>")} if listed else {"cell": F.lit(0), "place": F.lit(0)})
+    more = ["cells array<bigint>"] if listed else ["cell int", "place int"]
+    return chosen.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema), *more]))
 
 
 _IDS = ("tenant_id", "document_key", "ordinal", "chunk_id")
@@ -136,12 +142,13 @@ def vector_topk_ivf(
 ) -> DataFrame:
     """Best ``k`` vectors per query among the probed cells, with exact distances; ties as in ``vector_topk``.
 
-    Queries and vectors of a tenant and cell travel as matrix blocks. A crowded cell has many blocks, which adaptive execution splits.
+    Queries keep the list of their cells, so a vector passes them once and meets those that probe its cell.
     """
     probes = probes or probes_for(queries, index, k, max_distance)
-    keys = ("tenant_id", "cell")
-    asked = pack(probed(queries, index, probes), ["query_id"], block_rows, keys).select(*keys, F.col("matrix").alias("q"), F.col("ids").alias("q_ids"))
-    corpus = pack(index.vectors, ["document_key", "ordinal", "chunk_id"], block_rows, keys)
-    near = nearest_in_blocks(corpus.join(asked, list(keys)), k, max_distance)
+    usable = _unit(queries)
+    parts, shares = dealt(usable, 1 << 20)
+    asked = _with_cells(usable, index.centroids, probes, ("query_id", "tenant_id"), listed=True)
+    corpus = index.vectors.withColumn("cells", F.array(F.col("cell").cast("long")))
+    near = nearest(asked, corpus, k, max_distance, parts, shares, block_rows, in_cells=True)
     order = Window.partitionBy("query_id").orderBy("distance", "document_key", "ordinal", "chunk_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
