@@ -446,3 +446,13 @@ def test_probabilities_of_unseen_rows_are_learned(spark, vocabulary):
     # Every code point of a word is in one of its pieces.
     sizes = np.array([len(p) for p in vocabulary.pieces])
     assert (uses * sizes).sum() == pytest.approx(sum(len(w) for w in words))
+
+
+def test_all_trusted_rows_count(spark):
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "CASE WHEN id % 60 = 0 THEN 1 ELSE 0 END AS toxic")
+    assert quality_ratio.trusted_ids(labels).count() == 59_000
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=20_011), np.repeat(rng.normal(size=9), 300), np.array([0.25]), np.array([2.0, 1.0])):
+        scores = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(5)
+        assert quality_ratio._loss_threshold(scores, 0.01) == pytest.approx(float(np.quantile(values, 0.01)), abs=1e-12)
+    assert quality_ratio._loss_threshold(spark.createDataFrame([], "score double"), 0.01) is None

@@ -23,15 +23,16 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenchbook.llm.shared import slices, utf8, with_text
+from wrenchbook.functions.ordering import with_running_sum
+from wrenchbook.llm.shared import slices, stored, utf8, with_text
 from wrenchbook.llm.wordhash import SPACES, WordHasher, Words, per_text, runs
 
 #: Count buckets of each order as a power of two: the size bound of the model that is broadcast.
 BUCKET_BITS = 20
 #: The n-grams that are counted, each order in buckets of its own: length, pseudo-count of a bucket, weight.
 ORDERS = ((1, 5.0, 1.0), (2, 20.0, 0.5))
-#: At most so many labelled documents make up the trusted target.
-TRUSTED_LIMIT = 50_000
+#: So many trusted ids are sent to all tasks; more of them meet the documents in a shuffled join.
+TRUSTED_SENT = 2_000_000
 #: Share of trusted documents below the threshold.
 TRUSTED_LOSS = 0.01
 
@@ -54,10 +55,10 @@ class Model:
     trusted: DataFrame
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """Ids of documents labelled good and never toxic, a fixed sample of at most ``limit``."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents that are labelled good and never toxic."""
     per_id = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return per_id.where("q = 1 AND t = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select(F.col("doc_id").alias("trusted_id"))
+    return per_id.where("q = 1 AND t = 0").select(F.col("doc_id").alias("trusted_id"))
 
 
 def _buckets(words: Words, hashes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
@@ -144,15 +145,38 @@ def _judge(batch: pa.RecordBatch, hasher: WordHasher, model: tuple, threshold: f
     }
 
 
+def _sent(trusted: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(trusted) if n <= TRUSTED_SENT else trusted.hint("merge")
+
+
 def _with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
+    return docs.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id")
+
+
+def _loss_threshold(scores: DataFrame, loss: float) -> float | None:
+    """The exact ``loss`` quantile of column ``score``, between its two nearest rows as ``percentile`` does.
+
+    Bounds of an approximate quantile leave few scores, of which those of the wanted places are taken; no task sees all.
+    """
+    n = scores.count()
+    if not n:
+        return None
+    place = (n - 1) * loss
+    below, error = int(place), 1e-3
+    low, high = scores.approxQuantile("score", [max(below / n - 4 * error, 0.0), min((below + 2) / n + 4 * error, 1.0)], error)
+    before = scores.where(F.col("score") < low).count()
+    near = scores.where((F.col("score") >= low) & (F.col("score") <= high)).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    # Few hundredths of the scores, summed up by ranges of their order.
+    placed = with_running_sum(near.withColumn("one", F.lit(1)), ["one"], ["score"], F.col("n"), "upto", F.floor(F.col("score") * 4096))
+    first, second = (placed.where(F.col("upto") + before > at).agg(F.min("score")).first()[0] for at in (below, min(below + 1, n - 1)))
+    return first + (place - below) * (second - first)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts over all documents and the threshold that the trusted ones set."""
     spark = docs.sparkSession
-    ids = [row[0] for row in trusted_ids(labels).collect()]
-    trusted = spark.createDataFrame([(i,) for i in ids], f"trusted_id {labels.schema['doc_id'].dataType.simpleString()}")
+    ids = stored(trusted_ids(labels), "trusted-ids")
+    trusted = _sent(ids, ids.count())
     texts = _with_trust(docs.select("doc_id", "text"), trusted)
     sums = texts.select("text", "trusted").mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # At most one row per bucket comes back, whatever the size of the corpus.
@@ -163,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     totals = [tuple(float(c.sum(dtype=np.int64)) for c in own) for own in zip(np.split(raw, len(ORDERS)), np.split(target, len(ORDERS)))]
     counts = spark.sparkContext.broadcast((raw, target, totals))
     open_model = Model(counts, float("-inf"), trusted)
-    good = judge(docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left_semi"), open_model)
-    least = good.where("NOT base_failed").agg(F.percentile("score", F.lit(TRUSTED_LOSS))).first()[0] if ids else None
+    good = judge(docs.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi"), open_model)
+    least = _loss_threshold(stored(good.where("NOT base_failed").select("score"), "trusted-scores"), TRUSTED_LOSS)
     return Model(counts, float("-inf") if least is None else least, trusted)
 
 
