@@ -448,6 +448,28 @@ def test_probabilities_of_unseen_rows_are_learned(spark, vocabulary):
     assert (uses * sizes).sum() == pytest.approx(sum(len(w) for w in words))
 
 
+def test_every_word_is_spelled_once(spark, vocabulary, monkeypatch):
+    rows = [(i, f"the mill zorvexil{i % 50}q turned é日 {'x' * (i % 4 * 30)}") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None)], "doc_id long, text string").repartition(3).cache()
+    spelled, calls = lattice_score._spelled, []
+    monkeypatch.setattr(lattice_score, "_spelled", lambda *args: calls.append((args[0], args[2], spelled(*args))) or calls[-1][2])
+    whole = {r["doc_id"]: r for r in lattice_score.score(docs).collect()}
+    [(words, weights, table)] = calls
+    train = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.lower().encode().split())
+    every = {w for _, t in rows for w in t.lower().encode().split()}
+    found = [(bytes(r["word"]), r["n"], r["log_spelled"]) for r in table.collect()]
+    # One row per different word, those of held-out documents alone too, however many documents and tasks have it.
+    assert sorted((w, n) for w, n, _ in found) == sorted((w, train[w]) for w in every) and min(n for _, n, _ in found) >= 0
+    scorer = lattice_score.Scorer(vocabulary, 0.0, weights=weights)
+    for word, _, value in found:
+        text = "▁" + word.decode()
+        assert value == pytest.approx(scorer.marginal([text], len(text))[0] / math.log(10))
+    # Words that are sent and words that meet their row in a join score alike.
+    monkeypatch.setattr(lattice_score, "COMMON", 2)
+    for r in lattice_score.score(docs).collect():
+        assert r["score"] == pytest.approx(whole[r["doc_id"]]["score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"]
+
+
 def test_all_trusted_rows_count(spark):
     labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "CASE WHEN id % 60 = 0 THEN 1 ELSE 0 END AS toxic")
     assert quality_ratio.trusted_ids(labels).count() == 59_000

@@ -11,8 +11,9 @@ without a piece are spelled in bytes, of equal weight. The probability of the en
 discount are learned from the training documents, and so is the base model. As weights of pieces add
 up to one, and a piece with the mark begins a word, those of all words do not exceed one.
 
-The base model counts the words of all training documents. The commonest ones, ``COMMON`` at most,
-are broadcast with their counts; all others meet their counts in a join, so no word is hot there.
+The base model counts the words of all training documents. Every different word of the table is spelled
+once, in a table of words with their counts. The commonest ones, ``COMMON`` at most,
+are broadcast from it; all others meet their row in a join, so no word is hot there.
 
 Defined results: null and empty text have one token, the end; a null ``doc_id`` counts as the empty
 text for the split; repeated rows are scored row by row; an empty training part has N = V = 0 and
@@ -38,7 +39,7 @@ from wrenchbook.llm.shared import slices, stored, utf8, with_row_key
 COMMON = 100_000
 #: Added to the rank of a piece, whose weight is then inverse.
 RANK_SHIFT = 2.7
-#: Different words that a task counts, or knows the probability of, before it starts anew.
+#: Different words that a task counts before it starts anew.
 WORDS_HELD = 300_000
 #: Passes over the training words that learn the weights of pieces, and pseudo-count of a piece.
 PASSES, PIECE_PSEUDO = 2, 0.1
@@ -55,7 +56,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their number; a null word counts the documents."""
+    """All words with their number in training documents, which may be 0; a null word counts these documents."""
     counts: Counter = Counter()
     documents = 0
 
@@ -63,13 +64,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"word": pa.array([*counts, None], pa.binary()), "n": pa.array([*counts.values(), documents], pa.int64())})
 
     for batch in slices(batches):
-        for text in utf8(batch.column("text")):
-            counts.update(text.lower().split())
-            documents += 1
+        for text, out in zip(utf8(batch.column("text")), batch.column("held_out").to_pylist()):
+            words = text.lower().split()
+            counts.update(dict.fromkeys(words, 0) if out else words)
+            documents += not out
         if len(counts) > WORDS_HELD:
             yield told()
             counts, documents = Counter(), 0
-    if documents:
+    if documents or counts:
         yield told()
 
 
@@ -100,16 +102,14 @@ def discounted(words: int, different: int, once: int, twice: int) -> tuple[float
 
 
 class Scorer:
-    """Log10 probabilities of words spelled in pieces, and of those in ``whole`` by either route; one per task."""
+    """Log probabilities of words spelled in pieces; one per task."""
 
-    def __init__(self, vocabulary: Vocabulary, end: float, whole: dict[bytes, int] | None = None, words: int = 0, discount: float = 0.0, spelled: float = 1.0, weights: np.ndarray | None = None) -> None:
-        self.whole, self.words, self.discount, self.spelled = whole or {}, words, discount, spelled
+    def __init__(self, vocabulary: Vocabulary, end: float, weights: np.ndarray | None = None) -> None:
         weights = piece_weights(vocabulary, end) if weights is None else weights
         self.lattice = Lattice(vocabulary, np.isfinite(weights) & vocabulary.ordinary)
         self.first_byte = vocabulary.byte_ids[0]
         self.byte = float(weights[self.first_byte])
         self.weights = np.append(weights, -np.inf)
-        self.known: dict[bytes, float] = {}
 
     def _forward(self, edges: list[np.ndarray], loose: np.ndarray, length: int) -> np.ndarray:
         """Log probability of the beginnings of words, over all segmentations."""
@@ -147,15 +147,6 @@ class Scorer:
         uses[self.first_byte] += float((n_bytes[row, at] * np.exp(forward[row, at] + loose[row, at] + backward[row, at + 1] - total[row])).sum())
         return uses
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > WORDS_HELD:
-            self.known.clear()
-        new = {SPACE + w.decode(): w for w in words.difference(self.known)}
-        for length, group in by_length(new):
-            for word, value in zip(group, (self.marginal(group, length) / math.log(10)).tolist()):
-                n = self.whole.get(new[word])
-                self.known[new[word]] = value if n is None else math.log10((n - self.discount) / self.words + self.spelled * 10.0**value)
-
 
 def _learned(words: DataFrame, vocabulary: Broadcast, passes: int) -> np.ndarray:
     """Log weights of the pieces that spell the column ``word``; a pass sends one row per piece at most to the driver."""
@@ -179,34 +170,55 @@ def _learned(words: DataFrame, vocabulary: Broadcast, passes: int) -> np.ndarray
     return weights
 
 
+def _spelled(words: DataFrame, vocabulary: Broadcast, weights: np.ndarray) -> DataFrame:
+    """``word`` and ``n`` with ``log_spelled``, the log10 probability over all sequences of pieces."""
+    told = words.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Vocabulary(*vocabulary.value), 0.0, weights=told.value)
+        for batch in slices(batches, "word", 1 << 20):
+            spelled = {SPACE + w.decode(): w for w in batch.column("word").to_pylist()}
+            found: dict[bytes, float] = {}
+            for length, group in by_length(spelled):
+                found.update(zip(map(spelled.get, group), (scorer.marginal(group, length) / math.log(10)).tolist()))
+            yield batch.append_column("log_spelled", pa.array([found[w] for w in batch.column("word").to_pylist()], pa.float64()))
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n long, log_spelled double")
+
+
 def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFrame:
     """One row per row of ``docs``: its tokens, base score and lattice score."""
     spark = docs.sparkSession
     keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out())
-    counts = stored(keyed.where("NOT held_out").select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    counts = stored(keyed.select("text", "held_out").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total, different, ends, once, twice = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)),
         *[F.count_if(F.col("word").isNotNull() & (F.col("n") == n)) for n in (1, 2)],
     ).first()
-    common = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist())))
     # Plain values, which a worker reads without this package.
     vocabulary = spark.sparkContext.broadcast(load(model).values())
     end, words = (ends + 1) / (total + 2), total - ends
     discount, spelled = discounted(words, different - (ends > 0), once, twice)
-    weights = spark.sparkContext.broadcast(_learned(counts.where("word IS NOT NULL").select("word"), vocabulary, passes))
+    weights = _learned(counts.where("word IS NOT NULL AND n > 0").select("word"), vocabulary, passes)
+    spelling = stored(_spelled(counts.where("word IS NOT NULL"), vocabulary, weights), "lm-words")
+    common = spelling.where("n > 0").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    # By word the logs of its count and of its probability by either route.
+    known = spark.sparkContext.broadcast(
+        {
+            word: (math.log10(n + PSEUDO), math.log10((n - discount) / words + spelled * 10.0**value))
+            for word, n, value in zip(*(common.column(c).to_pylist() for c in ("word", "n", "log_spelled")))
+        }
+    )
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"row_key long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, word binary, times int, log_spelled double"
+    fields = f"row_key long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, score double, word binary, times int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Vocabulary(*vocabulary.value), 0.0, known.value, words, discount, spelled, weights.value)
-        logs = {word: math.log10(n + PSEUDO) for word, n in known.value.items()}
+        logs = known.value
         end_log, end_score, word_score = math.log10(ends + PSEUDO), math.log10(end), math.log10(1 - end)
         for batch in slices(batches):
             bags = [Counter(t.lower().split()) for t in utf8(batch.column("text"))]
-            scorer.learn(set().union(*bags))
             tokens, sure, sums, scores = [], [], [], []
-            rest_rows, rest_words, rest_times, rest_spelled = [], [], [], []
+            rest_rows, rest_words, rest_times = [], [], []
             for at, bag in enumerate(bags):
                 n, found, by_base, by_model = 1, int(ends > 0), end_log, end_score
                 for word, times in bag.items():
@@ -216,11 +228,10 @@ def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFram
                         rest_rows.append(at)
                         rest_words.append(word)
                         rest_times.append(times)
-                        rest_spelled.append(scorer.known[word])
                     else:
                         found += times
-                        by_base += times * value
-                        by_model += times * scorer.known[word]
+                        by_base += times * value[0]
+                        by_model += times * value[1]
                 tokens.append(n)
                 sure.append(found)
                 sums.append(by_base)
@@ -236,12 +247,11 @@ def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFram
                     "n_tokens": pa.array([*tokens, *([None] * more)], pa.int64()), "n_known": pa.array([*sure, *([None] * more)], pa.int64()),
                     "logs": pa.array([*sums, *([None] * more)], pa.float64()), "score": pa.array([*scores, *([None] * more)], pa.float64()),
                     "word": pa.array([*([None] * size), *rest_words], pa.binary()), "times": pa.array([*([None] * size), *rest_times], pa.int32()),
-                    "log_spelled": pa.array([*([None] * size), *rest_spelled], pa.float64()),
                 }
             )
 
     told = stored(keyed.mapInArrow(run, fields), "lm-tokens")
-    rare = told.where("word IS NOT NULL").select("row_key", "word", "times", "log_spelled").join(counts.where("word IS NOT NULL"), "word", "left")
+    rare = told.where("word IS NOT NULL").select("row_key", "word", "times").join(spelling, "word")
     # A probability of spelling that is too small for a double is one of a word without count, or adds nothing.
     seen = F.log10((F.col("n") - F.lit(discount)) / F.lit(float(max(words, 1))) + F.lit(spelled) * F.pow(F.lit(10.0), F.col("log_spelled")))
     modelled = F.when(F.col("n") > 0, seen).otherwise(F.col("log_spelled") + F.lit(math.log10(spelled)))
