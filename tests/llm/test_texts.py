@@ -267,6 +267,18 @@ def test_quality(spark, docs, nothing):
     assert quality_ratio.judge(docs, empty).where("kept").count() > 0 and quality_ratio.judge(nothing, empty).count() == 0
 
 
+def test_quality_counts_come_in_parts():
+    texts = [" ".join(f"x{i}y{k}" for k in range(400)) for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "trusted": [i % 3 == 0 for i in range(100)]})
+    parts = list(quality_ratio._count(iter([batch])))
+    # A task's counts grow with its n-grams; what it hands on at once does not.
+    assert len(parts) > 1 and max(p.num_rows for p in parts) <= quality_ratio.HANDED_ON < sum(p.num_rows for p in parts) + quality_ratio.HANDED_ON
+    buckets = np.concatenate([p.column("bucket").to_numpy() for p in parts])
+    assert (np.diff(buckets) > 0).all()
+    assert sum(p.column("raw").to_numpy().sum() for p in parts) == 100 * (400 + 399)
+    assert sum(p.column("target").to_numpy().sum() for p in parts) == 34 * (400 + 399)
+
+
 def test_quality_score_by_hand(spark):
     texts = ["a b c " * 20, "a b d " * 20, "a e f " * 20]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

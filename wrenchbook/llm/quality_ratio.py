@@ -33,6 +33,8 @@ BUCKET_BITS = 20
 ORDERS = ((1, 5.0, 1.0), (2, 20.0, 0.5))
 #: So many trusted ids are sent to all tasks; more of them meet the documents in a shuffled join.
 TRUSTED_SENT = 2_000_000
+#: Bytes of text that a task works on at once, and rows of counts that it hands on at once: other stages' workers stay beside it.
+WORKED_ON, HANDED_ON = 1 << 20, 1 << 16
 #: Share of trusted documents below the threshold.
 TRUSTED_LOSS = 0.01
 
@@ -74,7 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, hasher = len(ORDERS) << BUCKET_BITS, WordHasher()
     # No task has more n-grams than fit.
     raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    for batch in slices(batches):
+    for batch in slices(batches, size=WORKED_ON):
         words = hasher(batch.column("text"))
         per_doc = _buckets(words, words.hashes[0])
         good = batch.column("trusted").to_pylist()
@@ -82,9 +84,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(len(ORDERS)) if parts else ():
                 low = at << BUCKET_BITS
                 total[low : low + (1 << BUCKET_BITS)] += np.bincount(np.concatenate([own[at] for own in parts]) - low, minlength=1 << BUCKET_BITS)
-    used = np.flatnonzero(raw)
-    counts = (pa.array(c[used].astype(np.int64)) for c in (raw, target))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *counts], ["bucket", "raw", "target"])
+    for low in range(0, size, HANDED_ON):
+        used = np.flatnonzero(raw[low : low + HANDED_ON]) + low
+        counts = (pa.array(c[used].astype(np.int64)) for c in (raw, target))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *counts], ["bucket", "raw", "target"])
 
 
 def _score(own: list[np.ndarray], is_trusted: bool, raw: np.ndarray, target: np.ndarray, totals: list[tuple[float, float]]) -> float:
@@ -199,7 +202,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(("lower", "exact"))
-        for batch in slices(batches):
+        for batch in slices(batches, size=WORKED_ON):
             columns = _judge(batch, hasher, counts.value, threshold)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns})
 
@@ -213,7 +216,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(("lower", "exact"))
-        for batch in slices(with_text(batches)):
+        for batch in slices(with_text(batches), size=WORKED_ON):
             kept = _judge(batch, hasher, counts.value, threshold)["kept"]
             yield batch.filter(pa.array(kept, pa.bool_())).select(["row"])
 

@@ -94,7 +94,7 @@ def windows_hash(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def give_back() -> None:
-    """Returns to the system what earlier tasks of this worker have freed."""
+    """Returns to the system what this worker has freed."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -110,6 +110,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
         rows = max(size // bytes_each, 1)
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)
+    # A worker that waits for its next task keeps nothing of this one.
+    give_back()
 
 
 def with_text(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
