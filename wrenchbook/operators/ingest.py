@@ -6,7 +6,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ HEADING = r"^(#{1,3})\s+(.+?)\s*$"
 MAX_KEY, MAX_TITLE, MAX_URI, MAX_SECTION, MAX_CHUNK_KEY = 160, 300, 2048, 500, 200
 
 SECTION_TYPE = "struct<title: string, sections: array<struct<section: string, text: string>>>"
+_SECTIONS = pa.struct([("title", pa.string()), ("sections", pa.list_(pa.struct([("section", pa.string()), ("text", pa.string())])))])
+#: Bytes of text that a Python worker takes apart at once, whatever the size of the batches that it is sent.
+WORKED_ON = 1 << 20
 
 
 def markdown_sections(markdown: str) -> tuple[str, list[tuple[str, str]]]:
@@ -62,14 +66,27 @@ def window_texts(text: str, size: int, overlap: int, min_break: int, marks: str)
     return [piece for piece in stripped if piece]
 
 
+def text_slices(columns: Iterator[pa.Array], size: int = WORKED_ON) -> Iterator[list[str]]:
+    """The texts of a column's batches, null as empty, about ``size`` bytes at once; a longer text comes alone."""
+    for column in columns:
+        start, held = 0, 0
+        for at, length in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            if at > start and held + length > size:
+                yield [t or "" for t in column.slice(start, at - start).to_pylist()]
+                start, held = at, 0
+            held += length
+        if len(column):
+            yield [t or "" for t in column.slice(start).to_pylist()]
+
+
 def sections(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
     """One row per section with ``section_index`` from 0; ``parsed_title`` is the H1."""
 
-    @F.pandas_udf(SECTION_TYPE)
-    def parse(column: pd.Series) -> pd.DataFrame:
-        parsed = [markdown_sections(m or "") for m in column]
-        found = [[{"section": name, "text": text} for name, text in rows] for _, rows in parsed]
-        return pd.DataFrame({"title": [title for title, _ in parsed], "sections": found})
+    @F.arrow_udf(SECTION_TYPE)
+    def parse(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in text_slices(columns):
+            parsed = map(markdown_sections, texts)
+            yield pa.array([{"title": title, "sections": [{"section": name, "text": text} for name, text in rows]} for title, rows in parsed], _SECTIONS)
 
     return (
         docs.withColumn("_parsed", parse.asNondeterministic()(F.col(markdown)))
@@ -94,9 +111,10 @@ def chunk(
     if not 0 <= overlap <= min_break < size:
         raise ValueError("0 <= overlap <= min_break < size must hold")
 
-    @F.pandas_udf("array<string>")
-    def windows(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: window_texts(t or "", size, overlap, min_break, marks))
+    @F.arrow_udf("array<string>")
+    def windows(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in text_slices(columns):
+            yield pa.array([window_texts(t, size, overlap, min_break, marks) for t in texts], pa.list_(pa.string()))
 
     # Without the mark Spark repeats the function in a filter that it infers from the explode.
     once = windows.asNondeterministic()
