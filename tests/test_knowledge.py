@@ -7,6 +7,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +450,28 @@ def test_hybrid_search_keeps_tenants_with_one_query_id_apart(spark):
     assert first == {("a", "q"): ("hybrid", "a-c0"), ("b", "q"): ("bm25", "b-c1"), ("b", "v"): ("vector", "b-c1")}
     assert all(r.chunk_id.startswith(r.tenant_id) for r in rows)
     assert [r["bm25_rank"] for r in rows if r.query_id == "v"] == [None] * sum(r.query_id == "v" for r in rows)
+
+
+def test_texts_are_taken_apart_a_little_at_a_time(spark):
+    column = pa.array(["é" * 300, None, "", "x" * 2000, *["y" * 90] * 50])
+    parts = list(ingest.text_slices(iter([column, pa.array([], pa.string()), pa.array(["z"])]), 1000))
+    assert [t for part in parts for t in part] == [t or "" for t in column.to_pylist()] + ["z"]
+    # A longer text comes alone; all others stay within the bound, whatever the size of the batch.
+    assert all(sum(len(t.encode()) for t in part) <= 1000 or len(part) == 1 for part in parts) and len(parts) > 6
+    docs = spark.createDataFrame([("t", f"d{i:03}", 0, "s", "。".join(f"{i} {k}" * 30 for k in range(i % 40))) for i in range(300)] + [("t", "none", 0, "s", None)], "tenant_id string, document_key string, section_index int, section string, text string")
+    found = {(r["document_key"], r["chunk_index"]): r["text"] for r in ingest.chunk(docs).collect()}
+    expected = {(r["document_key"], i): t for r in docs.collect() for i, t in enumerate(ingest.window_texts(r["text"] or "", 500, 50, 200, "。！？；"))}
+    assert found == expected
+
+
+def test_an_index_takes_texts_apart_once(spark):
+    chunks = spark.createDataFrame([("t", f"d{i}", i, f"c{i}", "Title", "Part", f"w{i % 7} w{i % 3} w1 w1") for i in range(80)], "tenant_id string, document_key string, ordinal int, chunk_id string, title string, section string, text string")
+    index = retrieve.bm25_index(chunks)
+    for part in (index.postings, index.terms, index.tenants, index.heads):
+        assert "regexp_extract_all" not in part._jdf.queryExecution().optimizedPlan().toString()
+    queries = spark.createDataFrame([("q", "t", "w1 w5"), ("blank", "t", " "), ("lone", "t", "w2"), ("q", "u", "w1")], "query_id string, tenant_id string, query string")
+    asked = queries.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("vector_disabled", F.lit(False))
+    vectors = spark.createDataFrame([], "tenant_id string, chunk_id string, document_key string, ordinal int, embedding array<float>")
+    keyword = retrieve.bm25_search(queries, chunks)
+    given, own = (sorted(map(str, retrieve.hybrid_search(asked, chunks, vectors, keyword=k).collect())) for k in (keyword, None))
+    assert given == own and len(own) > 10

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenchbook.functions.text import is_blank, search_tokens
-from wrenchbook.operators.retrieve import B, CANDIDATES, DELTA, K1, SCORE_DIGITS, Tokenizer
+from wrenchbook.operators.retrieve import B, CANDIDATES, DELTA, K1, SCORE_DIGITS, Tokenizer, term_counts
 from wrenchbook.session import scratch_path
 
 #: Chunks of a shard and queries that meet it at once, about.
@@ -39,20 +39,6 @@ class Postings:
     tenants: DataFrame
 
 
-def term_counts(tokens: Column) -> Column:
-    """(term, tf) pairs of one row's tokens: runs of the sorted tokens."""
-    ordered = F.array_sort(tokens)
-
-    def runs(of: Column) -> Column:
-        every = F.when(F.size(of) > 0, F.sequence(F.lit(0), F.size(of) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(every, lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1)))
-        return F.transform(starts, lambda start, at: F.struct(F.get(of, start).alias("term"), start.alias("start"), at.alias("at")))
-
-    # The end of a run is the start of the next one.
-    both = F.transform(F.array(ordered), lambda of: F.struct(runs(of).alias("runs"), F.size(of).alias("n")))[0]
-    return F.transform(F.array(both), lambda x: F.transform(x["runs"], lambda r: F.struct(r["term"].alias("term"), (F.coalesce(F.get(x["runs"], r["at"] + 1)["start"], x["n"]) - r["start"]).alias("tf"))))[0]
-
-
 def _blocks(shard: pa.Table) -> pa.Table:
     """One row per term of a shard, and one per chunk, whose places follow the order of ties."""
     tenant, number, mean = (shard.column(c)[0].as_py() for c in ("tenant_id", "shard", "mean_length"))

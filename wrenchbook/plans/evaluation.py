@@ -183,13 +183,15 @@ def _search_cases(t: Tables) -> DataFrame:
     """Both routes over the same chunks: the hits of keyword search alone, and the citations of hybrid search."""
     chunks, queries = t["hybrid_chunk"], t["hybrid_query"]
     vectors = retrieve.searchable_vectors(t["vector"], chunks, "model-a")
-    # The search is read for its modes and for its hits.
+    # Keyword hits are read alone and by the hybrid search, which is read for its modes and for its hits.
     path = scratch_path(t.spark, "searches")
-    retrieve.hybrid_search(queries, chunks, vectors, max_distance=TEST_DISTANCE).write.parquet(path)
+    retrieve.bm25_search(queries.where("trim(query) <> ''").select("query_id", "tenant_id", "query"), chunks).write.parquet(f"{path}/keyword")
+    keyword = t.spark.read.parquet(f"{path}/keyword")
+    path = f"{path}/hybrid"
+    retrieve.hybrid_search(queries, chunks, vectors, max_distance=TEST_DISTANCE, keyword=keyword).write.parquet(path)
     searched = t.spark.read.parquet(path)
     hits = searched.where("rank IS NOT NULL").join(chunks.select("chunk_id", "title", "section", "text"), "chunk_id")
     cited = evaluate.published_citations(retrieve.citations(hits), t["published_chunk"])
-    keyword = retrieve.bm25_search(queries.where("trim(query) <> ''").select("query_id", "tenant_id", "query"), chunks)
     given = t["hybrid_case"].withColumn("expected_document_ids", F.filter(F.split("expected_document_ids", r"\|"), lambda x: x != ""))
     return evaluate.search_cases(given, keyword, searched, cited)
 
