@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from wrenchbook.llm import credential_links, decontaminate, jaccard_join, lattice, lattice_score, line_dedup, piece_codec, quality_ratio, suffix_dedup
+from wrenchbook.llm.components import extended
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -126,6 +127,34 @@ def test_near_components_of_frequent_tokens(spark, monkeypatch):
     assert sorted((tuple(r) for r in jaccard_join.near_components(frame).collect()), key=str) == brute_components(rows)
 
 
+def test_sets_are_written_for_similar_pairs_only(spark, monkeypatch):
+    # Texts that share one passage meet under its tokens, and their sketches tell them apart, long ones too.
+    written, stored = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: written.append((name, stored(df, name))) or written[-1][1])
+    words = [f"w{n}" for n in range(40_000)]
+    rows = []
+    for at, size in enumerate((60, 60, 300, 300, 3000, 3000, 20_000, 20_000)):
+        own = words[at * 4000 : at * 4000 + size] if size < 4000 else [f"{w}x{at}" for w in words[:size]]
+        rows.append((at, " ".join([*own, "one passage that", f"all {size} texts", "have", "in common"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    assert [r.component_id for r in jaccard_join.near_components(frame).orderBy("doc_id").collect()] == list(range(len(rows)))
+    assert sum(df.count() for name, df in written if name == "jaccard-groups") > 0
+    assert [name for name, _ in written if name == "jaccard-sets"] == []
+
+
+def test_extended_components(spark):
+    rng = np.random.default_rng(3)
+    known, edges = spark.createDataFrame([], "node long, root long"), []
+    for _ in range(3):
+        new = [(int(a), int(b)) for a, b in rng.integers(0, 60, (15, 2)) if a != b]
+        known, edges = extended(known, spark.createDataFrame(new, "a long, b long")), edges + new
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(tuple, known.collect())) == sorted(least.items())
+
+
 def shortened(rows):
     """The rule of line dedup over (doc_id, text) in scan order: pairs of lines with content that an earlier document has, then repeated chunks."""
     pairs, out = {}, [None] * len(rows)

@@ -27,8 +27,10 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one larger end or is the lesser one of all its edges."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -40,11 +42,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     u, v = edges.columns
     plain = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     now = stored(plain, name)
-    state = _state(now)
-    while True:
+    while not _done(now):
         now = stored(_round(now), name)
-        after = _state(now)
-        if after == state:
-            break
-        state = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def extended(known: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
+    """``known`` components (``node``, ``root``) after more ``edges`` between any nodes."""
+    u, v = edges.columns
+    upper, lower = (known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in (u, v))
+    placed = edges.join(upper, u, "left").join(lower, v, "left")
+    joined = components(placed.select(F.coalesce(f"{u}_root", u).alias("u"), F.coalesce(f"{v}_root", v).alias("v")), name)
+    moved = known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    new = joined.join(known.select("node"), "node", "left_anti").select("node", "root")
+    return stored(moved.unionByName(new), name)

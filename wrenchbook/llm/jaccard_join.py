@@ -12,10 +12,11 @@ offer to them but not to each other.
 Equal sets are one class before anything is indexed. Of the classes that meet under a token, each
 is compared with one of them, which differs from round to round; groups whose members are in one
 component by then need no further pair. After ``ROUNDS`` rounds the pairs between different components
-that are left are verified, if they have a common token that stands early enough in both, enough
-other tokens that are shared at all, and bitmaps that differ in few enough bits: a token of only one of
-two sets flips one bit, so more different bits than similar sets may have different tokens rule a pair
-out. Every comparison counts the exact intersection.
+that are left are verified, if they have a common token that stands early enough in both and enough
+other tokens that are shared at all. In every round bitmaps must differ in few enough bits: a token of
+only one of two sets flips one bit, so more different bits than similar sets may have different tokens
+rule a pair out. Bitmaps grow with the sets and are made with their keys, so that whole sets are
+written for the pairs that are left only. Every comparison counts the exact intersection.
 
 Frequency is only used to order tokens, so an inexact class costs time but never a link: tokens
 count as frequent when the tasks that saw them ``LOCAL_COUNT`` times saw them ``FREQUENT`` times
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenchbook.llm.components import components
+from wrenchbook.llm.components import extended
 from wrenchbook.llm.shared import MIX_A, MIX_B, mixed, partitions, slices, stored, windows_hash, with_row_key
 from wrenchbook.llm.wordhash import WordHasher, runs
 
@@ -56,7 +57,7 @@ ROUNDS = 3
 #: Size of the bitmap of frequent tokens, and of that of candidate classes, as a power of two.
 FREQUENT_BITS = 26
 CLASS_BITS = 24
-#: Words of 64 bits of the bitmap that tells how far two sets are apart at least.
+#: Least words of 64 bits of the bitmap that tells how far two sets are apart at least; as many are compared inside a join.
 SKETCH_WORDS = 8
 #: Shingles that a task gathers before it counts them, postings before it hands them on.
 COUNT_FLUSH = 2_000_000
@@ -91,15 +92,29 @@ def _marked(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return (bitmap[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 == 1
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of at least as many bits as there are tokens, whether an odd number of these fall on it."""
+    bits = max(64 * SKETCH_WORDS, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer words."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _describe(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Size and key of every row's set; at the end the tokens that many sets of the task have."""
+    """Size, key and sketch of every row's set; at the end the tokens that many sets of the task have."""
     hasher, seen, gathered, held = WordHasher(), set(), [], 0
 
     def report() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(gathered), return_counts=True)
         often = counts >= LOCAL_COUNT
         n = int(often.sum())
-        nothing = {"row_key": pa.nulls(n, pa.int64()), "doc_id": pa.nulls(n, id_type), "n": pa.nulls(n, pa.int32()), "key_a": pa.nulls(n, pa.int64()), "key_b": pa.nulls(n, pa.int64())}
+        nothing = {"row_key": pa.nulls(n, pa.int64()), "doc_id": pa.nulls(n, id_type), "n": pa.nulls(n, pa.int32()), "key_a": pa.nulls(n, pa.int64()), "key_b": pa.nulls(n, pa.int64()), "sketch": pa.nulls(n, pa.binary())}
         return pa.RecordBatch.from_pydict({**nothing, "token": tokens[often].view(np.int64), "sets": counts[often]})
 
     for batch in slices(batches):
@@ -114,6 +129,7 @@ def _describe(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterat
             {
                 "row_key": batch.column("row_key"), "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int32()),
                 "key_a": pa.array([k[0] for k in keys], pa.int64()), "key_b": pa.array([k[1] for k in keys], pa.int64()),
+                "sketch": pa.array([_sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 "token": pa.nulls(len(sets), pa.int64()), "sets": pa.nulls(len(sets), pa.int64()),
             }
         )
@@ -134,7 +150,7 @@ def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
         marks[at & ((1 << block) - 1)] = True
         return pa.table({"block": pa.array([at[0] >> block], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
-    rows = positions.distinct().groupBy(F.shiftright("position", block)).applyInArrow(pack, "block long, marks binary").collect()
+    rows = positions.groupBy(F.shiftright("position", block)).applyInArrow(pack, "block long, marks binary").collect()
     whole = np.zeros(1 << (bits - 3), np.uint8)
     for row in rows:
         start = row["block"] << (block - 3)
@@ -237,17 +253,27 @@ def _groups(bucket: pa.Table) -> pa.Table:
     )
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per set, for each bit, whether an odd number of its tokens fall on it."""
-    bits = 64 * SKETCH_WORDS
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of the least size, as columns."""
     for batch in batches:
         words = np.zeros((len(batch), SKETCH_WORDS), np.int64)
-        for at, tokens in enumerate(batch.column("tokens").to_pylist()):
-            place = (mixed(np.frombuffer(tokens, np.uint64)) % np.uint64(bits)).astype(np.int64)
-            words[at] = np.packbits(np.bincount(place, minlength=bits) & 1).view(np.int64)
+        for at, sketch in enumerate(batch.column("sketch").to_pylist()):
+            words[at] = _folded(np.frombuffer(sketch, np.uint64), SKETCH_WORDS).view(np.int64)
         yield pa.RecordBatch.from_pydict({"class": batch.column("class"), **{f"bits_{i}": pa.array(words[:, i]) for i in range(SKETCH_WORDS)}})
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in no more bits than similar sets may have different tokens."""
+    for batch in batches:
+        near = []
+        for a, b, m, n in zip(*[batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]):
+            words = min(len(a), len(b)) // 8
+            x, y = _folded(np.frombuffer(a, np.uint64), words), _folded(np.frombuffer(b, np.uint64), words)
+            overlap = -(-(m + n) * SIMILAR // (100 + SIMILAR))
+            near.append(int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * overlap)
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -271,16 +297,18 @@ class JaccardJoin:
         arrow_id = self.spark.createDataFrame([], f"doc_id {id_type}").toArrow().schema.field("doc_id").type
         described = stored(
             self.keyed.select("row_key", "doc_id", "text").mapInArrow(
-                lambda batches: _describe(batches, arrow_id), f"row_key long, doc_id {id_type}, n int, key_a long, key_b long, token long, sets long"
+                lambda batches: _describe(batches, arrow_id), f"row_key long, doc_id {id_type}, n int, key_a long, key_b long, sketch binary, token long, sets long"
             ),
             "jaccard-rows",
         )
-        self.rows = described.where("row_key IS NOT NULL").drop("token", "sets")
+        self.rows = described.where("row_key IS NOT NULL").drop("token", "sets", "sketch")
         self._often = described.where("row_key IS NULL").groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= FREQUENT)
         #: One row per different set: its first row and its least id.
         self.classes = stored(
             self.rows.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("row_key").alias("class"), F.min("doc_id").alias("least")), "jaccard-classes"
         )
+        # Rows of one class have equal sketches; that of the row that names it is taken.
+        self._sketched = described.where("n > 0").select(F.col("row_key").alias("class"), "n", "sketch")
 
     def _member_groups(self) -> DataFrame:
         """Classes that meet under a key: ``name`` and ``weight`` (keys of one token) of the group, ``class``, ``n``, ``offered``, ``often``, ``place``."""
@@ -317,35 +345,36 @@ class JaccardJoin:
         new = stored(wanted.join(sets, "class", "left_anti"), "jaccard-wanted")
         return sets if new.isEmpty() else sets.unionByName(self._sets(new))
 
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their sketches do not rule out."""
+        left = self._sketched.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        right = self._sketched.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_close, "a long, b long")
+
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("set_a"))
         right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("set_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_common, "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Links ``a``, ``b`` between classes that join all of them into the right components."""
+    def roots(self) -> DataFrame:
+        """``node`` and ``root``, the least class that it is linked with; classes without links are not listed."""
         groups = self._member_groups()
-        nothing = self.spark.createDataFrame([], "a long, b long")
+        compared = self.spark.createDataFrame([], "a long, b long")
         sets = self.spark.createDataFrame([], "class long, tokens binary")
-        found = compared = nothing
+        known = self.spark.createDataFrame([], "node long, root long")
         placed = groups.withColumn("root", F.col("class"))
         for number in range(ROUNDS + 1):
-            if number < ROUNDS:
-                pairs = self._stars(placed, number)
-            else:
-                rest = stored(self._open_members(groups, placed), "jaccard-open")
-                sets = self._with_sets(sets, rest.select("class").distinct())
-                pairs = self._between(rest, sets)
-            pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "jaccard-pairs")
-            if not pairs.isEmpty():
-                wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-                sets = self._with_sets(sets, wanted)
-                compared = compared.unionByName(pairs)
-                found = found.unionByName(stored(self._verified(pairs, sets), "jaccard-links"))
-                if number < ROUNDS:
-                    known = components(found, "jaccard-near").withColumnRenamed("node", "class")
-                    placed = groups.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        return found
+            pairs = self._stars(placed, number) if number < ROUNDS else self._between(stored(self._open_members(groups, placed), "jaccard-open"))
+            pairs = stored(self._near(pairs.join(compared, ["a", "b"], "left_anti")), "jaccard-pairs")
+            if pairs.isEmpty():
+                continue
+            wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+            sets = self._with_sets(sets, wanted)
+            compared = compared.unionByName(pairs)
+            links = stored(self._verified(pairs, sets), "jaccard-links")
+            known = extended(known, links, "jaccard-near")
+            placed = groups.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        return known
 
     def _stars(self, placed: DataFrame, number: int) -> DataFrame:
         """Pairs of one member of a group, another one in every round, with those of other components."""
@@ -366,10 +395,10 @@ class JaccardJoin:
         members = placed.join(mixed_groups, "name").join(shareable, "class")
         return members.select("name", "class", "root", "n", "offered", "place", "shareable")
 
-    def _between(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
+    def _between(self, rest: DataFrame) -> DataFrame:
         """Pairs of a group that are in different components and may be similar."""
         bits = [f"bits_{i}" for i in range(SKETCH_WORDS)]
-        sketched = sets.join(rest.select("class"), "class", "left_semi").mapInArrow(_sketches, ", ".join(["class long", *[f"{b} long" for b in bits]]))
+        sketched = self._sketched.join(rest.select("class"), "class", "left_semi").mapInArrow(_short, ", ".join(["class long", *[f"{b} long" for b in bits]]))
         open_members = rest.join(sketched, "class")
         x, y = open_members.alias("x"), open_members.alias("y")
 
@@ -391,8 +420,7 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """One row per row of ``docs``; ``root`` is the class that names the component."""
-        roots = components(self.links(), "jaccard-components")
-        placed = self.classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+        placed = self.classes.join(self.roots(), F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
         ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
         of_class = placed.join(ids, "root").select("key_a", "key_b", "n", "root", "component_id")
         # Sets of no shingle have a key too, but no class.
