@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wrenchbook.llm import credential_links, decontaminate, jaccard_join, lattice, lattice_score, line_dedup, piece_codec, quality_ratio, suffix_dedup
+from wrenchbook.llm import components, credential_links, decontaminate, jaccard_join, lattice, lattice_score, line_dedup, piece_codec, quality_ratio, suffix_dedup
 from wrenchbook.llm.components import extended
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -155,6 +155,14 @@ def test_extended_components(spark):
     assert sorted(map(tuple, known.collect())) == sorted(least.items())
 
 
+def test_a_round_of_components_does_not_repeat_its_plan(spark, tmp_path):
+    # Unions of a plan with itself doubled it at every step: 16 scans, whose broadcasts the driver had to hold.
+    spark.createDataFrame([(2, 1), (3, 2)], "u long, v long").write.parquet(f"{tmp_path}/edges")
+    made = components._round(spark.read.parquet(f"{tmp_path}/edges"))
+    assert sorted(map(tuple, made.collect())) == [(2, 1), (3, 1)]
+    assert made._jdf.queryExecution().analyzed().collectLeaves().size() <= 4
+
+
 def shortened(rows):
     """The rule of line dedup over (doc_id, text) in scan order: pairs of lines with content that an earlier document has, then repeated chunks."""
     pairs, out = {}, [None] * len(rows)

@@ -1,15 +1,26 @@
-"""Connected components by alternating stars: every round is two small joins and a written table."""
+"""Connected components by alternating stars: every round is two small joins and a written table.
+
+Rows are turned round by a generator instead of a union, which would plan and scan all that is before it twice: a driver keeps
+some megabytes per stage and scan.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenchbook.llm.shared import stored
 
 
+def _each(rows: DataFrame, names: list[str], *several: list[Column]) -> DataFrame:
+    """One row per list of values for every row, without a second plan of ``rows``."""
+    made = F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, values)]) for values in several])
+    return rows.select(F.inline(made))
+
+
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    u, v = F.col("u"), F.col("v")
+    return _each(edges, ["u", "v"], [u, v], [v, u])
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -23,13 +34,13 @@ def _round(edges: DataFrame) -> DataFrame:
     large = _to_least(_both(edges)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     near = _to_least(down)
-    small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
+    small = _each(near, ["u", "v"], [F.col("v"), F.col("m")], [F.col("u"), F.col("m")])
     return small.where("u <> v").distinct()
 
 
 def _done(edges: DataFrame) -> bool:
     """Whether every node has one larger end or is the lesser one of all its edges."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    ends = _each(edges, ["node", "down", "up"], [F.col("u"), F.lit(1), F.lit(0)], [F.col("v"), F.lit(0), F.lit(1)])
     return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()
 
 

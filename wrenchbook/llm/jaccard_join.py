@@ -368,7 +368,7 @@ class JaccardJoin:
             pairs = stored(self._near(pairs.join(compared, ["a", "b"], "left_anti")), "jaccard-pairs")
             if pairs.isEmpty():
                 continue
-            wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
             sets = self._with_sets(sets, wanted)
             compared = compared.unionByName(pairs)
             links = stored(self._verified(pairs, sets), "jaccard-links")
