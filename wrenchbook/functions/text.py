@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # White space at either end, Unicode-aware; the separators 1C-1F count as white space too.
 _ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 # One CJK character, one run of ASCII word characters, or any other visible character.
 _COUNTED_TOKEN = r"(?U)[㐀-鿿]|[A-Za-z0-9_]+|[^\s]"
 # One CJK character or one run of other letters, digits and underscores.
@@ -22,7 +23,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for NULL, the empty string and white space."""
-    return text.isNull() | (F.length(strip(text)) == 0)
+    return text.isNull() | ~text.rlike(_VISIBLE)
 
 
 def content_hash(text: Column) -> Column:

@@ -93,7 +93,7 @@ def rule_findings(t: Tables) -> DataFrame:
 )
 def model_output_checks(t: Tables) -> DataFrame:
     payloads = t["model_payload"]
-    allowed = payloads.select("job_id", F.lit("POLICY_A").alias("rule_code")).distinct()
+    allowed = payloads.select("job_id", F.lit("POLICY_A").alias("rule_code"))
     return quality.validate_outputs(payloads, allowed).select("job_id", "error_code")
 
 
