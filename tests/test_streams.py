@@ -236,3 +236,30 @@ def test_a_job_that_was_forgotten_starts_anew(spark, tmp_path):
     assert [r[2:] for r in job_run(spark, rows, tmp_path)] == [
         ("CLAIM", True, "RUNNING", 1), ("OK", True, "SUCCEEDED", 1), ("CLAIM", False, "SUCCEEDED", 1), ("CLAIM", True, "RUNNING", 1),
     ]
+
+
+def test_few_columns_go_through_python(spark, tmp_path):
+    # Every column of a key is taken apart by itself, which had cost more than the rules.
+    schema = "tenant_id string, work_order_id string, event_id long, action string, reason string, occurred_at timestamp_ntz"
+    replayed = state.replay_stream(spark.readStream.schema(schema).parquet(str(tmp_path)))
+    attempts = spark.readStream.schema(ATTEMPT.replace("timestamp_ntz", "timestamp")).parquet(str(tmp_path)).withWatermark("at", "0 seconds")
+    for stream in (replayed, state.job_stream(attempts)):
+        node = stream._jdf.queryExecution().analyzed()
+        while node.nodeName() != "FlatMapGroupsInPandasWithState":
+            node = node.children().apply(0)
+        assert node.children().apply(0).output().size() <= 4
+
+
+def test_texts_and_nulls_pass_a_replay(spark, tmp_path):
+    odd = 'é "q"\\ \n☃ 𝄞'
+    schema = "tenant_id string, work_order_id string, event_id long, action string, reason string, occurred_at timestamp_ntz"
+    rows = [(odd, odd, 1, odd, None, T0), (odd, odd, 2, None, None, T0 + timedelta(microseconds=1)), (odd, odd, 3, "ASSIGN", "x", T0 + timedelta(microseconds=2))]
+    got = run(state.replay_stream(in_files(spark, spark.createDataFrame(rows, schema), tmp_path, ["event_id"], 1)), spark).orderBy("event_id").collect()
+    assert [(r.tenant_id, r.work_order_id, r.event_id, r.action, r.occurred_at, r.legal) for r in got] == [
+        (odd, odd, n, action, at, legal) for (_, _, n, action, _, at), legal in zip(rows, (False, False, True))
+    ]
+
+
+def test_a_report_without_a_number_is_refused(spark, tmp_path):
+    rows = [("a", 0, "CLAIM", None, None), ("a", 1, "OK", None, "PASS"), ("a", 2, "OK", 1, "PASS")]
+    assert [r[2:] for r in job_run(spark, rows, tmp_path)] == [("CLAIM", True, "RUNNING", 1), ("OK", False, "RUNNING", 1), ("OK", True, "SUCCEEDED", 1)]
