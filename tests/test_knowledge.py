@@ -475,3 +475,14 @@ def test_an_index_takes_texts_apart_once(spark):
     keyword = retrieve.bm25_search(queries, chunks)
     given, own = (sorted(map(str, retrieve.hybrid_search(asked, chunks, vectors, keyword=k).collect())) for k in (keyword, None))
     assert given == own and len(own) > 10
+
+
+def test_words_are_counted_in_pieces_that_follow_the_table(tables, monkeypatch):
+    # As many pieces as cores, whatever the size, had let the counts of one task grow with the table.
+    from wrenchbook.plans.retrieval import tokens_per_document
+
+    cores = tables.spark.sparkContext.defaultParallelism
+    assert tables.pieces("documents") == cores and tables.pieces("documents", 1000) > cores
+    monkeypatch.setattr(tables, "pieces", lambda name: 3 * cores)
+    plan = tokens_per_document(tables)._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and f", {3 * cores})" in plan

@@ -757,6 +757,11 @@ class Tables:
             return df
         return df.repartition(cores)
 
+    def pieces(self, name: str, size: int = 4 << 20) -> int:
+        """A number of partitions that grows with the files of a base table, of about ``size`` bytes of them each."""
+        plan = self.spark.read.parquet(f"{self.directory}/{name}.parquet")._jdf.queryExecution().analyzed()
+        return max(self.spark.sparkContext.defaultParallelism, -(-int(str(plan.stats().sizeInBytes())) // size))
+
     def stamp(self, name: str) -> str:
         """Paths, sizes and times of the files of a base table."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -73,7 +73,9 @@ def saved_index(t: Tables) -> postings.Postings:
         GROUP BY ALL""",
 )
 def tokens_per_document(t: Tables) -> DataFrame:
-    words = t["documents"].select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+    # Texts are shuffled instead of their words, into pieces whose counts stay small however large the table is.
+    dealt = t["documents"].repartition(t.pieces("documents"), "doc_id")
+    words = dealt.select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("times"))
 
 
