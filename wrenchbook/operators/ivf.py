@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchbook.operators.nearest import nearest
+from wrenchbook.operators.nearest import matrix, nearest
 from wrenchbook.operators.retrieve import CANDIDATES, MAX_DISTANCE, dealt, vector_topk
 
 #: Vectors that centroids are learned on, and queries that the number of probes is calibrated on.
@@ -75,8 +75,7 @@ def _with_cells(rows: DataFrame, centroids: np.ndarray, count: int, ids: Sequenc
         for batch in batches:
             if not len(batch):
                 continue
-            vectors = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-            near = np.argsort(-(vectors @ sent.value.T), axis=1, kind="stable")[:, :count]
+            near = np.argsort(-(matrix(batch.column("embedding")) @ sent.value.T), axis=1, kind="stable")[:, :count]
             if listed:
                 ends = np.arange(len(batch) + 1, dtype=np.int32) * near.shape[1]
                 yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel(), pa.int64())))
@@ -127,7 +126,9 @@ def probes_for(
 
 def probed(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame:
     """``query_id``, ``tenant_id``, ``embedding`` and ``cell``, a row for each cell that a query probes."""
-    return _with_cells(_unit(queries), index.centroids, probes, ("query_id", "tenant_id")).drop("place")
+    # Lists come from Python, so that a count of cells carries no vector for each of them.
+    listed = _with_cells(_unit(queries), index.centroids, probes, ("query_id", "tenant_id"), listed=True)
+    return listed.select("query_id", "tenant_id", "embedding", F.explode(F.col("cells").cast("array<int>")).alias("cell"))
 
 
 def pairs_met(asked: DataFrame, index: VectorIndex) -> DataFrame:
